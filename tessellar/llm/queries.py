@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import html_extract, licenses, media, quality, secrets, toxicity
 from .exactdup import exact_duplicates
 from .mixing import mix
+from .neardup import near_duplicates
 from .packing import pack
 from .store import table
 
 
+def op1_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -18,13 +29,60 @@ def op4_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("sentences")
+
+
 def op7_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_pack_windows, op7_exact_duplicates)}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.telephony(table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_extract_pages,
+        op2_quality,
+        op3_mix_sources,
+        op4_pack_windows,
+        op5_near_duplicates,
+        op6_toxicity,
+        op7_exact_duplicates,
+        op8_secrets,
+        op9_telephony,
+        op10_licenses,
+    )
+}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _shingles(words: str) -> str:
+    return f"[array_to_string({words}[k:k + {licenses.SHINGLE - 1}], ' ') FOR k IN range(1, len({words}) - {licenses.SHINGLE - 2})]"
+
+
+_TEMPLATES = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in sorted(licenses.TEMPLATES.items()))
 
 ORACLES = {
     "op7_exact_duplicates": f"""
@@ -33,4 +91,17 @@ ORACLES = {
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op10_licenses": f"""
+        WITH t AS (SELECT license, list_distinct({_shingles("w")}) AS wanted FROM (
+               SELECT license, {_WORDS.format(_LOWER.format("text"))} AS w FROM (VALUES {_TEMPLATES}) v(license, text))),
+        need AS (SELECT license, len(wanted) AS m, unnest(wanted) AS shingle FROM t),
+        d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+        s AS (SELECT doc_id, unnest({_shingles("w")}) AS shingle, unnest(range(0, len(w) - {licenses.SHINGLE - 1})) AS place FROM d WHERE len(w) >= {licenses.SHINGLE}),
+        hit AS (SELECT doc_id, license, m, shingle, place FROM s JOIN need USING (shingle)),
+        win AS (SELECT doc_id, license, m, shingle, place, place - place % m - b * m AS start FROM hit, (VALUES (0), (1)) v(b) WHERE place - place % m - b * m >= 0),
+        best AS (SELECT doc_id, license, m, start, count(DISTINCT shingle) AS shared, min(place) AS first_word, max(place) + {licenses.SHINGLE} AS end_word
+                 FROM win GROUP BY ALL HAVING 5 * count(DISTINCT shingle) >= 4 * m)
+        SELECT doc_id, license, shared, m AS shingles, first_word, end_word FROM best
+        QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY shared DESC, start) = 1
+    """,
 }
