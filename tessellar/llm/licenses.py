@@ -40,16 +40,33 @@ def _words(text: Column) -> Column:
 
 
 def _shingled(rows: DataFrame, text_col: str) -> DataFrame:
-    """``rows`` with ``shingles``: the hash of every run of five words (none in a shorter text)."""
+    """``rows`` with ``shingles``, the hash of every run of five words (none in a shorter text), and a number ``row``.
+
+    The number isn't a deterministic expression; so the optimizer keeps later
+    filters above it and doesn't write the splitting of a text into them, where
+    it would be done again for each word.
+    """
     words = F.col("__words")
     hashed = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.xxhash64(*(words[i + k] for k in range(SHINGLE))))
     none = F.array().cast("array<bigint>")
-    return rows.withColumn("__words", _words(F.col(text_col))).withColumn("shingles", F.when(F.size(words) >= SHINGLE, hashed).otherwise(none)).drop("__words")
+    return rows.withColumn("__words", _words(F.col(text_col))).withColumn("shingles", F.when(F.size(words) >= SHINGLE, hashed).otherwise(none)).withColumn("row", F.monotonically_increasing_id()).drop("__words")
+
+
+def _bands(shingles: str) -> Column:
+    """The least of each of BANDS hashes over the window in a column, with the band's number."""
+    bands = (f"xxhash64({k}, array_min(transform({shingles}, h -> xxhash64(h, {k}))))" for k in range(BANDS))
+    return F.expr(f"array({', '.join(bands)})")
+
+
+def _one_of(values: list[int]) -> str:
+    return ", ".join(f"{x}L" for x in values)
 
 
-def _bands(shingles: Column) -> Column:
-    """The least of each of BANDS hashes over the window, with the band's number."""
-    return F.array(*(F.xxhash64(F.lit(k), F.array_min(F.transform(shingles, lambda h, k=k: F.xxhash64(h, F.lit(k))))) for k in range(BANDS)))
+def _windows(held: DataFrame, m: int, own: list[int]) -> DataFrame:
+    """The windows of a template size that hold one of its shingles."""
+    places = f"filter(transform(shingles, (h, i) -> if(h IN ({_one_of(own)}), i, NULL)), i -> i IS NOT NULL)"
+    starts = f"array_distinct(flatten(transform({places}, i -> array(i - i % {m}, i - i % {m} - {m}))))"
+    return held.withColumn("start", F.expr(f"explode(filter({starts}, s -> s >= 0))")).selectExpr("row", "id", f"{m} AS m", "start", f"slice(shingles, start + 1, {2 * m}) AS window")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
@@ -67,25 +84,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     known = _shingled(known, "text").select("license", F.array_distinct("shingles").alias("wanted")).where("size(wanted) > 0")
     # the templates are fixed, some hundred shingles in all
     wanted = {r.license: r.wanted for r in known.collect()}
+    sought = spark.createDataFrame([(name, x, len(x)) for name, x in sorted(wanted.items())], "license string, wanted array<bigint>, size int")
+    sought = F.broadcast(cut(sought.withColumn("key", F.explode(_bands("wanted"))), "license-bands"))
     every = sorted({h for x in wanted.values() for h in x})
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    held = _shingled(rows, "text").drop("text").where(F.exists("shingles", lambda h: h.isin(every)))
-    held = cut(held.withColumn("row", F.monotonically_increasing_id()), "license-rows")
+    held = _shingled(rows, "text").drop("text").where(f"exists(shingles, h -> h IN ({_one_of(every)}))")
+    held = cut(held, "license-rows")
     parts = None
     for m in sorted({len(x) for x in wanted.values()}):
         own = sorted({h for x in wanted.values() if len(x) == m for h in x})
-        places = F.filter(F.transform("shingles", lambda h, i, own=own: F.when(h.isin(own), i)), lambda i: i.isNotNull())
-        starts = F.flatten(F.transform(places, lambda i, m=m: F.array(i - i % m, i - i % m - m)))
-        starts = F.filter(F.array_distinct(starts), lambda s: s >= 0)
-        windows = held.withColumn("start", F.explode(starts)).select("row", "id", F.lit(m).alias("m"), "start", F.expr(f"slice(shingles, start + 1, {2 * m})").alias("window"))
+        windows = _windows(held, m, own)
         parts = windows if parts is None else parts.unionByName(windows)
-    sought = F.broadcast(known.select("license", "wanted", F.size("wanted").alias("size"), F.explode(_bands(F.col("wanted"))).alias("key")))
-    sketched = parts.withColumn("band", F.explode(_bands(F.col("window"))))
+    sketched = parts.withColumn("band", F.explode(_bands("window")))
     found = sketched.join(sought, (F.col("band") == F.col("key")) & (F.col("m") == F.col("size")))
     found = found.dropDuplicates(["row", "license", "start"])
     found = found.withColumn("shared", F.size(F.array_intersect("window", "wanted"))).where("5 * shared >= 4 * m")
-    inside = F.filter(F.transform("window", lambda h, i: F.when(F.array_contains("wanted", h), i)), lambda i: i.isNotNull())
-    found = found.withColumn("at", inside)
+    found = found.withColumn("at", F.expr("filter(transform(window, (h, i) -> if(array_contains(wanted, h), i, NULL)), i -> i IS NOT NULL)"))
     best = F.max_by(F.struct("id", "shared", "m", (F.col("start") + F.element_at("at", 1)).alias("first"), (F.col("start") + F.element_at("at", -1) + SHINGLE).alias("end")), F.struct("shared", -F.col("start")))
     out = found.groupBy("row", "license").agg(best.alias("b"))
     return out.select(
