@@ -49,6 +49,8 @@ class DigestIndex:
     def append(self, batch: DataFrame) -> None:
         """``batch``: id, digest. Adds the digests that the index doesn't have."""
         groups = batch.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        # Written first: the optimizer would move an anti-join below the aggregation, where a frequent text's rows meet in one task.
+        groups = cut(groups, "groups")
         new = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         # one task a bucket, by the same hash as the buckets: one file each
         self._write(new.repartition(self.buckets, "digest"), self.buckets)
