@@ -10,8 +10,8 @@ near enough to the limit, and then verified on their full sets.
 Groups are never expanded into pairs: documents with equal sets are one class;
 in each band a class is compared with the least and the greatest of its bucket
 and what is verified is joined to components. Only buckets that then still
-hold several components are compared in full, in blocks, between different
-components only. Missing a link of similarity 0.85 takes all BANDS bands to
+hold several components are compared in full, on their sets, in blocks; a
+block gives no more links than join its components. Missing a link of similarity 0.85 takes all BANDS bands to
 differ: (1 - 0.85**ROWS)**BANDS, below 1e-6.
 """
 
@@ -140,40 +140,73 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     near = cut(near.where(_estimate("sa", "sb", "na", "nb") >= near_enough(percent / 100)).select("a", "b", "na", "nb"), "near")
     if near.isEmpty():
         return near.select("a", "b")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    text = docs.join(wanted, F.col("id") == F.col("w"), "left_semi").select("id", "text")
-    full = cut(text.mapInArrow(_shingle_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
+    full = _full_sets(near.select(F.explode(F.array("a", "b")).alias("w")).distinct(), docs)
     of = lambda c: full.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"))
     checked = near.join(of("a"), "a").join(of("b"), "b").withColumn("shared", _shared("set_a", "set_b"))
     return cut(checked.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"), "links")
 
 
-def _block_pairs(limit: float):
-    floor = near_enough(limit)
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """|A & B| of every A of one list and B of the other.
 
+    Shingles that only one list has don't count; the others are columns of two
+    0/1 matrices, a bounded number at a time, and the counts their product.
+    """
+    common = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    total = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, len(common), columns):
+        part = common[at : at + columns]
+
+        def matrix(sets: list[np.ndarray], part=part) -> np.ndarray:
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for k, x in enumerate(sets):
+                place = np.searchsorted(part, x)
+                place[place == len(part)] = 0
+                m[k, place[part[place] == x]] = 1
+            return m
+
+        total += matrix(one) @ matrix(two).T
+    return total.astype(np.int64)
+
+
+def _block_links(percent: int):
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of two blocks (or within one) whose estimate is near enough, of different components."""
+        """Links between the components of two blocks (or of one), as few as join what is linked."""
         rows = rows.drop_duplicates("rep")
-        i, j = key[1], key[2]
-        one = rows[rows["block"] == i]
-        two = rows[rows["block"] == j]
-        x = np.frombuffer(b"".join(one["signature"]), "<u2").reshape(-1, REGISTERS)
-        y = np.frombuffer(b"".join(two["signature"]), "<u2").reshape(-1, REGISTERS)
-        n, m = one["n"].to_numpy(float), two["n"].to_numpy(float)
-        ra, rb, ca, cb = (t[c].to_numpy() for c in ("rep", "component") for t in (one, two))
-        a, b = [], []
-        for k in range(len(one)):
-            score = jaccard((y == x[k]).sum(axis=1), n[k], m)
-            fits = np.flatnonzero((score >= floor) & (cb != ca[k]) & ((rb > ra[k]) if i == j else True))
-            a.append(np.full(len(fits), ra[k]))
-            b.append(rb[fits])
-        a = np.concatenate(a) if a else np.zeros(0, np.int64)
-        b = np.concatenate(b) if b else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        one, two = rows[rows["block"] == key[1]], rows[rows["block"] == key[2]]
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        sets = [[np.frombuffer(x, "<u8") for x in t["set"]] for t in (one, two)]
+        shared = shared_counts(*sets)
+        n, m = (np.array([len(x) for x in t]) for t in sets)
+        linked = 100 * shared >= percent * (n[:, None] + m[None, :] - shared)
+        linked &= one["component"].to_numpy()[:, None] != two["component"].to_numpy()[None, :]
+        x, y = np.nonzero(linked)
+        a, b = one["rep"].to_numpy()[x], two["rep"].to_numpy()[y]
+        # each goes to the least id that it reaches here
+        label = {k: k for k in np.concatenate([a, b]).tolist()}
+
+        def root(k: int) -> int:
+            while label[k] != k:
+                label[k] = label[label[k]]
+                k = label[k]
+            return k
+
+        for u, v in zip(a.tolist(), b.tolist(), strict=True):
+            u, v = root(u), root(v)
+            label[max(u, v)] = min(u, v)
+        out = [(root(k), k) for k in label if root(k) != k]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``id, set`` of the documents in ``ids`` (``w``), once each."""
+    text = docs.join(ids, F.col("id") == F.col("w"), "left_semi").select("id", "text")
+    return cut(text.mapInArrow(_shingle_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per input row: ``id_col, n_shingles, component_id, kept``.
 
@@ -192,7 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = some.join(reps.withColumnRenamed("class", "c"), (F.col("class") == F.col("c")) & (F.col("id") == F.col("rep")))
     classes = cut(classes.select("rep", "class", "n", "signature").dropDuplicates(["class"]), "classes")
     # an id that repeats with other texts names several classes; they are one document's, and so one node
-    nodes = classes.dropDuplicates(["rep"])
+    nodes = classes
+    if not classes.groupBy("rep").count().where("count > 1").isEmpty():
+        nodes = cut(classes.dropDuplicates(["rep"]), "nodes")
     banded = cut(_bands(classes), "bands")
     hubs = cut(banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high"), "hubs")
     shared = cut(banded.join(hubs, "band"), "shared")
@@ -208,9 +243,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = open_rows.join(unsettled, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rest = rest.select("rep", "component", "band", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        rest = rest.join(nodes.select(F.col("rep").alias("r"), "n", "signature"), F.col("rep") == F.col("r")).drop("r")
-        pairs = rest.groupBy("band", "i", "j").applyInPandas(_block_pairs(percent / 100), "a bigint, b bigint").distinct()
-        more = _verified(cut(pairs, "pairs"), nodes, rows, percent)
+        full = _full_sets(rest.select(F.col("rep").alias("w")).distinct(), rows)
+        rest = rest.join(full, F.col("rep") == F.col("id")).drop("id")
+        more = cut(rest.groupBy("band", "i", "j").applyInPandas(_block_links(percent), "a bigint, b bigint").distinct(), "links")
         if not more.isEmpty():
             found = components(links.union(more))
     names = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("c"), F.coalesce("component", "rep").alias("component"))
