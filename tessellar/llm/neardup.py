@@ -170,7 +170,7 @@ def shared_counts(one: list[np.ndarray], two: list[np.ndarray], columns: int = 4
 
 
 def _block_links(percent: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Links between the components of two blocks (or of one), as few as join what is linked."""
         rows = rows.drop_duplicates("rep")
         one, two = rows[rows["block"] == key[1]], rows[rows["block"] == key[2]]

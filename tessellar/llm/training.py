@@ -31,7 +31,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col
     known = known.join(docs.select(key.alias("__id")), "__id", "left_semi")
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(bound)
     # bounded by the sample's size: 12 bytes a row
-    return docs.join(F.broadcast(chosen), key == F.col("__id")).select("label", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(key.alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("label", "text")
 
 
 def features(rows: DataFrame, run: Callable[[pa.Array], Iterator[np.ndarray]]) -> list[tuple[int, np.ndarray]]:
