@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, licenses, media, quality, secrets, toxicity
+from . import html_extract, licenses, media, mixing, quality, secrets, toxicity
 from .exactdup import exact_duplicates
 from .mixing import mix
 from .neardup import near_duplicates
@@ -84,7 +84,39 @@ def _shingles(words: str) -> str:
 
 _TEMPLATES = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in sorted(licenses.TEMPLATES.items()))
 
+
+def _closing(k: int) -> str:
+    """The document that closes the gap in round ``k`` (1 on) and what is left after it."""
+    may = "abs(size - gap) < gap" if k == mixing.CLOSING else "size <= gap"
+    return f"""
+        c{k} AS (SELECT o.k, doc.draw AS draw, doc.id AS id, doc.size AS size FROM (SELECT DISTINCT k, draw, id, size FROM o{k - 1}) doc JOIN g{k - 1} o USING (k) WHERE {may}
+                 QUALIFY row_number() OVER (PARTITION BY o.k ORDER BY abs(doc.size - gap), doc.draw, doc.id NULLS FIRST, doc.size) = 1),
+        g{k} AS (SELECT g.k, gap - coalesce(size, 0) AS gap FROM g{k - 1} g LEFT JOIN c{k} USING (k)),
+        o{k} AS (SELECT o.* FROM o{k - 1} o WHERE NOT EXISTS (SELECT 1 FROM c{k} c WHERE c.k = o.k AND c.draw = o.draw AND c.id IS NOT DISTINCT FROM o.id AND c.size = o.size)),"""
+
+
 ORACLES = {
+    "op3_mix_sources": f"""
+        WITH d AS (SELECT doc_id AS id, source, len({_WORDS.format("coalesce(text, '')")}) AS size,
+                   ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS draw FROM documents),
+        n AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+        w AS (SELECT *, (k - 1) % 3 + 1 AS w FROM n),
+        -- by the least size per weight: those before have stopped at three times their size, the others share what is left
+        a AS (SELECT *, sum(source_size) OVER ()::DOUBLE - 3 * coalesce(sum(source_size) OVER (level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest_of,
+              (sum(w) OVER (level ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS weight FROM w WINDOW level AS (ORDER BY source_size / w, k)),
+        f AS (SELECT rest_of, weight FROM a WHERE 3 * source_size * weight > rest_of * w ORDER BY source_size / w, k LIMIT 1),
+        t AS (SELECT a.k, a.source, a.source_size, CASE WHEN 3 * a.source_size * a.weight <= a.rest_of * a.w THEN 3.0::DOUBLE * a.source_size ELSE f.rest_of * a.w / f.weight END AS target FROM a LEFT JOIN f ON true),
+        p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole, target - whole * source_size AS rest FROM t),
+        r AS (SELECT d.*, p.k, source_size, target, whole, rest, sum(size) FILTER (size > 0) OVER (PARTITION BY p.k ORDER BY draw, id NULLS FIRST, size)::BIGINT AS upto
+              FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+        g0 AS (SELECT k, any_value(rest) - coalesce(max(upto) FILTER (size > 0 AND upto <= rest), 0) AS gap FROM r WHERE rest > 0 GROUP BY k),
+        o0 AS (SELECT k, draw, id, size FROM r WHERE rest > 0 AND size > 0 AND upto > rest),
+        {"".join(map(_closing, range(1, mixing.CLOSING + 1)))}
+        e AS ({" UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(1, mixing.CLOSING + 1))})
+        SELECT r.id AS doc_id, r.size::BIGINT AS size, source_size, target,
+               (r.size * (whole + CASE WHEN r.size > 0 AND rest > 0 AND (upto <= rest OR e.k IS NOT NULL) THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM r LEFT JOIN e ON e.k = r.k AND e.draw = r.draw AND e.id IS NOT DISTINCT FROM r.id AND e.size = r.size
+    """,
     "op7_exact_duplicates": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
