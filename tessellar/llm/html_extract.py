@@ -10,7 +10,9 @@ and all its lines but boilerplate are the page's text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -26,7 +28,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROPPED = frozenset("aside audio button canvas datalist dialog embed fieldset footer form head header iframe input label legend map math menu nav noscript object optgroup option script select style svg template textarea title video".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of a class or id that mark boilerplate, whatever the element.
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related replies respond share sharing sidebar sidenav skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget".split())
+MARKS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related replies respond share sharing sidebar sidenav skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget".split())
+#: Of these, what is boilerplate on an article's element too (readers' comments are often articles in markup).
+COMMENTS = frozenset("comment commentlist comments".split())
+#: Words that make a class say something of a page's state, not of what the element is (has-sidebar, comments-open).
+STATES = frozenset("closed disabled enabled has hide is no open show with without".split())
 CONTAINERS = frozenset("article main".split())
 CONTAINER_MARKS = frozenset("article content entry main maincontent post story".split())
 #: An open element that a new one of the same group closes.
@@ -35,6 +41,21 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 SCOPES = frozenset("article aside body blockquote div dl footer form header main nav ol section table tbody ul".split())
 
 
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_JOINTS = re.compile(r"[-_:]+")
+
+
+@lru_cache(4096)
+def marks_of(names: str) -> frozenset[str]:
+    """The words of an element's classes and id, and each name run together; names of a state have none."""
+    out = set()
+    for name in names.split():
+        parts = _JOINTS.sub(" ", _CAMEL.sub(" ", name)).lower().split()
+        if len(parts) == 1 or not STATES.intersection(parts):
+            out.update(parts, ["".join(parts)])
+    return frozenset(out)
+
+
 class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -77,11 +98,11 @@ class _Lines(HTMLParser):
         if tag == "body":
             out = False
         given = {k: (v or "") for k, v in attrs}
-        marks = set(f"{given.get('class', '')} {given.get('id', '')}".lower().replace("-", " ").replace("_", " ").split())
+        marks = marks_of(f"{given.get('class', '')} {given.get('id', '')}")
         role = given.get("role", "").lower()
         if not out and tag not in ("html", "body"):
             hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
-            out = tag in DROPPED or role in ROLES or hidden or bool(marks & MARKS and tag not in CONTAINERS)
+            out = tag in DROPPED or role in ROLES or hidden or bool(marks & (COMMENTS if tag in CONTAINERS else MARKS))
         if not out and (tag in CONTAINERS or role in ("main", "article") or (tag in ("div", "section", "td") and marks & CONTAINER_MARKS)):
             self.containers.append((2 if tag in CONTAINERS or role in ("main", "article") else 1, container))
             container = len(self.containers) - 1
