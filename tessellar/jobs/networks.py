@@ -139,6 +139,19 @@ def num_grad_logz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.groupBy(middle.alias("problem")).agg(F.round(slope, 4).alias("energy"))
 
 
+@query(_exact("SELECT count(*) AS n FROM supplier GROUP BY s_nationkey", f"round({_ENERGY}, 6) AS energy"))
+def grad_logz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minus the derivative of log z through the fixed point: its gradient by the network's entries times theirs by beta."""
+    problems = _problems(table(spark, sf_dir, "supplier"), "s_nationkey")
+    betas = cut(problems.select((F.col("problem") / F.lit(1e6)).alias("beta")))
+    bulk, slope = (t._with(cut(t.df)) for t in (_networks(betas, f) for f in (ising.bulk, ising.bulk_slope)))
+    state, _ = variational.solve(variational.start(bulk, CHI, SIDE, SIDE), SIDE, SIDE, tol=1e-8)
+    state = cut(state)
+    by_entry = variational.gradient(state, cut(variational.observing(state, None, SIDE)), bulk, CHI, SIDE, SIDE)
+    cell = contract((by_entry, slope)).df
+    return cell.groupBy("problem").agg(F.round(0 - F.sum("re"), 6).alias("energy"))
+
+
 @query("SELECT c_custkey, round(sqrt(abs(c_acctbal)), 6) AS root FROM customer")
 def fixedpoint_sqrt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newton's square root of every balance by the iteration driver: a step is a projection, its error one aggregate."""

@@ -52,6 +52,18 @@ def bulk(betas: DataFrame, legs: str = "abcd") -> Tensor:
     return contract((((w[0], w[1]), w[2]), w[3]), legs)
 
 
+def bulk_slope(betas: DataFrame, legs: str = "abcd") -> Tensor:
+    """The derivative of ``bulk`` by beta: the sum over legs of the tensor with that leg's root replaced by its slope."""
+    up, down = F.sinh("beta") / F.sqrt(F.cosh("beta") * 2), F.cosh("beta") / F.sqrt(F.sinh("beta") * 2)
+    total = None
+    for leg in legs:
+        slope = _matrix(betas, ("s", leg), (up + down) / 2, (up - down) / 2)
+        w = [root(betas, "s", k) for k in legs if k != leg]
+        part = contract((((slope, w[0]), w[1]), w[2]), legs)
+        total = part if total is None else total.add(part)
+    return total
+
+
 def magnetic(betas: DataFrame, legs: str = "abcd") -> Tensor:
     """The same with the spin's sign."""
     first = root(betas, "s", legs[0])

@@ -137,13 +137,33 @@ def partition_per_site(state: DataFrame, bulk: Tensor, chi: int, rows: int, colu
     return _quotient(z, one).groupBy("problem").agg(F.exp(F.avg(F.log(size))).alias("z"))
 
 
-def expectation(up: DataFrame, env: DataFrame, inserted: Tensor, bulk: Tensor, chi: int, rows: int, down: DataFrame | None = None) -> DataFrame:
-    """``problem, re, im``: the mean over cells of the network with ``inserted`` over that with ``bulk``."""
+def _around(up: DataFrame, env: DataFrame, bulk: Tensor, chi: int, rows: int, down: DataFrame | None) -> Tensor:
+    """Of each cell the network with the place of its own tensor left open."""
     d, e = bulk.dims[bulk.index[3]], bulk.dims[bulk.index[0]]
     left, right = unpack(env, "FL", "adf", (chi, e, chi)), unpack(env, "FR", "ceh", (chi, e, chi))
     upper = _centre(up, chi, d)
     lower = (upper if down is None else _centre(down, chi, d)).conj().rename("f", "g", "h").mirror("i", rows)
     around = contract(((left, upper), (lower, right)), "dgeb")
-    around = around._with(cut(around.df))
+    return around._with(cut(around.df))
+
+
+def expectation(up: DataFrame, env: DataFrame, inserted: Tensor, bulk: Tensor, chi: int, rows: int, down: DataFrame | None = None) -> DataFrame:
+    """``problem, re, im``: the mean over cells of the network with ``inserted`` over that with ``bulk``."""
+    around = _around(up, env, bulk, chi, rows, down)
     found = _quotient(contract((around, inserted)), contract((around, bulk)))
     return found.groupBy("problem").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
+
+
+def gradient(up: DataFrame, env: DataFrame, bulk: Tensor, chi: int, rows: int, columns: int, down: DataFrame | None = None) -> Tensor:
+    """The derivative of the logarithm of the partition function per site by every entry of ``bulk``.
+
+    At the fixed point the boundary is stationary: what its own change adds
+    vanishes to first order, so the derivative by a cell's tensor is what
+    surrounds it, over the network's value and the number of cells.
+    """
+    around = _around(up, env, bulk, chi, rows, down)
+    whole = contract((around, bulk)).df.select(*KEYS, F.col("re").alias("yr"), F.col("im").alias("yi"))
+    size = (F.col("yr") * F.col("yr") + F.col("yi") * F.col("yi")) * (rows * columns)
+    re = F.try_divide(F.col("re") * F.col("yr") + F.col("im") * F.col("yi"), size)
+    im = F.try_divide(F.col("im") * F.col("yr") - F.col("re") * F.col("yi"), size)
+    return around._with(around.df.join(whole, list(KEYS)).select(*around.index, *KEYS, re.alias("re"), im.alias("im")))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessellar.functions import dense
 from tessellar.operators import cells, environments, ising, variational
+from tessellar.operators.contract import contract
 from tessellar.operators.tensor import Tensor
 
 from .test_tensors import some
@@ -131,6 +132,20 @@ def test_ising_fixed_point_and_checkpoint(spark, tmp_path):
     value = lambda t: variational.expectation(state, env, network(t), bulk, chi, 1).first()
     assert value(ising.energy).re == pytest.approx(energy, abs=1e-6)
     assert abs(value(ising.magnetic).re) == pytest.approx((1 - np.sinh(2 * beta) ** -4) ** 0.125, abs=1e-6)
+    by_entry = variational.gradient(state, env, bulk, chi, 1, 1)
+    along = lambda t: contract((by_entry, t)).df.first().re
+    assert along(bulk) == pytest.approx(1, abs=1e-10)
+    assert along(network(ising.bulk_slope)) == pytest.approx(-energy, abs=1e-6)
+    # one entry moved either way, as two problems that start from this state
+    step, both = 1e-4, F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>"))
+    first = F.greatest(*bulk.index) == 0
+    ends = bulk.df.drop("problem").withColumn("problem", both)
+    ends = bulk._with(ends.withColumn("re", F.when(first, F.col("re") + (F.col("problem") * 2 - 1) * step).otherwise(F.col("re"))))
+    old = state.where("name <> 'M'").withColumn("problem", both).unionByName(variational.normalized_bulk(ends))
+    moved, _ = variational.solve(old, 1, 1, tol=1e-7, maxiter=3)  # the boundary's error counts squared
+    z = {r.problem: r.z for r in variational.partition_per_site(moved, ends, chi, 1, 1).collect()}
+    got = by_entry.df.where(F.greatest(*by_entry.index) == 0).first()
+    assert np.log(z[1] / z[0]) / (2 * step) == pytest.approx(got.re, abs=1e-5) and abs(got.im) < 1e-9
     # from a kept state nothing is left to do
     assert variational.solve(state, 1, 1, tol=1e-8, maxiter=1)[1] < 1e-8
     state.write.parquet(f"{tmp_path}/direction=up/D=2/chi=7")
