@@ -117,6 +117,19 @@ ORACLES = {
                (r.size * (whole + CASE WHEN r.size > 0 AND rest > 0 AND (upto <= rest OR e.k IS NOT NULL) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM r LEFT JOIN e ON e.k = r.k AND e.draw = r.draw AND e.id IS NOT DISTINCT FROM r.id AND e.size = r.size
     """,
+    "op5_near_duplicates": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+        -- a text of one to four words is one shingle
+        s AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[k:k + 4], ' ') FOR k IN range(1, greatest(len(w) - 3, least(len(w), 1) + 1))]) AS shingle FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * c >= 85 * (u.n + v.n - c)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r(node, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT node, b FROM r JOIN e ON e.a = other),
+        m AS (SELECT node, min(other) AS least_id FROM r GROUP BY node)
+        SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least_id, doc_id) AS component_id, doc_id = coalesce(least_id, doc_id) AS kept
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON node = doc_id
+    """,
     "op7_exact_duplicates": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
