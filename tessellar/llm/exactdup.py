@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import ascii_lower, cut
@@ -19,9 +19,13 @@ from .store import ascii_lower, cut
 HOT = 1000
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, digest`` (binary SHA-256) of every row; a null text counts as empty."""
-    return docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)).alias("digest"))
+    return docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"))
 
 
 class DigestIndex:
@@ -89,9 +93,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the largest id of each group of equal texts (one row, should that id repeat)."""
+    """``docs`` with one row of each group of equal texts, that of the largest id, whatever other texts have the same id."""
     found = exact_duplicates(docs, id_col, text_col)
-    stay = cut(found.where("kept").groupBy(F.col(id_col).alias("__stay")).agg(F.count(F.lit(1)).alias("__n")), "stay")
-    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
-    # Whole rows are only sorted for this where an id does repeat.
-    return kept if stay.where("__n > 1").isEmpty() else kept.dropDuplicates([id_col])
+    stay = found.where("kept").groupBy(F.col(id_col).alias("__stay"), F.unhex("text_sha256").alias("__text")).agg(F.count(F.lit(1)).alias("__n"))
+    stay = cut(stay, "stay")
+    kept = docs.withColumn("__digest", digest(F.col(text_col))).join(stay, (F.col("__digest") == F.col("__text")) & F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
+    # Whole rows are only sorted for this where an id does repeat with one text.
+    return (kept if stay.where("__n > 1").isEmpty() else kept.dropDuplicates(["__digest"])).drop("__digest")

@@ -93,10 +93,17 @@ def mix(
     empty result; documents without words have ``taken`` 0. Other columns are
     not read.
     """
-    rows = cut(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("draw", draw(F.col("id"), seed)),
-        "sizes",
-    )
+    rows = cut(_sized(docs, id_col, text_col, source_col, seed), "sizes")
+    out = _copies(rows, *_plan(rows, weights, share, most))
+    return out.select(F.col("id").alias(id_col), F.col("source"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: Column) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *more).withColumn("draw", draw(F.col("id"), seed))
+
+
+def _plan(rows: DataFrame, weights: tuple[int, ...], share: float, most: int) -> tuple[DataFrame, int]:
+    """What is taken of each source, and how many sources there are."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, share, most).select(
         F.col("source").alias("s"),
@@ -160,16 +167,30 @@ def mix(
         )
         gaps = cut(gaps, "gaps")
     plan = plan.join(gaps.withColumnRenamed("s", "k"), F.col("s").eqNullSafe(F.col("k")), "left").drop("k", "gap")
-    plan = cut(plan, "mix")
+    return cut(plan, "mix"), n
+
+
+def _copies(rows: DataFrame, plan: DataFrame, n: int) -> DataFrame:
+    """Rows with ``copies``, which depends on a row's source, draw, id and size alone, and the columns of the plan."""
+    doc, key = F.struct("draw", "id", "size"), F.struct("id", "size")
+    taken = (F.col("draw") < F.col("cut_draw")) | ((F.col("draw") == F.col("cut_draw")) & (~F.col("has_cut") | (key <= F.col("cut_tail"))))
     closes = F.array_contains("closing", doc)
     more = (F.col("size") > 0) & F.col("has_cut").isNotNull() & (taken | F.coalesce(closes, F.lit(False)))
-    out = _with_sources(rows, plan, n).withColumn("copies", (F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")).cast("long"))
-    return out.select(F.col("id").alias(id_col), F.col("source"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return _with_sources(rows, plan, n).withColumn("copies", (F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")).cast("long"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """``docs`` as mixed: each row as often as it is taken. An id that repeats is taken as often as its first row by size."""
-    copies = mix(docs, id_col, text_col, source_col, **how).where("copies > 0 and size > 0")
-    copies = copies.groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
-    rows = docs.join(copies, F.col(id_col).eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.drop("__id", "__copies", "__copy")
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (1, 2, 3),
+    share: float = 1.0,
+    most: int = 3,
+    seed: int = 0,
+) -> DataFrame:
+    """``docs`` as mixed: each row as often as ``mix`` takes it, other rows of the same id or of none notwithstanding."""
+    plan, n = _plan(cut(_sized(docs, id_col, text_col, source_col, seed), "sizes"), weights, share, most)
+    rows = _copies(_sized(docs, id_col, text_col, source_col, seed, F.struct("*").alias("__doc")), plan, n)
+    # a product, as a filter by size alone would go below the join and count the words again
+    return rows.where("size * copies > 0").select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__doc.*")

@@ -210,29 +210,47 @@ def _full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per input row: ``id_col, n_shingles, component_id, kept``.
 
-    Documents are linked where 100 * |A & B| >= percent * |A | B| (equal sets
+    ``kept`` holds for all rows of a component's least id. Documents are linked where 100 * |A & B| >= percent * |A | B| (equal sets
     always are). A null or empty text has no shingles and is linked with
     nothing. Rows with a repeated id are separate documents of the same id; a
     null id is never linked and always kept. An empty table gives an empty
     result; other columns are not read.
     """
-    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if not _repeats(rows, "id"):
+        return _near(rows, percent).withColumnRenamed("id", id_col)
+    keyed = _keyed(rows, "id", "text")
+    ids = keyed.select(F.col("__row").alias("row"), F.col("id").alias("of"))
+    found = _near(keyed.select(F.col("__row").alias("id"), "text"), percent).drop("kept")
+    found = found.join(ids.withColumnsRenamed({"row": "r", "of": "own"}), F.col("id") == F.col("r"), "left").join(ids, F.col("component_id") == F.col("row"), "left")
+    return found.select(F.col("own").alias(id_col), "n_shingles", F.col("of").alias("component_id"), F.coalesce(F.col("own") == F.col("of"), F.lit(True)).alias("kept"))
+
+
+def _repeats(docs: DataFrame, id_col: str) -> bool:
+    return not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a number ``__row`` that is the row's own and in the order of the ids; null where the id is."""
+    by = (F.col(id_col), F.xxhash64(text_col))
+    rows = docs.repartitionByRange(*by).sortWithinPartitions(*by)
+    return cut(rows.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())), "keyed")
+
+
+def _near(rows: DataFrame, percent: int) -> DataFrame:
+    """``id, n_shingles, component_id, kept`` of rows ``id, text`` of which no two have the same id."""
+    ship(rows.sparkSession)
     signed = cut(rows.mapInArrow(_sign, _SIGNED), "signed")
     some = signed.where("n > 0 and id is not null")
     reps = some.groupBy("class").agg(F.min("id").alias("rep"))
     # one row a class: that of its least id
     classes = some.join(reps.withColumnRenamed("class", "c"), (F.col("class") == F.col("c")) & (F.col("id") == F.col("rep")))
     classes = cut(classes.select("rep", "class", "n", "signature").dropDuplicates(["class"]), "classes")
-    # an id that repeats with other texts names several classes; they are one document's, and so one node
-    nodes = classes
-    if not classes.groupBy("rep").count().where("count > 1").isEmpty():
-        nodes = cut(classes.dropDuplicates(["rep"]), "nodes")
     banded = cut(_bands(classes), "bands")
     hubs = cut(banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high"), "hubs")
     shared = cut(banded.join(hubs, "band"), "shared")
     star = shared.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(shared.select(F.col("rep").alias("a"), F.col("high").alias("b"))).where("a <> b").distinct()
-    links = _verified(cut(star, "pairs"), nodes, rows, percent)
+    links = _verified(cut(star, "pairs"), classes, rows, percent)
     found = components(links)
     # buckets of three or more whose classes aren't all of one component: what the hubs didn't settle
     open_rows = shared.where("size > 2").select("rep", "band").join(found, F.col("rep") == F.col("node"), "left").select("rep", "band", F.coalesce("component", "rep").alias("component"))
@@ -253,10 +271,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the class table is read back, so that a class with very many copies can be split in the join
     out = signed.join(names, F.col("class") == F.col("c"), "left")
     component = F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """``docs`` with one document of each component: that of its least id."""
+    if _repeats(docs, id_col):
+        keyed = _keyed(docs, id_col, text_col)
+        gone = _near(keyed.select(F.col("__row").alias("id"), F.col(text_col).alias("text")), percent).where("not kept").select(F.col("id").alias("__gone"))
+        return keyed.join(cut(gone, "gone"), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
     gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col(id_col).alias("__gone"))
     return docs.join(cut(gone.distinct(), "gone"), F.col(id_col) == F.col("__gone"), "left_anti")
