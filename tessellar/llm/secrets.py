@@ -28,10 +28,10 @@ SCOPE = 240
 ASSIGN = re.compile(r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # as long runs only: a run never holds a second match
-#: Weak parts.
-IDENTITY = re.compile(r"""(?ia:\b(?:user(?:name)?|login|account|client_?id|tenant_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,128})""")
-ENDPOINT = re.compile(r"""(?ia:\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp)://[^\s"'<>]{3,256})""")
-KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{28,128}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Weak parts, each a run of one class of characters in full, whatever its length.
+IDENTITY = re.compile(r"""(?ia:\b(?:user(?:name)?|login|account|client_?id|tenant_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""")
+ENDPOINT = re.compile(r"""(?ia:\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp)://[^\s"'<>]{3,})""")
+KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 
 STRONG = ("assign", "access", "hex")
 KINDS = (*STRONG, "identity", "endpoint", "key")
