@@ -1,18 +1,28 @@
 """Near-duplicate documents by HyperMinHash.
 
-A document's set is its distinct shingles of five words. Each of REGISTERS
-independent hash minima is stored as its leading-zero count and MANTISSA bits
-after the leading one (16 bits a register). Registers are banded; documents
-that share a band are candidates, kept if the Jaccard similarity estimated
-from equal registers, less the expected share of accidental collisions, is
-near enough to the limit, and then verified on their full sets.
+A document's set is its distinct shingles of five words (64-bit hashes). A
+shingle falls in one of REGISTERS buckets; a bucket's register is the least
+hash in it, stored as its leading-zero count and MANTISSA bits after the
+leading one (16 bits). A bucket that a small set leaves empty takes the
+register of the first filled one in an order of the bucket's own, the same for
+all sets, which keeps the chance of equal registers at the similarity.
+Registers are banded; documents that share a band are candidates, kept if the
+similarity estimated from equal registers, less the expected share of
+accidental collisions, is near enough to the limit, and then verified on their
+full sets.
 
 Groups are never expanded into pairs: documents with equal sets are one class;
 in each band a class is compared with the least and the greatest of its bucket
-and what is verified is joined to components. Only buckets that then still
-hold several components are compared in full, on their sets, in blocks; a
-block gives no more links than join its components. Missing a link of similarity 0.85 takes all BANDS bands to
-differ: (1 - 0.85**ROWS)**BANDS, below 1e-6.
+and what is verified is joined to components. A bucket of more than BLOCK
+classes that then still holds several components is hot (a passage that many
+share, say): it is split by every other band, in which a linked pair meets
+again, and these smaller buckets are treated alike. Buckets that are still
+open are compared in full, on their sets, in blocks; a block gives no more
+links than join its components.
+
+A link of similarity s is missed if all BANDS bands differ,
+(1 - s**ROWS)**BANDS: 4e-7 at 0.85, 5e-5 at 0.8; in a split bucket if the
+others do, 1e-6 and 7e-5.
 """
 
 from __future__ import annotations
@@ -28,7 +38,7 @@ from pyspark.sql import types as T
 
 from ..functions.ship import ship
 from .graph import components
-from .store import cut
+from .store import by_ids, cut, repeats
 from .words import LOWER, Slice, hash_spans, mix, shingles, slices, stream, words
 
 ROWS, BANDS = 5, 25
@@ -36,25 +46,43 @@ REGISTERS = ROWS * BANDS
 MANTISSA = 10
 #: Classes of one bucket that are compared with each other at once.
 BLOCK = 256
+#: Hot buckets whose keys (8 bytes each) are broadcast at most; beyond, they are joined by shuffle.
+BROADCAST_BUCKETS = 1_000_000
 
-_XOR = (stream(31, REGISTERS) >> np.uint64(32)).astype(np.uint32)
-_MUL = (stream(32, REGISTERS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: Of each bucket the order in which it looks for another one's register, itself first.
+_ORDER = np.stack([np.append(k, [x for x in np.argsort(stream(40 + k, REGISTERS)) if x != k]) for k in range(REGISTERS)])
+_OTHER = stream(31, 1)[0]
 
 
 def sets(s: Slice, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingles (52-bit hashes) of the slice's rows, and where each row's begin."""
+    """Sorted distinct shingles (64-bit hashes) of the slice's rows, and where each row's begin."""
     w = words(s)
     return shingles(hash_spans(LOWER[s.data], w.start, w.end), w.row, s.rows, size)
 
 
 def registers(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A row of registers for each set that isn't empty."""
-    short = (mix(values) >> np.uint64(32)).astype(np.uint32)
-    least = np.empty((len(starts) - 1, REGISTERS), np.uint32)
-    for k in range(REGISTERS):
-        least[:, k] = np.minimum.reduceat((short ^ _XOR[k]) * _MUL[k], starts[:-1])
+    rows = len(starts) - 1
+    mixed = mix(values)
+    bucket = ((mixed >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)
+    least = np.full(rows * REGISTERS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    place = np.repeat(np.arange(rows), np.diff(starts)) * REGISTERS + bucket.astype(np.int64)
+    # of each bucket the least of another hash than that which chose the bucket
+    np.minimum.at(least, place, mix(mixed ^ _OTHER))
+    filled = np.zeros(rows * REGISTERS, bool)
+    filled[place] = True
+    filled = filled.reshape(rows, REGISTERS)
     fraction, exponent = np.frexp(least.astype(np.float64))
-    return (((32 - exponent) << MANTISSA) + ((2 * fraction - 1).clip(0) * (1 << MANTISSA)).astype(np.int32)).astype("<u2")
+    code = (((64 - exponent) << MANTISSA) + ((2 * fraction - 1).clip(0) * (1 << MANTISSA)).astype(np.int64)).clip(0).astype("<u2").reshape(rows, REGISTERS)
+    row, empty = np.nonzero(~filled)
+    for k in range(1, REGISTERS):
+        if not len(row):
+            break
+        look = _ORDER[empty, k]
+        hit = filled[row, look]
+        code[row[hit], empty[hit]] = code[row[hit], look[hit]]
+        row, empty = row[~hit], empty[~hit]
+    return code
 
 
 def jaccard(equal, n, m):
@@ -124,11 +152,15 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([shared_elements(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
-    """``rep, band``: the hash of each band's registers and its number."""
+def _bands(classes: DataFrame, within: bool = False) -> DataFrame:
+    """``rep, band``: the hash of each band's registers and its number, ``within`` those of an earlier ``band``."""
     piece = lambda k: F.substring("signature", 2 * ROWS * k + 1, 2 * ROWS)
-    keys = F.array(*(F.xxhash64(F.lit(k), piece(k)) for k in range(BANDS)))
-    return classes.select("rep", F.explode(keys).alias("band"))
+    own = lambda k: F.xxhash64(F.lit(k), piece(k))
+    if not within:
+        return classes.select("rep", F.explode(F.array(*map(own, range(BANDS)))).alias("band"))
+    # the band itself doesn't split its bucket
+    keys = F.filter(F.array(*map(own, range(BANDS))), lambda x: x != F.col("band"))
+    return classes.select("rep", F.explode(F.transform(keys, lambda x: F.xxhash64("band", x))).alias("band"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -202,12 +234,12 @@ def _block_links(percent: int):
 
 
 def _full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """``id, set`` of the documents in ``ids`` (``w``), once each."""
-    text = docs.join(ids, F.col("id") == F.col("w"), "left_semi").select("id", "text")
-    return cut(text.mapInArrow(_shingle_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
+    """``id, set`` of the documents in ``ids`` (``w``), once each; texts don't move while the ids are few enough to be broadcast."""
+    text = by_ids(docs, "id", cut(ids, "wanted"), "left_semi").select("id", "text")
+    return cut(text.mapInArrow(_shingle_sets, "id bigint, set binary"), "sets")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row per input row: ``id_col, n_shingles, component_id, kept``.
 
     ``kept`` holds for all rows of a component's least id. Documents are linked where 100 * |A & B| >= percent * |A | B| (equal sets
@@ -217,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if not _repeats(rows, "id"):
+    if not repeats(rows, "id"):
         return _near(rows, percent).withColumnRenamed("id", id_col)
     keyed = _keyed(rows, "id", "text")
     ids = keyed.select(F.col("__row").alias("row"), F.col("id").alias("of"))
@@ -226,10 +258,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("own").alias(id_col), "n_shingles", F.col("of").alias("component_id"), F.coalesce(F.col("own") == F.col("of"), F.lit(True)).alias("kept"))
 
 
-def _repeats(docs: DataFrame, id_col: str) -> bool:
-    return not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with a number ``__row`` that is the row's own and in the order of the ids; null where the id is."""
     by = (F.col(id_col), F.xxhash64(text_col))
@@ -237,6 +265,29 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut(rows.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())), "keyed")
 
 
+def _settle(banded: DataFrame, found: DataFrame | None, classes: DataFrame, rows: DataFrame, percent: int, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compares the classes of every bucket (``rep, band``) with its least and greatest.
+
+    Returns all links, their components (``node, component``) and, as
+    ``rep, band, size``, the buckets of three or more whose classes aren't all
+    of one component after that.
+    """
+    hubs = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    shared = cut(banded.join(cut(hubs, "hubs"), "band"), "shared")
+    star = shared.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(shared.select(F.col("rep").alias("a"), F.col("high").alias("b"))).where("a <> b").distinct()
+    if found is not None:  # pairs that are of one component already say nothing new
+        of = lambda c: found.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}"))
+        star = star.join(of("a"), F.col("a") == F.col("na"), "left").join(of("b"), F.col("b") == F.col("nb"), "left")
+        star = star.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    links = _verified(cut(star, "pairs"), classes, rows, percent)
+    links = links if before is None else cut(before.union(links), "links")
+    found = components(links)
+    open_rows = shared.where("size > 2").select("rep", "band", "size").join(found, F.col("rep") == F.col("node"), "left").select("rep", "band", "size", F.coalesce("component", "rep").alias("component"))
+    open_rows = cut(open_rows, "open")
+    unsettled = open_rows.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("band")
+    return links, found, cut(open_rows.join(cut(unsettled, "unsettled"), "band").select("rep", "band", "size"), "buckets")
+
+
 def _near(rows: DataFrame, percent: int) -> DataFrame:
     """``id, n_shingles, component_id, kept`` of rows ``id, text`` of which no two have the same id."""
     ship(rows.sparkSession)
@@ -246,19 +297,18 @@ def _near(rows: DataFrame, percent: int) -> DataFrame:
     # one row a class: that of its least id
     classes = some.join(reps.withColumnRenamed("class", "c"), (F.col("class") == F.col("c")) & (F.col("id") == F.col("rep")))
     classes = cut(classes.select("rep", "class", "n", "signature").dropDuplicates(["class"]), "classes")
-    banded = cut(_bands(classes), "bands")
-    hubs = cut(banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high"), "hubs")
-    shared = cut(banded.join(hubs, "band"), "shared")
-    star = shared.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(shared.select(F.col("rep").alias("a"), F.col("high").alias("b"))).where("a <> b").distinct()
-    links = _verified(cut(star, "pairs"), classes, rows, percent)
-    found = components(links)
-    # buckets of three or more whose classes aren't all of one component: what the hubs didn't settle
-    open_rows = shared.where("size > 2").select("rep", "band").join(found, F.col("rep") == F.col("node"), "left").select("rep", "band", F.coalesce("component", "rep").alias("component"))
-    open_rows = cut(open_rows, "open")
-    unsettled = open_rows.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("size")).where("l <> h")
-    unsettled = cut(unsettled.select("band", F.ceil(F.col("size") / BLOCK).alias("blocks")), "unsettled")
-    if not unsettled.isEmpty():
-        rest = open_rows.join(unsettled, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    links, found, buckets = _settle(cut(_bands(classes), "bands"), None, classes, rows, percent)
+    # hot buckets: every other band splits them
+    hot = cut(buckets.where(F.col("size") > BLOCK).select("band"), "hot")
+    if not hot.isEmpty():
+        split = cut(_bands(buckets.join(F.broadcast(hot) if hot.count() <= BROADCAST_BUCKETS else hot, "band").select("rep", "band").join(classes, "rep"), within=True), "split")
+        more, found, smaller = _settle(split, found, classes, rows, percent, links)
+        links = more
+        buckets = cut(buckets.where(F.col("size") <= BLOCK).unionByName(smaller), "buckets")
+    if not buckets.isEmpty():
+        rest = buckets.join(found, F.col("rep") == F.col("node"), "left").select("rep", "band", F.coalesce("component", "rep").alias("component"))
+        unsettled = rest.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("l <> h")
+        rest = rest.join(cut(unsettled.select("band", "blocks"), "unsettled"), "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rest = rest.select("rep", "component", "band", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         full = _full_sets(rest.select(F.col("rep").alias("w")).distinct(), rows)
@@ -274,11 +324,15 @@ def _near(rows: DataFrame, percent: int) -> DataFrame:
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """``docs`` with one document of each component: that of its least id."""
-    if _repeats(docs, id_col):
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that of its least id.
+
+    A null or empty text and a null id always stay; rows of a repeated id go
+    or stay each by their own text.
+    """
+    if repeats(docs, id_col):
         keyed = _keyed(docs, id_col, text_col)
         gone = _near(keyed.select(F.col("__row").alias("id"), F.col(text_col).alias("text")), percent).where("not kept").select(F.col("id").alias("__gone"))
-        return keyed.join(cut(gone, "gone"), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+        return by_ids(keyed, "__row", cut(gone, "gone"), "left_anti").drop("__row")
     gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col(id_col).alias("__gone"))
-    return docs.join(cut(gone.distinct(), "gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    return by_ids(docs, id_col, cut(gone, "gone"), "left_anti")

@@ -1,11 +1,12 @@
 """Quality classifier: Naive Bayes features in a linear support vector machine.
 
-Features are indicators of n-grams (one to three) of word shapes: upper and
-lower case letters, digits and other signs of a word with repeats run together,
-and a sign of its own for a word that repeats the one before. Each is scaled by
-the log ratio of its smoothed frequencies in the two classes; a linear model
-with squared hinge loss is fitted by dual coordinate descent, and its margin
-is turned to a probability by a logistic fit.
+Features are indicators of n-grams, of one and two words (A-Z lower-cased) and
+of one to three word shapes: upper and lower case letters, digits and other
+signs of a word with repeats run together, and a sign of its own for a word
+that repeats the one before. Each is scaled by the log ratio of its smoothed
+frequencies in the two classes; a linear model with hinge loss is fitted by
+dual coordinate descent, and its margin is turned to a probability by a
+logistic fit.
 """
 
 from __future__ import annotations
@@ -20,16 +21,31 @@ from pyspark.sql import functions as F
 
 from ..functions.ship import ship
 from .training import SAMPLE, features, held_out, sample
-from .words import SHAPE, Slice, hash_spans, mix, slices, stream, words
+from .words import LOWER, SHAPE, Slice, hash_spans, mix, slices, stream, words
 
-BITS = 18  #: of a feature's number
+BITS = 20  #: of a feature's number
 GRAMS = 3
+WORDS = 2
 _SAME = stream(11, 1)[0]
 _COEF = stream(12, GRAMS) | np.uint64(1)
 _SIZE = stream(13, GRAMS)
+_WORD = stream(14, WORDS)
 
 
-def shape_grams(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+def _grams(h: np.ndarray, row: np.ndarray, start: np.ndarray) -> Iterator[np.ndarray]:
+    """Row and feature, as one number, of every run of one, two, ... words of a row; ``start`` has a number for each length."""
+    for n in range(1, len(start) + 1):
+        size = len(h) - n + 1
+        if size <= 0:
+            return
+        value = np.zeros(size, np.uint64) + start[n - 1]
+        for k in range(n):
+            value += h[k : k + size] * _COEF[k]
+        same = row[n - 1 :] == row[:size]
+        yield (row[:size][same].astype(np.uint32) << np.uint32(BITS)) | (mix(value[same]) >> np.uint64(64 - BITS)).astype(np.uint32)
+
+
+def grams(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     """Of a slice the distinct (row, feature) pairs, sorted, as two arrays."""
     w = words(s)
     if not len(w.start):
@@ -38,46 +54,39 @@ def shape_grams(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(code), bool)
     keep[1:] = code[1:] != code[:-1]
     keep[w.start] = True
-    at = np.concatenate([[0], np.cumsum(keep)])
-    h = hash_spans(code[keep], at[w.start], at[w.end])
+    at = np.zeros(len(code) + 1, np.int32)
+    np.cumsum(keep, dtype=np.int32, out=at[1:])
+    shape = hash_spans(code[keep], at[w.start], at[w.end])
     whole = hash_spans(s.data, w.start, w.end)
-    h[1:][(whole[1:] == whole[:-1]) & (w.row[1:] == w.row[:-1])] = _SAME
-    keys = []
-    for n in range(1, GRAMS + 1):
-        size = len(h) - n + 1
-        if size <= 0:
-            break
-        value = np.zeros(size, np.uint64) + _SIZE[n - 1]
-        for k in range(n):
-            value += h[k : k + size] * _COEF[k]
-        same = w.row[n - 1 :] == w.row[:size]
-        keys.append((w.row[:size][same].astype(np.uint32) << np.uint32(BITS)) | (mix(value[same]) >> np.uint64(64 - BITS)).astype(np.uint32))
-    key = np.unique(np.concatenate(keys))
+    shape[1:][(whole[1:] == whole[:-1]) & (w.row[1:] == w.row[:-1])] = _SAME
+    word = hash_spans(LOWER[s.data], w.start, w.end)
+    key = np.unique(np.concatenate([*_grams(shape, w.row, _SIZE), *_grams(word, w.row, _WORD)]))
     return (key >> np.uint32(BITS)).astype(np.int64), key & np.uint32((1 << BITS) - 1)
 
 
 def _per_row(column: pa.Array) -> Iterator[np.ndarray]:
     for s in slices(column):
-        row, feature = shape_grams(s)
+        row, feature = grams(s)
         yield from np.split(feature, np.searchsorted(row, np.arange(1, s.rows)))
 
 
 def dual_descent(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: np.ndarray, rounds: int = 12, seed: int = 5) -> np.ndarray:
-    """Weights of the L2-regularised squared-hinge SVM. x: positions and values of each row; y: -1 or 1."""
+    """Weights of the L2-regularised SVM with (linear) hinge loss. x: positions and values of each row; y: -1 or 1.
+
+    Of the dual one coordinate at a time is minimised, between 0 and the row's cost.
+    """
     w = np.zeros(size)
     alpha = np.zeros(len(x))
-    diagonal = 0.5 / cost
-    square = np.array([float(v @ v) for _, v in x]) + diagonal
+    square = np.array([float(v @ v) for _, v in x])
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         for k in order.permutation(len(x)):
             at, value = x[k]
-            gradient = y[k] * float(w[at] @ value) - 1 + diagonal[k] * alpha[k]
-            if alpha[k] == 0 and gradient >= 0:
-                continue
-            new = max(0.0, alpha[k] - gradient / square[k])
-            w[at] += (new - alpha[k]) * y[k] * value
-            alpha[k] = new
+            gradient = y[k] * float(w[at] @ value) - 1
+            new = min(max(alpha[k] - gradient / square[k], 0.0), cost[k])
+            if new != alpha[k]:
+                w[at] += (new - alpha[k]) * y[k] * value
+                alpha[k] = new
     return w
 
 
@@ -106,12 +115,12 @@ class Model:
     bias: float
 
     def score(self, s: Slice) -> np.ndarray:
-        row, feature = shape_grams(s)
+        row, feature = grams(s)
         z = np.bincount(row, weights=self.weights[feature], minlength=s.rows) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], least: int = 3, alpha: float = 1.0, cost: float = 0.1) -> Model:
+def fit(rows: list[tuple[int, np.ndarray]], least: int = 3, alpha: float = 1.0, cost: float = 1.0) -> Model:
     """From labels and features of each row. With one class only (or none) the score is that class's (or one half)."""
     y = np.array([1 if label else -1 for label, _ in rows])
     if not len(y) or abs(y.sum()) == len(y):
@@ -142,13 +151,19 @@ def _calibrated(w: np.ndarray, ratio: np.ndarray, rows: list[tuple[int, np.ndarr
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> Model:
+    """The model of a bounded sample of the labelled rows that aren't held out.
+
+    Labels that are null, of a null id or of no document are left out; of a
+    repeated id in ``labels`` the largest label counts. Null and empty texts
+    have no features. Other columns of either table are not read.
+    """
     return fit(features(sample(docs, labels, label, id_col, text_col, bound), _per_row))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cutoff: float = 0.3) -> DataFrame:
     """One row per input row: ``id_col, held_out, score, predicted``.
 
-    One pass, no shuffle; the model (2**BITS weights, 1 MB) goes out as a
+    One pass, no shuffle; the model (2**BITS weights, 4 MB) goes out as a
     broadcast variable. Null and empty texts have no features and get the
     score of the intercept; null ids and repeated rows are scored as they
     come. Other columns are not read.

@@ -30,7 +30,7 @@ def op4_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,44 +78,46 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _license_words(text: str) -> str:
+    return f"[x FOR x IN string_split_regex({_LOWER.format(text)}, '{licenses.BETWEEN}') IF x <> '']"
+
+
 def _shingles(words: str) -> str:
     return f"[array_to_string({words}[k:k + {licenses.SHINGLE - 1}], ' ') FOR k IN range(1, len({words}) - {licenses.SHINGLE - 2})]"
 
 
-_TEMPLATES = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in sorted(licenses.TEMPLATES.items()))
 
-
-def _closing(k: int) -> str:
-    """The document that closes the gap in round ``k`` (1 on) and what is left after it."""
-    may = "abs(size - gap) < gap" if k == mixing.CLOSING else "size <= gap"
-    return f"""
-        c{k} AS (SELECT o.k, doc.draw AS draw, doc.id AS id, doc.size AS size FROM (SELECT DISTINCT k, draw, id, size FROM o{k - 1}) doc JOIN g{k - 1} o USING (k) WHERE {may}
-                 QUALIFY row_number() OVER (PARTITION BY o.k ORDER BY abs(doc.size - gap), doc.draw, doc.id NULLS FIRST, doc.size) = 1),
-        g{k} AS (SELECT g.k, gap - coalesce(size, 0) AS gap FROM g{k - 1} g LEFT JOIN c{k} USING (k)),
-        o{k} AS (SELECT o.* FROM o{k - 1} o WHERE NOT EXISTS (SELECT 1 FROM c{k} c WHERE c.k = o.k AND c.draw = o.draw AND c.id IS NOT DISTINCT FROM o.id AND c.size = o.size)),"""
+_TEMPLATES = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in sorted(licenses.TEMPLATES.items()))
 
 
 ORACLES = {
     "op3_mix_sources": f"""
-        WITH d AS (SELECT doc_id AS id, source, len({_WORDS.format("coalesce(text, '')")}) AS size,
+        WITH RECURSIVE d AS (SELECT doc_id AS id, source, len({_WORDS.format("coalesce(text, '')")}) AS size,
                    ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS draw FROM documents),
-        n AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+        n AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (size > 0) AS docs, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
         w AS (SELECT *, (k - 1) % 3 + 1 AS w FROM n),
         -- by the least size per weight: those before have stopped at three times their size, the others share what is left
         a AS (SELECT *, sum(source_size) OVER ()::DOUBLE - 3 * coalesce(sum(source_size) OVER (level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest_of,
               (sum(w) OVER (level ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS weight FROM w WINDOW level AS (ORDER BY source_size / w, k)),
         f AS (SELECT rest_of, weight FROM a WHERE 3 * source_size * weight > rest_of * w ORDER BY source_size / w, k LIMIT 1),
-        t AS (SELECT a.k, a.source, a.source_size, CASE WHEN 3 * a.source_size * a.weight <= a.rest_of * a.w THEN 3.0::DOUBLE * a.source_size ELSE f.rest_of * a.w / f.weight END AS target FROM a LEFT JOIN f ON true),
+        t AS (SELECT a.k, a.source, a.source_size, a.docs, CASE WHEN 3 * a.source_size * a.weight <= a.rest_of * a.w THEN 3.0::DOUBLE * a.source_size ELSE f.rest_of * a.w / f.weight END AS target FROM a LEFT JOIN f ON true),
         p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole, target - whole * source_size AS rest FROM t),
-        r AS (SELECT d.*, p.k, source_size, target, whole, rest, sum(size) FILTER (size > 0) OVER (PARTITION BY p.k ORDER BY draw, id NULLS FIRST, size)::BIGINT AS upto
-              FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-        g0 AS (SELECT k, any_value(rest) - coalesce(max(upto) FILTER (size > 0 AND upto <= rest), 0) AS gap FROM r WHERE rest > 0 GROUP BY k),
-        o0 AS (SELECT k, draw, id, size FROM r WHERE rest > 0 AND size > 0 AND upto > rest),
-        {"".join(map(_closing, range(1, mixing.CLOSING + 1)))}
-        e AS ({" UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(1, mixing.CLOSING + 1))})
-        SELECT r.id AS doc_id, r.size::BIGINT AS size, source_size, target,
-               (r.size * (whole + CASE WHEN r.size > 0 AND rest > 0 AND (upto <= rest OR e.k IS NOT NULL) THEN 1 ELSE 0 END))::BIGINT AS taken
-        FROM r LEFT JOIN e ON e.k = r.k AND e.draw = r.draw AND e.id IS NOT DISTINCT FROM r.id AND e.size = r.size
+        -- the draw's odds over the inclusion odds, within 0 and 1
+        o AS (SELECT p.k, d.id, d.size, (d.draw + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u, rest / source_size::DOUBLE AS p, source_size, docs FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source WHERE rest > 0 AND d.size > 0),
+        q AS (SELECT k, id, size, u / (1.0::DOUBLE - u) / (p / (1.0::DOUBLE - p) * (size * docs)::DOUBLE / source_size::DOUBLE) AS q FROM o),
+        c AS (SELECT k, id, size, floor(q / (1.0::DOUBLE + q) * 281474976710656.0::DOUBLE)::BIGINT AS rank, sum(size)::BIGINT AS words FROM q GROUP BY ALL),
+        l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rank, id NULLS FIRST, size) AS place FROM c),
+        -- one document after another: taken if it fits in what is left
+        g(k, place, gap, id, size, taken) AS (
+            SELECT k, 0::BIGINT, rest, NULL::BIGINT, NULL::BIGINT, false FROM p WHERE rest > 0
+            UNION ALL SELECT l.k, l.place, CASE WHEN l.words <= g.gap THEN g.gap - l.words ELSE g.gap END, l.id, l.size, l.words <= g.gap FROM g JOIN l ON l.k = g.k AND l.place = g.place + 1),
+        z AS (SELECT k, min(gap) AS gap FROM g GROUP BY k),
+        -- one more if that comes nearer
+        x AS (SELECT l.k, l.id, l.size FROM l JOIN z USING (k) JOIN g ON g.k = l.k AND g.place = l.place WHERE NOT g.taken AND l.words < 2 * z.gap
+              QUALIFY row_number() OVER (PARTITION BY l.k ORDER BY abs(l.words - z.gap), l.rank, l.id NULLS FIRST, l.size) = 1),
+        e AS (SELECT k, id, size FROM g WHERE taken UNION ALL SELECT k, id, size FROM x)
+        SELECT d.id AS doc_id, d.size::BIGINT AS size, source_size, target, (d.size * (whole + CASE WHEN e.k IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN e ON e.k = p.k AND e.id IS NOT DISTINCT FROM d.id AND e.size = d.size AND d.size > 0
     """,
     "op5_near_duplicates": f"""
         WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
@@ -138,12 +140,13 @@ ORACLES = {
     """,
     "op10_licenses": f"""
         WITH t AS (SELECT license, list_distinct({_shingles("w")}) AS wanted FROM (
-               SELECT license, {_WORDS.format(_LOWER.format("text"))} AS w FROM (VALUES {_TEMPLATES}) v(license, text))),
+               SELECT license, {_license_words("text")} AS w FROM (VALUES {_TEMPLATES}) v(license, text))),
         need AS (SELECT license, len(wanted) AS m, unnest(wanted) AS shingle FROM t),
-        d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+        d AS (SELECT doc_id, {_license_words("coalesce(text, '')")} AS w FROM documents),
         s AS (SELECT doc_id, unnest({_shingles("w")}) AS shingle, unnest(range(0, len(w) - {licenses.SHINGLE - 1})) AS place FROM d WHERE len(w) >= {licenses.SHINGLE}),
         hit AS (SELECT doc_id, license, m, shingle, place FROM s JOIN need USING (shingle)),
-        win AS (SELECT doc_id, license, m, shingle, place, place - place % m - b * m AS start FROM hit, (VALUES (0), (1)) v(b) WHERE place - place % m - b * m >= 0),
+        step AS (SELECT *, greatest(1, m // {licenses.STEPS}) AS step FROM hit),
+        win AS (SELECT doc_id, license, m, shingle, place, unnest(range(greatest(0, ((place - 2 * m + step) // step) * step), place - place % step + 1, step)) AS start FROM step),
         best AS (SELECT doc_id, license, m, start, count(DISTINCT shingle) AS shared, min(place) AS first_word, max(place) + {licenses.SHINGLE} AS end_word
                  FROM win GROUP BY ALL HAVING 5 * count(DISTINCT shingle) >= 4 * m)
         SELECT doc_id, license, shared, m AS shingles, first_word, end_word FROM best

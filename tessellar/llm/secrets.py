@@ -3,14 +3,15 @@
 Strong kinds are reported wherever they match. Weak parts (an identifier of an
 account, an unnamed key-like string, an endpoint) are too common to report on
 their own; an interval join within a scope, a paragraph and at most SCOPE code
-points, links those that complement each other, and only linked ones count.
+points, links a secret with every identity and endpoint, and only linked ones
+count. Parts that hang together by links are one credential, with a number.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from math import log2
@@ -63,33 +64,69 @@ def weak_spans(text: str) -> list[Span]:
     return found + [("key", *m.span()) for m in KEY.finditer(text) if _key_like(m[0])]
 
 
-def linked(text: str, strong: list[Span], weak: list[Span]) -> list[Span]:
-    """The weak parts with a part of another role in their scope, one of the two a secret.
+#: Where a paragraph ends.
+BREAK = re.compile(r"(?:\r\n?+|\n)[^\S\r\n]*(?:\r\n?+|\n)")
 
-    The join on overlapping intervals is a sweep by start for each role: a part
-    looks at the nearest of the other role on either side alone.
-    """
-    if not weak:
-        return []
-    weak = [x for x in weak if x[0] != "key" or not any(s < x[2] and x[1] < e for _, s, e in strong)]
-    by_role: dict[str, list[tuple[int, int]]] = {"identity": [], "secret": [], "endpoint": []}
-    for kind, start, end in sorted(strong + weak, key=lambda x: (x[1], x[2])):
-        by_role[ROLE[kind]].append((start, end))
+
+def _apart(weak: list[Span], strong: list[Span]) -> list[Span]:
+    """The weak parts but keys that overlap a strong one (which has them already)."""
+    taken = sorted((s, e) for _, s, e in strong)
+    reach: list[int] = []  # the furthest end of all that begin before or here
+    for _, e in taken:
+        reach.append(max(e, reach[-1] if reach else 0))
     out = []
     for kind, start, end in weak:
-        need = ("identity", "endpoint") if ROLE[kind] == "secret" else ("secret",)
-        for role in need:
-            parts = by_role[role]
-            k = bisect_left(parts, (start, end))
-            if any(_one_scope(text, (start, end), parts[j]) for j in (k - 1, k, k + 1) if 0 <= j < len(parts)):
-                out.append((kind, start, end))
-                break
+        if kind == "key" and (k := bisect_right(taken, (end - 1, 1 << 62))) and reach[k - 1] > start:
+            continue
+        out.append((kind, start, end))
     return out
 
 
-def _one_scope(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
-    (_, end), (start, _) = sorted((a, b))
-    return start - end <= SCOPE and text.find("\n\n", min(end, start), start) < 0
+def credentials(text: str, strong: list[Span], weak: list[Span]) -> list[tuple[int, Span]]:
+    """``number, part`` of all parts that are linked, numbered by the first part's place.
+
+    A link joins a secret and an identity or endpoint of one paragraph with at
+    most SCOPE code points between them (none if they overlap). The interval
+    join is a sweep by start: the open parts of either side are those that end
+    no more than SCOPE before; a new part joins all open ones of the other
+    side, which are one credential from then on and need one entry. So every
+    part is entered and taken out once.
+    """
+    if not weak:
+        return []
+    breaks = [m.start() for m in BREAK.finditer(text)]
+    parts = sorted(strong + _apart(weak, strong), key=lambda x: (x[1], x[2], KINDS.index(x[0])))
+    root = list(range(len(parts)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    linked = [False] * len(parts)
+    side: list[list[tuple[int, int]]] = [[], []]  # end and number of the open parts: secrets, others
+    paragraph = -1
+    for k, (kind, start, end) in enumerate(parts):
+        at = bisect_right(breaks, start)
+        if at != paragraph:
+            paragraph, side = at, [[], []]
+        own = ROLE[kind] != "secret"
+        near = [x for x in side[not own] if x[0] + SCOPE >= start]
+        for _, other in near:
+            linked[k] = linked[other] = True
+            a, b = find(k), find(other)
+            root[max(a, b)] = min(a, b)
+        side[not own] = [(max(e for e, _ in near), near[0][1])] if near else []
+        side[own].append((end, k))
+    number: dict[int, int] = {}
+    return [(number.setdefault(find(k), len(number)), x) for k, x in enumerate(parts) if linked[k]]
+
+
+def linked(text: str, strong: list[Span], weak: list[Span]) -> list[Span]:
+    """Those of the weak parts that are linked, in the order given."""
+    found = {x for _, x in credentials(text, strong, weak)}
+    return [x for x in weak if x in found]
 
 
 def _listed(spans: list[Span]) -> str:
@@ -99,27 +136,28 @@ def _listed(spans: list[Span]) -> str:
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: list[list[int]] = [[], [], []]
-        digest, every = [], []
+        digest, every, links = [], [], []
         for text in batch.column(1):
             text = text.as_py() or ""
             strong = strong_spans(text)
-            weak = linked(text, strong, weak_spans(text))
+            found = credentials(text, strong, weak_spans(text))
             for k, kind in enumerate(STRONG):
                 counts[k].append(sum(x[0] == kind for x in strong))
             digest.append(hashlib.sha256(_listed(strong).encode()).hexdigest())
-            every.append(_listed(strong + weak))
-        arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(every, pa.string())]
-        yield pa.RecordBatch.from_arrays(arrays, ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            every.append(_listed(strong + [x for _, x in found if x[0] not in STRONG]))
+            links.append(",".join(f"{n}:{k}:{s}:{e}" for n, (k, s, e) in sorted(found, key=lambda x: x[0])))
+        arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), *(pa.array(c, pa.string()) for c in (digest, every, links))]
+        yield pa.RecordBatch.from_arrays(arrays, ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "links"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col, n_assign, n_access, n_hex, base_sha256, spans``.
+    """One row per input row: ``id_col, n_assign, n_access, n_hex, base_sha256, spans, links``.
 
-    Places count code points, ends are exclusive. One pass without a shuffle:
+    ``links`` lists the parts of credentials as number:kind:start:end. Places count code points, ends are exclusive. One pass without a shuffle:
     a scope never leaves its text. Null and empty texts have no spans; null ids
     and repeated rows are kept as they come. An empty table gives an empty
     result; other columns are not read.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_run, "id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_run, "id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, links string").withColumnRenamed("id", id_col)

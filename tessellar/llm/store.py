@@ -49,3 +49,23 @@ def ascii_lower(text):
     """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+#: Ids of so many rows are broadcast (8 bytes each, some 25 as a hash table); beyond, both sides are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(rows: DataFrame, key: str, ids: DataFrame, how: str, most: int | None = None) -> DataFrame:
+    """``rows`` whose ``key`` is (``left_semi``) or isn't (``left_anti``) in the one column of ``ids``, a table that was cut.
+
+    The rows, which hold the texts, stay where they are as long as the ids are few enough.
+    """
+    (name,) = ids.columns
+    few = ids.count() <= (BROADCAST_IDS if most is None else most)
+    other = ids.withColumnRenamed(name, "__other")
+    return rows.join(F.broadcast(other) if few else other, F.col(key) == F.col("__other"), how)
+
+
+def repeats(rows: DataFrame, key: str) -> bool:
+    """Whether an id other than null stands on several rows."""
+    return not rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty()

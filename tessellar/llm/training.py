@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
+from .store import cut
 
 #: Labelled documents that a classifier is fitted on, at most; which, follows from a hash of the id.
 SAMPLE = 8000
+#: Bytes of features that they may have in all: what goes to the driver, however long the texts.
+SAMPLE_BYTES = 192 << 20
 
 
 def held_out(id_col: Column, folds: int = 5) -> Column:
@@ -21,28 +24,38 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, bound: int = SAMPLE) -> DataFrame:
-    """``label, text`` of at most ``bound`` labelled rows that aren't held out.
+    """``label, place, text`` of at most ``bound`` labelled rows that aren't held out; ``place`` is the hash that chose them.
 
     Only labels that have a document count towards the bound. A repeated id
     counts once in the labels (its largest label).
     """
     key = F.col(id_col)
     known = labels.where(F.col(label).isNotNull() & key.isNotNull() & ~held_out(key)).groupBy(key.alias("__id")).agg(F.max(label).cast("int").alias("label"))
-    known = known.join(docs.select(key.alias("__id")), "__id", "left_semi")
-    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(bound)
-    # bounded by the sample's size: 12 bytes a row
+    known = known.join(docs.select(key.alias("__id")), "__id", "left_semi").withColumn("place", F.xxhash64("__id"))
+    chosen = known.orderBy("place", "__id").limit(bound)
+    # bounded by the sample's size: 20 bytes a row
     texts = docs.select(key.alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("label", "text")
+    return texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("label", "place", "text")
 
 
-def features(rows: DataFrame, run: Callable[[pa.Array], Iterator[np.ndarray]]) -> list[tuple[int, np.ndarray]]:
-    """Of each (bounded) labelled row its label and ``run``'s array of 32-bit integers, in a fixed order."""
+def features(rows: DataFrame, run: Callable[[pa.Array], Iterator[np.ndarray]], most: int = SAMPLE_BYTES) -> list[tuple[int, np.ndarray]]:
+    """Of each (bounded) labelled row its label and ``run``'s array of 32-bit integers, in a fixed order.
+
+    Of rows with more than ``most`` bytes of features in all, the first by
+    ``place`` that have no more.
+    """
     ship(rows.sparkSession)
 
     def apply(batches):
         for batch in batches:
-            blobs = [x.astype("<i4").tobytes() for x in run(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["label", "features"])
-
-    got = rows.mapInArrow(apply, "label int, features binary").collect()
-    return [(r.label, np.frombuffer(r.features, "<i4")) for r in sorted(got, key=lambda r: (r.label, bytes(r.features)))]
+            blobs = [x.astype("<i4").tobytes() for x in run(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["label", "place", "features"])
+
+    made = cut(rows.mapInArrow(apply, "label int, place bigint, features binary"), "features")
+    sizes = sorted((r.place, r.size) for r in made.select("place", F.octet_length("features").alias("size")).collect())
+    total = np.cumsum([size for _, size in sizes])
+    # the hash is the id's: rows of one id stay or go together
+    fits = int(np.searchsorted(total, most, side="right"))
+    last = sizes[fits][0] if fits < len(sizes) else None
+    got = (made if last is None else made.where(F.col("place") < last)).collect()
+    return [(r.label, np.frombuffer(r.features, "<i4")) for r in sorted(got, key=lambda r: (r.place, r.label, bytes(r.features)))]

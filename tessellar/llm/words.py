@@ -62,7 +62,19 @@ def _power(kind: str, n: int) -> np.ndarray:
 
 
 def hash_spans(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``codes[start:end]`` for every span: a polynomial by prefix sums."""
+    """A 64-bit hash of ``codes[start:end]`` for every span, in order of their starts: a polynomial by prefix sums.
+
+    Of a long text the spans are taken some MB at a time, as the sums have 8
+    bytes a byte; what is kept has 8 bytes a span.
+    """
+    if len(codes) > 2 * SLICE_BYTES and len(start) > 1:
+        cuts = np.searchsorted(start, np.arange(int(start[0]) + SLICE_BYTES, int(start[-1]) + 1, SLICE_BYTES))
+        edges = np.unique(np.concatenate([[0], cuts, [len(start)]]))
+        return np.concatenate([_hash(codes[start[a] : end[a:b].max()], start[a:b] - start[a], end[a:b] - start[a]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    return _hash(codes, start, end)
+
+
+def _hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     n = len(codes)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[codes] * _power("p", n + 1)[:n], dtype=np.uint64, out=sums[1:])
@@ -116,7 +128,7 @@ def words(s: Slice, separators: np.ndarray = SPACE) -> Words:
 
 
 def shingles(h: np.ndarray, row: np.ndarray, rows: int, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes (52 bits) of all rows, and where each row's begin.
+    """Sorted distinct shingle hashes (64 bits) of all rows, and where each row's begin.
 
     A row of fewer than ``size`` words has its whole sequence as the one
     shingle; a row without words has none.
@@ -140,8 +152,11 @@ def shingles(h: np.ndarray, row: np.ndarray, rows: int, size: int = 5) -> tuple[
         np.add.at(part, row[some], h[some] * coef[place[some]])
         value = np.concatenate([value, mix(part[short] + stream(3, size)[many[short]])])
         of = np.concatenate([of, short])
-    key = np.sort((of.astype(np.uint64) << np.uint64(52)) | (value >> np.uint64(12)))
-    if len(key):
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    starts = np.searchsorted(key, np.arange(rows + 1, dtype=np.uint64) << np.uint64(52)) if rows < SLICE_ROWS else np.append(np.searchsorted(key, np.arange(rows, dtype=np.uint64) << np.uint64(52)), len(key))
-    return key & np.uint64((1 << 52) - 1), starts
+    # sorted by value, then (stably, by radix) by row: all 64 bits of a value tell shingles apart
+    order = np.argsort(value)
+    order = order[np.argsort(of[order].astype(np.uint16), kind="stable")]
+    value, of = value[order], of[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
+    value, of = value[new], of[new]
+    return value, np.searchsorted(of, np.arange(rows + 1))

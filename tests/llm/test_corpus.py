@@ -64,10 +64,27 @@ def test_exact_duplicates(spark, docs):
     assert sorted(r.doc_id for r in exactdup.drop_exact_duplicates(docs).collect()) == [2, 4, 5, 6, 7, 8]
     sha = {r.doc_id: r.text_sha256 for r in exactdup.exact_duplicates(docs).collect()}
     assert sha[7] == hashlib.sha256("ünï çödé É é".encode()).hexdigest()
+
+
+def test_digest_index_over_batches(spark, docs):
     index = exactdup.DigestIndex(spark, "own_index", 4)
-    for batch in (docs.where("doc_id < 3"), docs):
-        index.append(exactdup.digests(batch))
-    assert sorted((r.keep_id, r.group_size) for r in index.read().collect()) == [(2, 2), (4, 2), (5, 1), (6, 3), (7, 1), (8, 1)]
+    batches = [[(1, "x"), (None, "n")], [(8, "x"), (9, "X"), (2, "q")], [(4, "q"), (None, "z"), (3, "n")], []]
+    seen = {}
+    for k, rows in enumerate(batches):
+        index.append(exactdup.digests(spark.createDataFrame(rows, "doc_id bigint, text string")))
+        for d, t in rows:
+            seen.setdefault(t.lower(), []).append(d)
+        want = sorted((max((d for d in v if d is not None), default=0), len(v)) for v in seen.values())
+        assert sorted((r.keep_id or 0, r.group_size) for r in index.read().collect()) == want
+        if k == 1:
+            index.compact()
+    assert spark.table(index.name).count() == spark.table(index.name).select("digest").distinct().count() == len(seen)
+    # a table added to a kept index is judged by all of its batches
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exactdup.exact_duplicates(spark.createDataFrame([(5, "x"), (11, "Q")], "doc_id bigint, text string"), index="own_index").collect()}
+    assert got == {(5, 9, 4, False), (11, 11, 3, True)}
+    index.drop()
+    before = len(spark.catalog.listTables())
+    assert exactdup.exact_duplicates(docs, batches=3).count() == len(ROWS) and len(spark.catalog.listTables()) == before
 
 
 def test_mix(spark, docs):
@@ -131,7 +148,7 @@ def test_near_duplicates_against_brute_force(spark, docs):
         for k in g.integers(0, 120, int(g.integers(0, 4))):
             words[k] = f"x{d}"
         rows.append((d, " ".join(words), "z"))
-    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), percent=85).collect()}
     fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
     for d, t, _ in rows:
@@ -193,11 +210,11 @@ def test_classifiers_on_held_out_rows(spark, docs, labels, module, label):
 
 
 def test_toxic_sentence_is_located():
-    weights = np.zeros(1 << toxicity.BITS)
+    weights, order = np.zeros(1 << toxicity.BITS), np.zeros(1 << toxicity.BITS)
     s = next(slices(pa.array(["scum"])))
-    weights[toxicity.sentence_words(s)[1][0, 0]] = 9
+    weights[toxicity.sentence_words(s)[1][0, 0]], order[toxicity.sentence_words(s)[1][0, 0]] = 9, 1
     text = "é fine. you scum here! ok"
-    row, start, end, p = toxicity.Model(weights, -4.0).sentences(next(slices(pa.array([text]))))
+    row, start, end, p = toxicity.Model(weights, -4.0, order).sentences(next(slices(pa.array([text]))))
     data = text.encode()
     assert [data[a:b].decode() for a, b, x in zip(start, end, p, strict=True) if x > 0.5] == ["you scum here"]
 

@@ -37,7 +37,7 @@ def near(rows):
         w = WORD.findall((t or "").translate(FOLD))
         sets.append((d, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
     least = {d: d for d, _ in sets}
-    links = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :] if x and y and 100 * len(x & y) >= 85 * len(x | y)]
+    links = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :] if x and y and 100 * len(x & y) >= 80 * len(x | y)]
     for _ in links:
         for a, b in links:
             least[a] = least[b] = min(least[a], least[b])
@@ -45,11 +45,12 @@ def near(rows):
 
 
 def mixed(rows):
-    """Copies of each document: water filling, then rank order and closing documents by sorting whole sources."""
+    """Copies of each document: water filling, then every source's documents one after another by Pareto rank."""
     docs = [(d, s, len(WORD.findall(t or "")), int(md5(f"0:{d}".encode()).hexdigest()[:12], 16)) for d, t, s in rows]
-    size = Counter()
+    size, many = Counter(), Counter()
     for _, s, n, _ in docs:
         size[s] += n
+        many[s] += n > 0
     names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: k % 3 + 1 for k, s in enumerate(names)}
     total, full = float(sum(size.values())), set()
@@ -65,24 +66,26 @@ def mixed(rows):
         target = 3 * size[s] if s in full else left * weight[s] / share
         whole = int(target // size[s]) if size[s] else 0
         gap = target - whole * size[s]
-        order = sorted((u, d, n) for d, t, n, u in docs if t == s and n)
         more = set()
         if gap > 0:
-            at = 0
-            while at < len(order) and order[at][2] <= gap:
-                gap -= order[at][2]
-                more.add(order[at][1])
-                at += 1
-            rest = order[at:]
-            for k in range(mixing.CLOSING):
-                fit = [x for x in rest if (x[2] <= gap if k < mixing.CLOSING - 1 else abs(x[2] - gap) < gap)]
-                if not fit:
-                    continue
-                best = min(fit, key=lambda x: (abs(x[2] - gap), x[0], x[1]))
-                rest.remove(best)
-                gap -= best[2]
-                more.add(best[1])
-        copies |= {d: whole + (d in more) for _, d, _ in order}
+            p = gap / size[s]
+            order = []
+            for d, t, n, draw in docs:
+                if t == s and n:
+                    u = (draw + 0.5) / 2.0**48
+                    q = u / (1 - u) / (p / (1 - p) * (n * many[s]) / size[s])
+                    order.append((int(q / (1 + q) * 2.0**48), d, n))
+            over = []
+            for rank, d, n in sorted(order):
+                if n <= gap:
+                    gap -= n
+                    more.add(d)
+                else:
+                    over.append((n, rank, d))
+            near = [(abs(n - gap), rank, d) for n, rank, d in over if n < 2 * gap]
+            if near:
+                more.add(min(near)[2])
+        copies |= {d: whole + (d in more) for d, t, _, _ in docs if t == s}
     return copies
 
 
@@ -147,3 +150,24 @@ def test_mix_equals_its_sql(spark):
     want = sorted(db.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES['op3_mix_sources']})").fetchall())
     got = sorted(tuple(r[c] for c in cols) for r in mixing.mix(docs).collect())
     assert got == want
+
+
+def test_mix_passes_over_what_does_not_fit(spark):
+    rows = [(k, "w " * 100, "a") for k in range(800)] + [(900, "w " * 20000, "a")] + [(k, "w " * 7, "b") for k in range(1000, 1040)] + [(1100, "w " * 3000, "b"), (1101, "w w", "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for r in mixing.mix(docs, share=0.31).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 50
+
+
+def test_mix_with_sources_joined_by_shuffle(spark):
+    docs = table(spark, SMALL, "documents")
+    sized = mixing._sized(docs, "doc_id", "text", "source", 0)
+    few, many = (mixing._copies(sized, *mixing._plan(sized, (1, 2, 3), 1.0, 3, few=way)).select("id", "size", "copies") for way in (True, False))
+    assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_larger_documents_are_likelier(spark):
+    rows = [(k, "w " * (10 if k % 2 else 40), "ab"[k % 4 > 1]) for k in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights=(1, 9), share=0.5).where("source = 'a'")
+    by = {r["size"]: r.n for r in got.where("taken > 0").groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert by[40] > 2 * by[10] > 0
