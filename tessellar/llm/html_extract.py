@@ -1,16 +1,21 @@
 """Main text of web pages from parser events and the text-to-tag ratio.
 
-The standard library's parser is fed one page at a time; its events give lines
-(the text between two block boundaries) with the number of tags met in each,
-the element they stand in and whether that is boilerplate by its kind. The
-lines' text-to-tag ratios are smoothed with a Gaussian and split in two
-clusters; the container that holds most text of content lines is the article,
-and all its lines but boilerplate are the page's text.
+The standard library's parser gives events; they give lines (the text between
+two block boundaries) with the number of tags met in each and the block element
+they stand in. The lines' text-to-tag ratios, links not counted, are smoothed
+with a Gaussian, weighed by what the markup says of their elements, and split in
+two clusters on a logarithmic scale: content and the rest. The lowest element
+that holds nearly all text of content lines is the article. In it what the
+markup marks as something else stays out unless the clusters find most of it to
+be content, and where the markup names no article so do the lines before and
+after the content. Marks are evidence, not a verdict: a word that most of a
+page's text stands under says nothing and is passed over.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -24,47 +29,75 @@ from ..functions.ship import ship
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements whose text is never part of an article.
-DROPPED = frozenset("aside audio button canvas datalist dialog embed fieldset footer form head header iframe input label legend map math menu nav noscript object optgroup option script select style svg template textarea title video".split())
+#: Elements that hold no text of the page.
+UNSEEN = frozenset("audio button canvas datalist embed head iframe input label legend map math noscript object optgroup option script select style svg template textarea title video".split())
+#: Elements and roles of what stands around an article.
+AROUND = frozenset("aside dialog footer header menu nav".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words of a class or id that mark boilerplate, whatever the element.
-MARKS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related replies respond share sharing sidebar sidenav skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget".split())
-#: Of these, what is boilerplate on an article's element too (readers' comments are often articles in markup).
+#: Words of a class or id that speak for boilerplate.
+MARKS = tuple("ad ads adsbygoogle advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related replies respond share sharing sidebar sidenav skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget".split())
+#: Readers' comments, on any block.
 COMMENTS = frozenset("comment commentlist comments".split())
+#: What inline elements and an article's own element may be dropped for.
+ADVERTS = frozenset("adsbygoogle advert adverts advertisement".split())
+#: Words that say what a part of a layout is: with a mark in one name they leave it whole ("site-footer"), others make it a name of its own ("related-work").
+LAYOUT = frozenset("area bar block bottom box buttons column container content global group holder icons inner item items left links list main outer page panel popup posts primary right row secondary section site slot top user wrap wrapper".split())
 #: Words that make a class say something of a page's state, not of what the element is (has-sidebar, comments-open).
 STATES = frozenset("closed disabled enabled has hide is no open show with without".split())
-CONTAINERS = frozenset("article main".split())
-CONTAINER_MARKS = frozenset("article content entry main maincontent post story".split())
+ARTICLES = frozenset("article main".split())
+ARTICLE_MARKS = frozenset("article content entry main maincontent post story".split())
 #: An open element that a new one of the same group closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that such closing doesn't reach beyond.
 SCOPES = frozenset("article aside body blockquote div dl footer form header main nav ol section table tbody ul".split())
+#: Blocks that an id marks; on others (sections, headings) it is an anchor's name.
+NAMED = frozenset("div dl ol table td ul".split())
 
+#: Weights of what is marked for certain, in part, and of a form; of an article. A line below LEAST is never content.
+CERTAIN, PARTLY, FORM, ARTICLE, LEAST = 0.05, 0.5, 0.4, 3.0, 0.2
+#: The share of content that the article's element holds, and that of a page under a mark from which on it says nothing.
+NEARLY, COMMON = 0.8, 0.6
 
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _JOINTS = re.compile(r"[-_:]+")
+_BIT = {word: 1 << k for k, word in enumerate((*MARKS, *sorted(COMMENTS)))}
+_COMMENT = sum(_BIT[word] for word in COMMENTS)
+_ADVERT = sum(_BIT[word] for word in ADVERTS)
 
 
 @lru_cache(4096)
-def marks_of(names: str) -> frozenset[str]:
-    """The words of an element's classes and id, and each name run together; names of a state have none."""
-    out = set()
+def marks_of(names: str) -> tuple[int, int, bool]:
+    """What classes or an id say: marks that a whole name stands for, marks that are part of a name, and whether it is an article's."""
+    whole = partly = 0
+    article = False
     for name in names.split():
         parts = _JOINTS.sub(" ", _CAMEL.sub(" ", name)).lower().split()
-        if len(parts) == 1 or not STATES.intersection(parts):
-            out.update(parts, ["".join(parts)])
-    return frozenset(out)
+        joined = "".join(parts)
+        found = sum({_BIT[w] for w in (*parts, joined) if w in _BIT})
+        if len(parts) > 1 and STATES.intersection(parts):
+            continue
+        if found and (joined in _BIT or all(w in _BIT or w in LAYOUT or w.isdigit() for w in parts)):
+            whole |= found
+        else:
+            partly |= found
+        article = article or not found and bool(ARTICLE_MARKS.intersection((*parts, joined)))
+    return whole, partly, article
 
 
 class _Lines(HTMLParser):
+    """Lines of a page, and its block elements as nodes with their parent. Every event takes constant time but for what it closes."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # name, boilerplate here or above, container
-        self.containers = [(0, -1)]  # rank, parent; the page itself is the first
-        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, container, linked only
+        self.stack: list[tuple[str, bool, int]] = []  # name, unseen here or above, node
+        self.places: dict[str, list[int]] = {}  # of each open name its places in the stack
+        self.scopes: list[int] = []
+        self.blocks: list[int] = []
+        # parent, marks of whole names, of parts, element's own weight, article
+        self.nodes: list[tuple[int, int, int, float, bool]] = [(-1, 0, 0, 1.0, False)]
+        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, node, linked, heading
         self.text: list[str] = []
-        self.tags = 1
-        self.linked = self.all = 0
+        self.tags, self.linked, self.heading = 1, 0, False
 
     def _state(self) -> tuple[bool, int]:
         return self.stack[-1][1:] if self.stack else (False, 0)
@@ -73,9 +106,27 @@ class _Lines(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, self._state()[1], self.linked > 0.8 * self.all))
-            self.text, self.linked, self.all = [], 0, 0
-        self.tags = 1
+                self.lines.append((text, self.tags, self._state()[1], min(self.linked, len(text)), self.heading))
+            self.text, self.linked = [], 0
+        self.tags, self.heading = 1, False
+
+    def _push(self, tag: str, unseen: bool, node: int) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, unseen, node))
+        self.places.setdefault(tag, []).append(at)
+        if tag in SCOPES:
+            self.scopes.append(at)
+        if tag not in INLINE:
+            self.blocks.append(at)
+
+    def _cut(self, at: int) -> None:
+        for tag, _, _ in self.stack[at:]:
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+        del self.stack[at:]
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -88,25 +139,37 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         if tag in CLOSES:
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] in SCOPES:
-                    break
-                if self.stack[k][0] in CLOSES[tag]:
-                    del self.stack[k:]
-                    break
-        out, container = self._state()
+            scope = self.scopes[-1] if self.scopes else -1
+            open_ = max((self.places[k][-1] for k in CLOSES[tag] if self.places.get(k)), default=-1)
+            if open_ > scope:
+                self._cut(open_)
+        unseen, node = self._state()
         if tag == "body":
-            out = False
+            unseen = False
         given = {k: (v or "") for k, v in attrs}
-        marks = marks_of(f"{given.get('class', '')} {given.get('id', '')}")
-        role = given.get("role", "").lower()
-        if not out and tag not in ("html", "body"):
-            hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
-            out = tag in DROPPED or role in ROLES or hidden or bool(marks & (COMMENTS if tag in CONTAINERS else MARKS))
-        if not out and (tag in CONTAINERS or role in ("main", "article") or (tag in ("div", "section", "td") and marks & CONTAINER_MARKS)):
-            self.containers.append((2 if tag in CONTAINERS or role in ("main", "article") else 1, container))
-            container = len(self.containers) - 1
-        self.stack.append((tag, out, container))
+        if not unseen and tag not in ("html", "body"):
+            unseen = tag in UNSEEN or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
+        if not unseen and tag not in ("html", "body", "p", "br"):
+            whole, partly, article = marks_of(given.get("class", ""))
+            by_id = marks_of(given.get("id", ""))
+            role = given.get("role", "").lower()
+            if tag in INLINE:
+                unseen = bool(whole & _ADVERT)
+            elif not (len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()):
+                if tag in NAMED:
+                    whole, partly, article = whole | by_id[0], partly | by_id[1], article or by_id[2]
+                else:
+                    whole |= by_id[0] & _COMMENT
+                main = tag in ARTICLES or role in ("main", "article")
+                if main:  # only comments and adverts undo that
+                    whole, partly = whole & (_COMMENT | _ADVERT), 0
+                own = CERTAIN if tag in AROUND or role in ROLES else FORM if tag in ("form", "fieldset") else 1.0
+                named = main or (article and tag in ("div", "section", "td"))
+                self.nodes.append((node, whole, partly, own, named and not whole and own == 1.0))
+                node = len(self.nodes) - 1
+            else:
+                self.heading = True
+        self._push(tag, unseen, node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -115,21 +178,24 @@ class _Lines(HTMLParser):
         if tag not in INLINE:
             self._line()
         self.tags += 1
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                break
-            if tag in INLINE and self.stack[k][0] not in INLINE:
-                break
+        at = self.places.get(tag)
+        if at and (tag not in INLINE or not self.blocks or at[-1] > self.blocks[-1]):
+            self._cut(at[-1])
 
     def handle_data(self, data):
         if self._state()[0]:
             return
         self.text.append(data)
-        n = len(data.strip())
-        self.all += n
-        if any(x[0] == "a" for x in self.stack[-3:]):
-            self.linked += n
+        if self.places.get("a"):
+            self.linked += len(data.strip())
+
+    def parse_marked_section(self, i, report=1):
+        """Any ``<![...]>`` is passed over, whatever its keyword."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
+    def unknown_decl(self, data):
+        pass
 
 
 def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -155,37 +221,92 @@ def threshold(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str) -> str:
-    """The article's text; empty if the page has none."""
+def _weights(parser: _Lines) -> np.ndarray:
+    """What the markup says of every node, with all above it."""
+    nodes = parser.nodes
+    whole, partly = [0] * len(nodes), [0] * len(nodes)
+    for k in range(1, len(nodes)):
+        up, a, b, _, _ = nodes[k]
+        whole[k], partly[k] = whole[up] | a, partly[up] | b
+    under: Counter = Counter()
+    for text, _, node, _, _ in parser.lines:
+        under[whole[node] | partly[node]] += len(text)
+    total = sum(under.values())
+    said = sum(bit for bit in _BIT.values() if bit & _COMMENT or sum(n for marks, n in under.items() if marks & bit) <= COMMON * total)
+    forms = Counter()
+    form = [False] * len(nodes)
+    for k in range(1, len(nodes)):
+        form[k] = form[nodes[k][0]] or nodes[k][3] == FORM
+    for text, _, node, _, _ in parser.lines:
+        forms[form[node]] += len(text)
+    weight = np.ones(len(nodes))
+    inside = [False] * len(nodes)
+    for k in range(1, len(nodes)):
+        up, a, b, own, article = nodes[k]
+        w = weight[up] * (1.0 if own == FORM and forms[True] > COMMON * total else own)
+        if a & said:
+            w *= CERTAIN
+        elif b & said:
+            w *= PARTLY
+        inside[k] = inside[up] or article
+        weight[k] = max(w * (ARTICLE if article and not inside[up] else 1.0), 1e-9)
+    return weight
+
+
+def _ended(html: str) -> str:
+    """The page with tags and comments that never end as text: the parser would look for their ends again and again."""
+    comment = html.rfind("-->") + 1
+    html = html[:comment] + html[comment:].replace("<!--", "&lt;!--")
+    tag = html.rfind(">") + 1
+    return html[:tag] + html[tag:].replace("<", "&lt;")
+
+
+def main_text(html: str, scores=None) -> str:
+    """The article's text; empty if the page has none. ``scores`` may stand in for the smoothed ratio of the lines."""
     parser = _Lines()
-    parser.feed(html)
+    parser.feed(_ended(html))
     parser.close()
     parser._line()
-    lines = parser.lines
+    lines, nodes = parser.lines, parser.nodes
     if not lines:
         return ""
+    weight = _weights(parser)
+    at = np.array([x[2] for x in lines])
     sizes = np.array([len(x[0]) for x in lines], float)
-    ratio = smooth(sizes / np.array([x[1] for x in lines], float))
-    content = ratio >= threshold(ratio)
-    inside: list[list[int]] = []  # containers of each line, innermost first
-    votes = np.zeros(len(parser.containers))
-    for k, line in enumerate(lines):
-        chain, c = [], line[2]
-        while c >= 0:
-            chain.append(c)
-            c = parser.containers[c][1]
-        inside.append(chain)
-        if content[k] and not line[3]:
-            votes[chain[0]] += sizes[k]
-    if not votes.any():
+    linked = np.array([x[3] for x in lines], float)
+    ratio = smooth((sizes - 0.9 * linked) / np.array([x[1] for x in lines], float)) if scores is None else scores(lines)
+    score = np.log1p(ratio * weight[at])
+    content = (score >= threshold(score)) & (weight[at] >= LEAST)
+    # text, and text of content lines, in every node with all below it
+    every, votes = np.zeros(len(nodes)), np.zeros(len(nodes))
+    np.add.at(every, at, sizes)
+    np.add.at(votes, at, sizes * content)
+    for k in range(len(nodes) - 1, 0, -1):
+        every[nodes[k][0]] += every[k]
+        votes[nodes[k][0]] += votes[k]
+    if not votes[0]:
         return ""
-    best = int(votes.argmax())
-    # a container within the article (a quoted one, say) isn't the whole of it: up to the outermost of the best kind
-    while (up := parser.containers[best][1]) > 0 and parser.containers[up][0] >= parser.containers[best][0] and votes[up] > 0:
-        best = up
-    if best == 0:  # no container: all but lines of links below the border
-        return " ".join(x[0] for k, x in enumerate(lines) if not x[3] or content[k])
-    return " ".join(x[0] for k, x in enumerate(lines) if best in inside[k])
+    # the lowest node with nearly all votes, but not below an article's
+    best = 0
+    for k in range(1, len(nodes)):
+        if nodes[k][0] == best and votes[k] >= NEARLY * votes[0] and not nodes[best][4]:
+            best = k
+    low = [False] * len(nodes)  # below the best node
+    out = [False] * len(nodes)  # in a block that stays out
+    for k in range(len(nodes)):
+        up = nodes[k][0]
+        low[k] = k == best or (up >= 0 and low[up])
+        out[k] = k != best and up >= 0 and (out[up] or (low[k] and weight[k] < 0.9 * weight[up] and 2 * votes[k] < every[k]))
+    keep = np.array([low[k] and not out[k] for k in at])
+    if not nodes[best][4]:
+        # without a named article: from the first content line, with the headings right before it, to the last
+        held = np.flatnonzero(content & keep)
+        first, last = int(held[0]), int(held[-1])
+        while first and keep[first - 1] and lines[first - 1][4]:
+            first -= 1
+        keep[:first] = keep[last + 1 :] = False
+        keep &= content | (linked < 0.5 * sizes)
+    return " ".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,8 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -81,12 +83,44 @@ def adpcm_pcm(blocks: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Zero crossings of the low-pass on either side, and output samples that are made at once.
+CROSSINGS, CHUNK = 16, 1 << 15
+
+
+@lru_cache(64)
+def _low_pass(up: int, down: int) -> np.ndarray:
+    """A row of weights for each place of an output between two samples."""
+    band = min(1.0, up / down)
+    reach = int(np.ceil(CROSSINGS / band))
+    t = (np.arange(-reach, reach + 2) - np.arange(up)[:, None] / up) * band
+    w = np.sinc(t) * np.where(np.abs(t) < CROSSINGS, np.cos(np.pi * t / (2 * CROSSINGS)) ** 2, 0.0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation, ``round(len * to / rate)`` samples."""
-    n = round(len(pcm) * to / rate)
+    """``ceil(len * to / rate)`` samples, by a windowed sinc whose band ends at the lower of both Nyquist rates.
+
+    In lowest terms to / rate is up / down: output k lies at k * down / up, so
+    there are ``up`` sets of weights, each summing to 1, and each output is one
+    product over the samples around it. Beyond the ends is silence.
+    """
+    step = gcd(rate, to)
+    up, down = to // step, rate // step
+    n = -(-len(pcm) * up // down)
     if not n or not len(pcm):
         return np.zeros(0, np.int16)
-    return np.rint(np.interp(np.arange(n) * (rate / to), np.arange(len(pcm)), pcm)).astype(np.int16)
+    if up == down:
+        return pcm.astype(np.int16)
+    weights = _low_pass(up, down)
+    reach = weights.shape[1] // 2 - 1
+    padded = np.concatenate([np.zeros(reach), pcm, np.zeros(reach + 2)])
+    views = np.lib.stride_tricks.sliding_window_view(padded, weights.shape[1])
+    out = np.empty(n, np.int16)
+    for k in range(up):
+        for first in range(k, n, CHUNK * up):
+            own = np.arange(first, min(n, first + CHUNK * up), up)
+            out[own] = np.rint(views[own * down // up] @ weights[k * down % up]).clip(-32768, 32767)
+    return out
 
 
 def store(payload: bytes, form: int = MULAW, rate: int = RATE) -> bytes:
@@ -146,56 +180,60 @@ def describe(pcm: np.ndarray) -> str:
     return f"{int(np.sqrt(float(x @ x) / len(x)))}/{int(np.abs(x).max())}/{int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))}"
 
 
+NAMES = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+
+def _described(ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+    rows: list[tuple] = []
+    backs: list[bytes] = []
+    for text in texts:
+        n, payload = payload_of(text)
+        media = store(payload)
+        _, _, back = read(media)
+        backs.append(back)
+        rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest()))
+    # the same bytes as ADPCM blocks: all documents' blocks at once
+    every = np.frombuffer(b"".join(backs), np.uint8).reshape(-1, BLOCK)
+    blocks = np.concatenate([adpcm_pcm(every[k : k + AT_ONCE]) for k in range(0, len(every), AT_ONCE)] or [np.zeros((0, 569), np.int16)])
+    at = 0
+    for k, back in enumerate(backs):
+        n = len(back) // BLOCK
+        kept = store_pcm(resample(expand(back, MULAW), RATE, RATE // 2), RATE // 2)
+        half = samples(kept)[1]
+        feature = f"mulaw={describe(expand(back, MULAW))};half={describe(half)};alaw={describe(expand(back, ALAW))};adpcm={describe(blocks[at : at + n].ravel())}"
+        rows[k] = (*rows[k], feature, kept)
+        at += n
+    cols = list(zip(*rows, strict=True)) or [()] * len(KINDS)
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, KINDS, strict=True))], NAMES)
+
+
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
-        rows: list[tuple] = []
-        held: list[tuple] = []
-        size = 0
-
-        def flush():
-            nonlocal held, size
-            if not held:
-                return
-            # the same bytes as ADPCM blocks: all documents' blocks at once, the first samples of each are its part
-            every = np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(-1, BLOCK)
-            pcm = np.concatenate([adpcm_pcm(every[k : k + AT_ONCE]) for k in range(0, len(every), AT_ONCE)])
-            at = 0
-            for row, back in held:
-                n = len(back) // BLOCK
-                narrow = resample(MULAW_PCM[np.frombuffer(back, np.uint8)], RATE, RATE // 2)
-                feature = f"mulaw={describe(expand(back, MULAW))};half={describe(narrow)};alaw={describe(expand(back, ALAW))};adpcm={describe(pcm[at : at + n].ravel())}"
-                rows.append((*row, feature))
-                at += n
-            held, size = [], 0
-
-        for text in batch.column(1):
-            n, payload = payload_of(text.as_py())
-            media = store(payload)
-            _, _, back = read(media)
-            held.append(((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest()), back))
-            size += len(back)
+        first, size, texts = 0, 0, []
+        for k, text in enumerate(batch.column(1)):
+            texts.append(text.as_py())
+            size += len(texts[-1] or "") + UNIT
             if size >= BLOCK * AT_ONCE:
-                flush()
-        flush()
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+                yield _described(batch.column(0).slice(first, len(texts)), texts)
+                first, size, texts = k + 1, 0, []
+        yield _described(batch.column(0).slice(first, len(texts)), texts)
 
 
 def telephony(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row with the figures of its stored audio, in one pass without a shuffle.
 
     Columns: ``id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature``. The features come from the bytes as
-    read back: as mu-law (also at half the rate), as A-law and as ADPCM blocks,
-    each with root mean square, peak and zero crossings. A null text counts as
+    media_bytes, media_sha256, feature, pcm``. The features come from the
+    bytes as read back: as mu-law (also at half the rate, from the WAVE file of
+    16-bit samples that ``pcm`` stores), as A-law and as ADPCM blocks, each
+    with root mean square, peak and zero crossings. A null text counts as
     empty, which is one unit of padding; null ids and repeated rows are kept.
     An empty table gives an empty result; other columns are not read.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_run, "id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_run, "id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm binary").withColumnRenamed("id", id_col)
 
 
 def media_column(docs: DataFrame, text_col: str = "text", form: int = MULAW, rate: int = 2 * RATE) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import html
 import re
+import time
 
+import numpy as np
 import pytest
 
 from tessellar.llm import html_extract
@@ -38,7 +40,8 @@ def test_layouts(page, want):
 
 
 def test_names_of_a_state_mark_nothing():
-    assert html_extract.marks_of("sideBar has-sidebar open") == {"side", "bar", "sidebar", "open"}
+    assert html_extract.marks_of("has-sidebar open comments-open") == (0, 0, False)
+    assert html_extract.marks_of("sideBar")[0] == html_extract.marks_of("site-sidebar")[0] == html_extract.marks_of("sidebar-prices")[1] != 0
 
 
 def test_whole_table(spark):
@@ -52,3 +55,37 @@ def test_whole_table(spark):
         text = " ".join(x for x in lines if x)
         assert got.pop(k) == (text, len(text))
     assert not got
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class=elementor-widget><div class='elementor-widget-text widget'>{BOTH}</div></div><div class=sidebar>{OTHER}</div>", TEXT),
+        (f"<body><form action=x><div id=nav><a>A</a></div><div>{BOTH}</div></form></body>", TEXT),
+        (f"<article><h2 id=share-prices>Prices</h2><p>{ONE}</p><section id=cookies><h2 class=related-work>More</h2><p>{TWO}</p></section></article>", f"Prices {ONE} More {TWO}"),
+        (f"<main><article><p>{ONE}</p></article><article><p>{TWO}</p></article></main>", TEXT),
+        (f"<main><div class=content><p>{ONE}</p></div><div class=content><p>{TWO}</p></div></main>", TEXT),
+        (f"<![foo[bar]]><article>{BOTH}<![if !IE]><![endif]></article>", TEXT),
+        ("<article><p>see <code><span class='hljs-comment'>// a comment</span> x</code> and on it goes for a while, so that it is read.</p></article>", "see // a comment x and on it goes for a while, so that it is read."),
+        (f"<div><a>Home</a> <a>News</a></div><div><p>{ONE}</p><p>{TWO}</p></div><div><a>Imprint</a></div>", TEXT),
+        ("<![x<!y<?z", "<![x<!y<?z"),
+    ],
+)
+def test_marks_are_evidence_only(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_the_ratio_chooses():
+    # no names, no article: only the ratio tells the text from what is around it
+    page = "<div>" + "".join(f"<div><b>x</b><i>{k}</i><u>y</u></div>" for k in range(8)) + f"</div><div>{BOTH}</div><div>" + "".join(f"<div><b>z</b><i>{k}</i></div>" for k in range(8)) + "</div>"
+    assert html_extract.main_text(page) == TEXT
+    turned = html_extract.main_text(page, scores=lambda lines: 1000.0 / (1 + np.array([len(x[0]) for x in lines])))
+    assert turned != TEXT
+
+
+def test_odd_markup_takes_linear_time():
+    n = 20000
+    for page in ("<div>" * n + "</p>" * n, "</p>" * (n * 10), "<b>" * n + "<p>x" * n, "<span>" * n + "</div>" * n, "<!--" * n, "<a " * n, "</" * n):
+        began = time.time()
+        html_extract.main_text(page)
+        assert time.time() - began < 4
