@@ -122,3 +122,26 @@ def left_gauge(a: np.ndarray, tol: float = 1e-12, maxiter: int = 100) -> tuple[n
         l = qr_positive(mixed)[1]
         l = l / np.linalg.norm(l)
     return q, new, size
+
+
+def nearest_isometries(centre: np.ndarray, bond: np.ndarray, before: np.ndarray, i: int, j: int) -> dict:
+    """``AL``, ``AR`` nearest to a cell's centre and the bonds after and before it, and what they miss as ``EL``, ``ER``."""
+    ac, c, b = (x / np.linalg.norm(x) for x in (centre, bond, before))
+    n, d, m = ac.shape
+    q, r = qr_positive(ac.reshape(n * d, m))
+    p, s = qr_positive(c)
+    # the factors from the right are those of the adjoint
+    y, u = qr_positive(ac.reshape(n, d * m).conj().T)
+    x, v = qr_positive(b.conj().T)
+    left, right = (q @ p.conj().T).reshape(n, d, m), (x @ y.conj().T).reshape(n, d, m)
+    return {("AL", i, j): left, ("AR", i, j): right, ("EL", i, j): np.linalg.norm(r - s), ("ER", i, j): np.linalg.norm(u - v)}
+
+
+def outside(t: dict, i: int, j: int, rows: int) -> float:
+    """What the centre's map, once down through all rows, leaves outside the tangent space of the state at a cell."""
+    x = np.tensordot(t["AL", i, j], t["C", i, j], 1)
+    for k in range(i, i + rows):
+        k %= rows
+        x = centre_step(x, t["FL", k, j], t["M", k, j], t["FR", k, j])
+    ar = t["AR", i, j]
+    return np.linalg.norm(x - np.tensordot(np.tensordot(x, ar.conj(), ([1, 2], [1, 2])), ar, 1))

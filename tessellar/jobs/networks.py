@@ -9,7 +9,7 @@ from ..functions.lineage import cut
 from ..operators import cells, environments, ising, maps, variational
 from ..operators.contract import contract
 from ..operators.tensor import Tensor
-from ..sources.tables import CELL, lineitem_tensor, table
+from ..sources.tables import CELL, lineitem_tensors, table
 from .queries import query
 
 #: Rows and columns of the Ising networks' unit cell, and their states' dimension.
@@ -23,7 +23,7 @@ def _lift(t: Tensor) -> Tensor:
 
 
 def _lineitem(spark: SparkSession, sf_dir: str, *names: str) -> list[Tensor]:
-    lifted = (_lift(lineitem_tensor(spark, sf_dir, k)) for k in names)
+    lifted = map(_lift, lineitem_tensors(spark, sf_dir, names))
     return [t._with(cut(t.df)) for t in lifted]
 
 
@@ -92,15 +92,15 @@ def _networks(betas: DataFrame, tensor) -> Tensor:
     return Tensor(df.select(*t.index, *cells.KEYS, "re", "im"), t.index, t.dims, cells.KEYS)
 
 
-def _problems(rows: DataFrame, key: str) -> DataFrame:
-    """Inverse temperatures from 0.5 on, in steps of 0.01, from the number of rows of each key."""
+def _problems(rows: DataFrame, key: str, first: int = 500000) -> DataFrame:
+    """Inverse temperatures (in millionths) from ``first`` on, in steps of 0.01, from the number of rows of each key."""
     n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return n.select((F.lit(500000) + F.pmod("n", F.lit(20)) * 10000).alias("problem")).distinct()
+    return n.select((F.lit(first) + F.pmod("n", F.lit(20)) * 10000).alias("problem")).distinct()
 
 
-def _exact(problems: str, columns: str) -> str:
+def _exact(problems: str, columns: str, first: int = 500000) -> str:
     """Onsager's solution, its integrals as sums over the midpoints of 2000 parts."""
-    return f"""WITH p AS (SELECT DISTINCT (500000 + n % 20 * 10000)::BIGINT AS problem FROM ({problems})),
+    return f"""WITH p AS (SELECT DISTINCT ({first} + n % 20 * 10000)::BIGINT AS problem FROM ({problems})),
         b AS (SELECT problem, problem / 1e6 AS beta, 2 * sinh(2 * beta) / pow(cosh(2 * beta), 2) AS k FROM p),
         f AS (SELECT problem, beta, sqrt(1 - pow(k * sin((x + 0.5) * pi() / 4000), 2)) AS s FROM b, range(2000) r(x)),
         o AS (SELECT problem, any_value(beta) AS beta, avg(ln(1 + s)) AS u, avg(1 / s) AS v FROM f GROUP BY problem)
@@ -115,7 +115,7 @@ def ising_observables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partition function, energy and magnetisation per site, all temperatures in one sweep."""
     betas = cut(_problems(table(spark, sf_dir, "customer"), "c_nationkey").select((F.col("problem") / F.lit(1e6)).alias("beta")))
     bulk, magnetic, energy = (t._with(cut(t.df)) for t in (_networks(betas, f) for f in (ising.bulk, ising.magnetic, ising.energy)))
-    state, _ = variational.solve(variational.start(bulk, CHI, SIDE, SIDE), SIDE, SIDE, tol=1e-8)
+    state, _ = variational.solve_whole(variational.start(bulk, CHI, SIDE, SIDE), SIDE, SIDE, tol=1e-8)
     state = cut(state)
     env = cut(variational.observing(state, None, SIDE))
     value = lambda t, name, f: variational.expectation(state, env, t, bulk, CHI, SIDE).select("problem", F.round(f("re"), 6).alias(name))
@@ -132,7 +132,7 @@ def num_grad_logz(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = problems.select(F.explode(F.array(F.col("problem") - step, F.col("problem") + step)).alias("problem"))
     bulk = _networks(cut(ends.select((F.col("problem") / F.lit(1e6)).alias("beta"))), ising.bulk)
     bulk = bulk._with(cut(bulk.df))
-    state, _ = variational.solve(variational.start(bulk, CHI, SIDE, SIDE), SIDE, SIDE, tol=1e-9, maxiter=12)
+    state, _ = variational.solve_whole(variational.start(bulk, CHI, SIDE, SIDE), SIDE, SIDE, tol=1e-9, maxiter=12)
     z = variational.partition_per_site(cut(state), bulk, CHI, SIDE, SIDE)
     middle = (F.round(F.col("problem") / 10000) * 10000).cast("long")
     slope = F.sum(F.log("z") * F.signum(middle - F.col("problem"))) / (2 * step / 1e6)
@@ -145,13 +145,39 @@ def grad_logz(spark: SparkSession, sf_dir: str) -> DataFrame:
     problems = _problems(table(spark, sf_dir, "supplier"), "s_nationkey")
     betas = cut(problems.select((F.col("problem") / F.lit(1e6)).alias("beta")))
     bulk, slope = (t._with(cut(t.df)) for t in (_networks(betas, f) for f in (ising.bulk, ising.bulk_slope)))
-    state, _ = variational.solve(variational.start(bulk, CHI, SIDE, SIDE), SIDE, SIDE, tol=1e-8)
+    state, _ = variational.solve_whole(variational.start(bulk, CHI, SIDE, SIDE), SIDE, SIDE, tol=1e-8)
     state = cut(state)
     by_entry = variational.gradient(state, cut(variational.observing(state, None, SIDE)), bulk, CHI, SIDE, SIDE)
     cell = contract((by_entry, slope)).df
     return cell.groupBy("problem").agg(F.round(0 - F.sum("re"), 6).alias("energy"))
 
 
+def _tilted(t: Tensor, down: str, up: str) -> Tensor:
+    """The same network with an invertible matrix between every two rows, and its inverse: seen from below it is another one."""
+    out = t
+    for leg, (a, b, c, e) in ((down, (2.0, 0.3, 0.1, 0.5)), (up, (0.5, -0.1, -0.3, 2.0))):
+        # up legs take the transposed inverse, over the determinant 0.97
+        over = 1.0 if leg == down else 0.97
+        rows = [(0, 0, a / over), (0, 1, b / over), (1, 0, c / over), (1, 1, e / over)]
+        x = out.df.sparkSession.createDataFrame(rows, "k int, l int, re double").withColumn("im", F.lit(0.0))
+        joined = contract((out.rename(*("k" if n == leg else n for n in out.index)), Tensor(x, ("k", "l"), {"k": 2, "l": 2}, ())), tuple("l" if n == leg else n for n in out.index))
+        out = joined.rename(*t.index)
+    return Tensor(out.df, t.index, t.dims, t.batch)
+
+
+@query(_exact("SELECT count(*) AS n FROM supplier GROUP BY s_nationkey", f"round({_ENERGY}, 5) AS energy", 150000))
+def updown_observables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy of networks that differ from above and from below: both boundary states, and environments between them.
+
+    Above the critical temperature, so that both are of the one phase.
+    """
+    problems = _problems(table(spark, sf_dir, "supplier"), "s_nationkey", 150000)
+    betas = cut(problems.select((F.col("problem") / F.lit(1e6)).alias("beta")))
+    bulk, energy = (t._with(cut(t.df)) for t in (_tilted(_networks(betas, f), "g", "b") for f in (ising.bulk, ising.energy)))
+    up, down, env = variational.observable_environment(bulk, CHI, SIDE, SIDE, tol=1e-8, maxiter=20)
+    return variational.expectation(up, env, energy, bulk, CHI, SIDE, down).select("problem", F.round("re", 5).alias("energy"))
+
+
 @query("SELECT c_custkey, round(sqrt(abs(c_acctbal)), 6) AS root FROM customer")
 def fixedpoint_sqrt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newton's square root of every balance by the iteration driver: a step is a projection, its error one aggregate."""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import ising, maps
 from ..operators.contract import contract
 from ..operators.factor import gram_r2, lqpos, qrpos
 from ..operators.tensor import Tensor, identity, random_like
-from ..sources.tables import CELL, LINEITEM, from_rows, lineitem_tensor, table
+from ..sources.tables import CELL, lineitem_tensor, lineitem_tensors, table
 from .oracles import chain, over, tensor_sql
 
 QUERIES = {}
@@ -26,11 +27,12 @@ def query(sql: str | None = None):
     return register
 
 
-def _contraction(name: str, sql: str, build):
-    """A query of tensors from ``lineitem``: ``build`` gets them by name."""
+def _contraction(name: str, sql: str, build, several: bool = True):
+    """A query of tensors from ``lineitem``: ``build`` gets them by name, ``several`` where one is read more than once."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = build(*(lineitem_tensor(spark, sf_dir, k) for k in build.__code__.co_varnames[: build.__code__.co_argcount]))
+        names = build.__code__.co_varnames[: build.__code__.co_argcount]
+        out = build(*(lineitem_tensors(spark, sf_dir, names) if several else [lineitem_tensor(spark, sf_dir, names[0])]))
         return out.df.select(*out.keys, "re", "im") if isinstance(out, Tensor) else out
 
     run.__name__ = name
@@ -47,33 +49,32 @@ for _name, _tensor in (("tensor_bulk", "M"), ("tensor_mps", "AU"), ("tensor_mps_
     query(tensor_sql(_tensor))(_run)
 
 # projections
-_contraction("tensor_conj", over("AU", "a, b, c, i, j, re, 0 - im AS im"), lambda AU: AU.conj())
-_contraction("tensor_permute", over("AU", "a AS c, b, c AS a, i, j, re, im"), lambda AU: AU.rename("c", "b", "a"))
-_contraction("tensor_shift_j", over("AU", "a, b, c, i, (j + 1) % 3 AS j, re, im"), lambda AU: AU.shift("j", 1, CELL))
-_contraction("tensor_shift_i", over("AU", "a, b, c, (i + 2) % 3 AS i, j, re, im"), lambda AU: AU.shift("i", -1, CELL))
-_contraction("tensor_mirror", over("AU", "a, b, c, 2 - i AS i, j, re, im"), lambda AU: AU.mirror("i", CELL))
-_contraction("tensor_slice", over("AU", "a, b, c, i, j, re, im", "WHERE i = 1"), lambda AU: AU.fix("i", 1))
-_contraction("tensor_flip", over("M", "d, b AS g, e, g AS b, 2 - i AS i, j, re, 0 - im AS im"), lambda M: M.flip("g", "b", "i", CELL))
-_contraction("safesign", over("C", "a, b, i, j, CASE WHEN re = 0 AND im = 0 THEN 1.0 ELSE re / sqrt(re * re + im * im) END AS re, CASE WHEN re = 0 AND im = 0 THEN 0.0 ELSE im / sqrt(re * re + im * im) END AS im"), lambda C: C.phase())
+_contraction("tensor_conj", over("AU", "a, b, c, i, j, re, 0 - im AS im"), lambda AU: AU.conj(), several=False)
+_contraction("tensor_permute", over("AU", "a AS c, b, c AS a, i, j, re, im"), lambda AU: AU.rename("c", "b", "a"), several=False)
+_contraction("tensor_shift_j", over("AU", "a, b, c, i, (j + 1) % 3 AS j, re, im"), lambda AU: AU.shift("j", 1, CELL), several=False)
+_contraction("tensor_shift_i", over("AU", "a, b, c, (i + 2) % 3 AS i, j, re, im"), lambda AU: AU.shift("i", -1, CELL), several=False)
+_contraction("tensor_mirror", over("AU", "a, b, c, 2 - i AS i, j, re, im"), lambda AU: AU.mirror("i", CELL), several=False)
+_contraction("tensor_slice", over("AU", "a, b, c, i, j, re, im", "WHERE i = 1"), lambda AU: AU.fix("i", 1), several=False)
+_contraction("tensor_flip", over("M", "d, b AS g, e, g AS b, 2 - i AS i, j, re, 0 - im AS im"), lambda M: M.flip("g", "b", "i", CELL), several=False)
+_contraction("safesign", over("C", "a, b, i, j, CASE WHEN re = 0 AND im = 0 THEN 1.0 ELSE re / sqrt(re * re + im * im) END AS re, CASE WHEN re = 0 AND im = 0 THEN 0.0 ELSE im / sqrt(re * re + im * im) END AS im"), lambda C: C.phase(), several=False)
 # sums and norms
 _contraction("tensor_add", over("AU", "a, b, c, i, j, sum(re) AS re, sum(im) AS im", "GROUP BY ALL", source="(SELECT * FROM t UNION ALL SELECT c AS a, b, a AS c, i, j, re, im FROM t)"), lambda AU: AU.add(AU.rename("c", "b", "a")))
 _contraction("axpy", over("AU", "a, b, c, i, j, sum(re) AS re, sum(im) AS im", "GROUP BY ALL", source="(SELECT a, b, c, i, j, 2 * re + im AS re, 2 * im - re AS im FROM t UNION ALL SELECT a, b, c, i, j, re, 0 - im FROM t)"), lambda AU: AU.scale(2.0, -1.0).add(AU.conj()))
 _contraction("env_norm5", over("AU", "a, b, c, i, j, re / sqrt(sum(re * re + im * im) OVER (PARTITION BY i, j)) AS re, im / sqrt(sum(re * re + im * im) OVER (PARTITION BY i, j)) AS im"), lambda AU: AU.normalized())
 _contraction("env_norm4", over("C", "a, b, i, j, re / sqrt(sum(re * re + im * im) OVER (PARTITION BY i, j)) AS re, im / sqrt(sum(re * re + im * im) OVER (PARTITION BY i, j)) AS im"), lambda C: C.normalized())
 _contraction("global_normalize", over("M", "d, g, e, b, i, j, re / sqrt(sum(re * re + im * im) OVER ()) AS re, im / sqrt(sum(re * re + im * im) OVER ()) AS im"), lambda M: M.normalized(()))
-_contraction("tensor_norm", over("AU", "i, j, sqrt(sum(re * re + im * im)) AS norm", "GROUP BY i, j"), lambda AU: AU.norms())
-_contraction("trace_cell", over("C", "i, j, sum(re) AS re, sum(im) AS im", "WHERE a = b GROUP BY i, j"), lambda C: C.trace())
+_contraction("tensor_norm", over("AU", "i, j, sqrt(sum(re * re + im * im)) AS norm", "GROUP BY i, j"), lambda AU: AU.norms(), several=False)
+_contraction("trace_cell", over("C", "i, j, sum(re) AS re, sum(im) AS im", "WHERE a = b GROUP BY i, j"), lambda C: C.trace(), several=False)
 _contraction(
     "hermitize",
     over("C", "a, b, i, j, re / tr AS re, im / tr AS im", source="(SELECT *, sum(CASE WHEN a = b THEN re ELSE 0 END) OVER (PARTITION BY i, j) AS tr FROM (SELECT a, b, i, j, sum(re) AS re, sum(im) AS im FROM (SELECT * FROM t UNION ALL SELECT b, a, i, j, re, 0 - im FROM t) GROUP BY ALL))"),
     lambda C: C.hermitized(),
 )
-_contraction("cellones", over("C", "a, a AS b, i, j, 1.0::DOUBLE AS re, 0.0::DOUBLE AS im", source="(SELECT DISTINCT i, j FROM t), (SELECT unnest(range(4))::INT AS a)"), lambda C: identity(C.df, 4))
+_contraction("cellones", over("C", "a, a AS b, i, j, 1.0::DOUBLE AS re, 0.0::DOUBLE AS im", source="(SELECT DISTINCT i, j FROM t), (SELECT unnest(range(4))::INT AS a)"), lambda C: identity(C.df, 4), several=False)
 _contraction(
     "random_state",
     over("M", "a, b, c, i, j, " + ", ".join(f"('0x' || substr(md5(concat_ws(',', 7, '{p}', a, b, c, i, j)), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS {p}" for p in ("re", "im")), source="(SELECT DISTINCT i, j FROM t), (SELECT unnest(range(4))::INT AS a), (SELECT unnest(range(2))::INT AS b), (SELECT unnest(range(4))::INT AS c)"),
-    lambda M: random_like(M.df, {"a": 4, "b": 2, "c": 4}, 7),
-)
+    lambda M: random_like(M.df, {"a": 4, "b": 2, "c": 4}, 7), several=False)
 # contractions: (tensor, labels, offset of its row and column from the result's before the final shift, conjugated)
 _contraction("al_c_to_ac", chain([("AU", "asc"), ("C", "cb")], "asb"), lambda AU, C: maps.absorb(AU, C))
 _contraction("lr_to_c", chain([("C", "ab"), ("C", "bc", 0, 1)], "ac"), lambda C: maps.bond_of(C, C, CELL))
@@ -164,7 +165,7 @@ def gram_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _betas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An inverse temperature for each nation from its customers' number."""
     n = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    return n.select((F.lit(0.3) + F.pmod("n", F.lit(40)) / F.lit(100.0)).alias("beta")).distinct()
+    return cut(n.select((F.lit(0.3) + F.pmod("n", F.lit(40)) / F.lit(100.0)).alias("beta")).distinct())
 
 
 _BETAS = "b AS (SELECT DISTINCT 0.3::DOUBLE + (n % 40) / 100.0::DOUBLE AS beta FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey))"

@@ -98,17 +98,7 @@ def centres(cells: DataFrame, columns: int) -> DataFrame:
 def _canonical(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     t = read(rows)
     problem, i, j = map(int, key)
-    unit = lambda x: x / np.linalg.norm(x)
-    ac, c, before = unit(t["AC", i, j]), unit(t["C", i, j]), unit(t["CB", i, j])
-    n, d, m = ac.shape
-    q, r = dense.qr_positive(ac.reshape(n * d, m))
-    p, s = dense.qr_positive(c)
-    al = (q @ p.conj().T).reshape(n, d, m)
-    # the factors from the right are those of the adjoint
-    y, u = dense.qr_positive(ac.reshape(n, d * m).conj().T)
-    x, v = dense.qr_positive(before.conj().T)
-    ar = (x @ y.conj().T).reshape(n, d, m)
-    return write(problem, {("AL", i, j): al, ("AR", i, j): ar, ("EL", i, j): np.linalg.norm(r - s), ("ER", i, j): np.linalg.norm(u - v)})
+    return write(problem, dense.nearest_isometries(t["AC", i, j], t["C", i, j], t["CB", i, j], i, j))
 
 
 def canonical(cells: DataFrame, columns: int) -> DataFrame:
@@ -159,16 +149,7 @@ def _residual(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     t = read(rows)
     problem, j = int(key[0]), int(key[1])
     count = sum(name == "M" for name, _, _ in t)
-    out = {}
-    for i in range(count):
-        x = np.tensordot(t["AL", i, j], t["C", i, j], 1)
-        for k in range(i, i + count):
-            k %= count
-            x = dense.centre_step(x, t["FL", k, j], t["M", k, j], t["FR", k, j])
-        ar = t["AR", i, j]
-        inside = np.tensordot(np.tensordot(x, ar.conj(), ([1, 2], [1, 2])), ar, 1)
-        out["E", i, j] = np.linalg.norm(x - inside)
-    return write(problem, out)
+    return write(problem, {("E", i, j): dense.outside(t, i, j, count) for i in range(count)})
 
 
 def residuals(cells: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.ship import ship
 from .contract import contract
 from .tensor import Tensor
@@ -67,13 +68,14 @@ def qrpos(a: Tensor, column: str, other: str = "z") -> tuple[Tensor, Tensor]:
 
     def once(x: Tensor) -> tuple[Tensor, Tensor]:
         g = gram(x, column, other)
+        g = g._with(cut(g.df))
         dims = {column: n, other: n}
         factor = lambda inverse: Tensor(g.df.groupBy(*x.batch).applyInPandas(_upper(inverse, column, other, n, x.batch), schema), (column, other), dims, x.batch)
         q = contract((x, factor(True)), tuple(other if k == column else k for k in x.index)).rename(*x.index)
         return q, factor(False)
 
-    q, r = once(a)
-    q, again = once(q)
+    q, r = once(a._with(cut(a.df)))
+    q, again = once(q._with(cut(q.df)))
     return q, contract((again.rename(column, "_k"), r.rename("_k", other)), (column, other))
 
 

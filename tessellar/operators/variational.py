@@ -10,11 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dense
 from ..functions.lineage import cut
-from .cells import KEYS, pack, unpack
+from ..functions.ship import ship
+from .cells import KEYS, SCHEMA, pack, read, unpack, write
 from .contract import contract
 from .environments import bonds, canonical, centres, conjugated, environments, left_orthogonal, residuals, right_orthogonal
 from .tensor import Tensor, random_like
@@ -54,6 +59,8 @@ def normalized_bulk(bulk: Tensor) -> DataFrame:
 
 def start(bulk: Tensor, chi: int, rows: int, columns: int, seed: int = 100) -> DataFrame:
     """A state of bond dimension ``chi`` from hashed numbers."""
+    if len(bulk.index) != 4:
+        raise ValueError(f"a bulk tensor has 4 indices and its cell, not {bulk.index}")
     m = cut(normalized_bulk(bulk))
     d = bulk.dims[bulk.index[3]]
     a = pack(random_like(bulk.df.select(*KEYS), {"a": chi, "b": d, "c": chi}, seed, KEYS), "A")
@@ -94,6 +101,60 @@ def solve(state: DataFrame, rows: int, columns: int, tol: float = 1e-10, maxiter
     return fixed_point(once, state, Stop(tol, maxiter, miniter))
 
 
+def _dense_step(t: dict, rows: int, columns: int) -> tuple[dict, float]:
+    """``step`` on one network's tensors in memory."""
+    at = [(i, j) for i in range(rows) for j in range(columns)]
+
+    def lead(t: dict) -> dict:
+        out = {}
+        for j in range(columns):
+            first = t.get(("AC", 0, j), None)
+            first = np.tensordot(t["AL", 0, j], t["C", 0, j], 1) if first is None else first
+            centre = dense.cyclic([lambda x, i=i: dense.centre_step(x, t["FL", i, j], t["M", i, j], t["FR", i, j]) for i in range(rows)], first)[1]
+            bond = dense.cyclic([lambda x, i=i: dense.bond_step(x, t["FL", i, (j + 1) % columns], t["FR", i, j]) for i in range(rows)], t["C", 0, j])[1]
+            out |= {("AC", i, j): centre[i] for i in range(rows)} | {("C", i, j): bond[i] for i in range(rows)}
+        return out
+
+    def gauge(t: dict) -> dict:
+        return {k: v for i, j in at for k, v in dense.nearest_isometries(t["AC", i, j], t["C", i, j], t["C", i, (j - 1) % columns], i, j).items()}
+
+    m = {k: x for k, x in t.items() if k[0] == "M"}
+    first = lead(t)
+    half = gauge(first)
+    env = {}
+    for i in range(rows):
+        low = (i + 1) % rows
+        one = [lambda x, j=j: dense.left_step(x, t["AL", i, j], t["M", i, j], half["AL", low, j].conj()) for j in range(columns)]
+        two = [lambda x, j=j: dense.right_step(x, t["AR", i, j], t["M", i, j], half["AR", low, j].conj()) for j in range(columns)][::-1]
+        env |= {("FL", i, j): x for j, x in enumerate(dense.cyclic(one, t["FL", i, 0])[1])}
+        env |= {("FR", i, columns - 1 - j): x for j, x in enumerate(dense.cyclic(two, t["FR", i, columns - 1])[1])}
+    second = lead(first | m | env)
+    new = gauge(second)
+    out = m | env | {k: x for k, x in (new | second).items() if k[0] in STATE}
+    error = sum(float(abs(x)) for k, x in new.items() if k[0] in ("EL", "ER"))
+    for j in range(columns):
+        column = {k: x for k, x in out.items() if k[2] == j}
+        error += sum(float(dense.outside(column, i, j, rows)) for i in range(rows))
+    return out, error
+
+
+def solve_whole(state: DataFrame, rows: int, columns: int, tol: float = 1e-10, maxiter: int = 10, miniter: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``solve`` with each problem's iteration in one grouped map, and ``problem, error``.
+
+    For networks whose tensors fit a task many times over, of which a sweep
+    has many: nothing moves between steps, and each problem stops by its own
+    error. Large bonds take ``solve``, whose groups are rows, columns and cells.
+    """
+    ship(state.sparkSession)
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        t, error = fixed_point(lambda t: _dense_step(t, rows, columns), read(frame), Stop(tol, maxiter, miniter))
+        return write(int(key[0]), t | {("ERR", 0, 0): error})
+
+    out = cut(_take(state, *STATE).groupBy("problem").applyInPandas(run, SCHEMA))
+    return _take(out, *STATE), _take(out, "ERR").select("problem", F.element_at("re", 1).alias("error"))
+
+
 def save(state: DataFrame, path: str, direction: str, chi: int, d: int) -> None:
     """Keep a state as a Parquet table of its direction and dimensions."""
     state.write.mode("overwrite").parquet(f"{path}/direction={direction}/D={d}/chi={chi}")
@@ -107,10 +168,74 @@ def load(spark: SparkSession, path: str, direction: str, chi: int, d: int) -> Da
     return state
 
 
-def observing(up: DataFrame, down: DataFrame | None, rows: int) -> DataFrame:
+def _kept(spark: SparkSession, path: str, *args) -> DataFrame | None:
+    """A kept state, or none if there isn't one."""
+    try:
+        return load(spark, path, *args)
+    except AnalysisException:
+        return None
+
+
+def boundary(bulk: Tensor, chi: int, rows: int, columns: int, direction: str = "up", folder: str | None = None, outfolder: str | None = None, downfromup: bool = False, tol: float = 1e-10, maxiter: int = 10, miniter: int = 1, savetol: float = 1e-5, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The boundary state of ``bulk`` at its fixed point, and ``problem, error``.
+
+    Starts from the state kept in ``folder`` for the direction and dimensions
+    if there is one, else from hashed numbers. The result is kept in
+    ``outfolder`` once every problem's error is under ``savetol``.
+    ``downfromup`` lets the state from below start from (and be kept as) that
+    from above. ``whole``: each problem in one task.
+    """
+    spark = bulk.df.sparkSession
+    direction = "up" if downfromup else direction
+    d = bulk.dims[bulk.index[0]]
+    old = _kept(spark, folder, direction, chi, d) if folder else None
+    state = start(bulk, chi, rows, columns) if old is None else cut(old.where("name <> 'M'").unionByName(normalized_bulk(bulk)))
+    if whole:
+        state, errors = solve_whole(state, rows, columns, tol, maxiter, miniter)
+    else:
+        state, worst = solve(state, rows, columns, tol, maxiter, miniter)
+        state = cut(state)
+        errors = state.select("problem").distinct().withColumn("error", F.lit(worst))
+    if outfolder and errors.where(F.col("error") >= savetol).isEmpty():
+        save(state, outfolder, direction, chi, d)
+    return state, errors
+
+
+def flipped(bulk: Tensor, rows: int) -> Tensor:
+    """The network as seen from below: what was down is up."""
+    left, down, right, up = bulk.index
+    return bulk.flip(down, up, "i", rows)
+
+
+def observable_environment(bulk: Tensor, chi: int, rows: int, columns: int, updown: bool = True, downfromup: bool = False, folder: str | None = None, outfolder: str | None = None, savetol: float = 1e-5, **how) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The state from above, that from below (none unless ``updown``), and ``FL``, ``FR`` between the two.
+
+    The bulk is taken over its norm. Environments kept in ``folder`` are the
+    first guess, else those of the state from above; they are kept in
+    ``outfolder`` where both errors together are under ``savetol``.
+    """
+    bulk = bulk.normalized(("problem",))
+    bulk = bulk._with(cut(bulk.df))
+    spark, d = bulk.df.sparkSession, bulk.dims[bulk.index[0]]
+    both = dict(how, folder=folder, outfolder=outfolder, savetol=savetol)
+    up, errors = boundary(bulk, chi, rows, columns, "up", **both)
+    down = None
+    if updown:
+        below = flipped(bulk, rows)
+        down, more = boundary(below._with(cut(below.df)), chi, rows, columns, "down", downfromup=downfromup, **both)
+        errors = errors.unionByName(more)
+    guess = _kept(spark, folder, "observed", chi, d) if folder else None
+    env = cut(observing(up, down, rows, up if guess is None else guess))
+    total = errors.groupBy("problem").agg((F.sum("error") * (1 if updown else 2)).alias("error"))
+    if outfolder and total.where(F.col("error") >= savetol).isEmpty():
+        save(env, outfolder, "observed", chi, d)
+    return up, down, env
+
+
+def observing(up: DataFrame, down: DataFrame | None, rows: int, guess: DataFrame | None = None) -> DataFrame:
     """``FL``, ``FR`` between the state from above and that from below (none: the same), rows mirrored."""
     lower = _take(up if down is None else down, "AL", "AR")
-    return environments(_take(up, "AL", "AR", "M"), conjugated(lower), rows=rows, mirrored=True)
+    return environments(_take(up, "AL", "AR", "M"), conjugated(lower), None if guess is None else _take(guess, "FL", "FR"), rows=rows, mirrored=True)
 
 
 def _quotient(n: Tensor, m: Tensor) -> DataFrame:
