@@ -46,8 +46,6 @@ REGISTERS = ROWS * BANDS
 MANTISSA = 10
 #: Classes of one bucket that are compared with each other at once.
 BLOCK = 256
-#: Hot buckets whose keys (8 bytes each) are broadcast at most; beyond, they are joined by shuffle.
-BROADCAST_BUCKETS = 1_000_000
 
 #: Of each bucket the order in which it looks for another one's register, itself first.
 _ORDER = np.stack([np.append(k, [x for x in np.argsort(stream(40 + k, REGISTERS)) if x != k]) for k in range(REGISTERS)])
@@ -299,11 +297,10 @@ def _near(rows: DataFrame, percent: int) -> DataFrame:
     classes = cut(classes.select("rep", "class", "n", "signature").dropDuplicates(["class"]), "classes")
     links, found, buckets = _settle(cut(_bands(classes), "bands"), None, classes, rows, percent)
     # hot buckets: every other band splits them
-    hot = cut(buckets.where(F.col("size") > BLOCK).select("band"), "hot")
+    hot = buckets.where(F.col("size") > BLOCK).select("rep", "band")
     if not hot.isEmpty():
-        split = cut(_bands(buckets.join(F.broadcast(hot) if hot.count() <= BROADCAST_BUCKETS else hot, "band").select("rep", "band").join(classes, "rep"), within=True), "split")
-        more, found, smaller = _settle(split, found, classes, rows, percent, links)
-        links = more
+        split = cut(_bands(hot.join(classes, "rep"), within=True), "split")
+        links, found, smaller = _settle(split, found, classes, rows, percent, links)
         buckets = cut(buckets.where(F.col("size") <= BLOCK).unionByName(smaller), "buckets")
     if not buckets.isEmpty():
         rest = buckets.join(found, F.col("rep") == F.col("node"), "left").select("rep", "band", F.coalesce("component", "rep").alias("component"))
