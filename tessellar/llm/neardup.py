@@ -17,8 +17,10 @@ and what is verified is joined to components. A bucket of more than BLOCK
 classes that then still holds several components is hot (a passage that many
 share, say): it is split by every other band, in which a linked pair meets
 again, and these smaller buckets are treated alike. Buckets that are still
-open are compared in full, on their sets, in blocks; a block gives no more
-links than join its components.
+open are compared in full, in blocks: first on registers, which names the
+classes that have a near enough one in another component, then these on their
+sets; a block gives no more rows than it has classes, and no more links than
+join its components.
 
 A link of similarity s is missed if all BANDS bands differ,
 (1 - s**ROWS)**BANDS: 4e-7 at 0.85, 5e-5 at 0.8; in a split bucket if the
@@ -151,14 +153,17 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _bands(classes: DataFrame, within: bool = False) -> DataFrame:
-    """``rep, band``: the hash of each band's registers and its number, ``within`` those of an earlier ``band``."""
+    """``rep, band, k, k2``: the hash of each band's registers and its number.
+
+    ``within`` those of an earlier band ``k`` they are split by every other
+    band ``k2``, but two hot ones (bits of ``hot``) only once.
+    """
     piece = lambda k: F.substring("signature", 2 * ROWS * k + 1, 2 * ROWS)
-    own = lambda k: F.xxhash64(F.lit(k), piece(k))
+    own = F.array(*(F.struct(F.lit(k).alias("no"), F.xxhash64(F.lit(k), piece(k)).alias("hash")) for k in range(BANDS)))
     if not within:
-        return classes.select("rep", F.explode(F.array(*map(own, range(BANDS)))).alias("band"))
-    # the band itself doesn't split its bucket
-    keys = F.filter(F.array(*map(own, range(BANDS))), lambda x: x != F.col("band"))
-    return classes.select("rep", F.explode(F.transform(keys, lambda x: F.xxhash64("band", x))).alias("band"))
+        return classes.select("rep", F.explode(own).alias("b")).select("rep", F.col("b.hash").alias("band"), F.col("b.no").alias("k"), F.lit(-1).alias("k2"))
+    others = F.filter(own, lambda x: (x["no"] > F.col("k")) | ((x["no"] < F.col("k")) & (F.getbit("hot", x["no"]) == 0)))
+    return classes.select("rep", "band", "k", F.explode(others).alias("b")).select("rep", F.xxhash64("band", "b.hash").alias("band"), "k", F.col("b.no").alias("k2"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -199,6 +204,46 @@ def shared_counts(one: list[np.ndarray], two: list[np.ndarray], columns: int = 4
     return total.astype(np.int64)
 
 
+def common_bands(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The bands (bits) that every row of registers shares with every one of another block."""
+    bands = np.zeros((len(one), len(two)), np.int32)
+    weight = stream(34, ROWS) | np.uint64(1)
+    keys = [mix((x.reshape(len(x), BANDS, ROWS) * weight).sum(axis=2, dtype=np.uint64)).T.copy() for x in (one, two)]
+    for k, (a, b) in enumerate(zip(*keys, strict=True)):
+        bands |= (a[:, None] == b[None, :]).astype(np.int32) << k
+    return bands
+
+
+def _block_candidates(percent: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """The classes of two blocks (or of one) that have one of another component with near enough registers and size.
+
+        Two classes share several buckets; they count in the first of those
+        that are hot and in the first of the others.
+        """
+        rows = rows.drop_duplicates("rep")
+        one, two = rows[rows["block"] == key[1]], rows[rows["block"] == key[2]]
+        found = np.zeros(0, np.int64)
+        if len(one) and len(two):
+            k, k2 = int(rows["k"].iloc[0]), int(rows["k2"].iloc[0])
+            x, y = (np.frombuffer(b"".join(t["signature"]), "<u2").reshape(-1, REGISTERS) for t in (one, two))
+            bands = common_bands(x, y)
+            hot = one["hot"].to_numpy(np.int32)[:, None] & two["hot"].to_numpy(np.int32)[None, :]
+            if k2 < 0:
+                first = (bands & ~hot & ((1 << k) - 1)) == 0
+            else:
+                first = ((bands & hot & ((1 << k) - 1)) == 0) & ((bands & ~(1 << k) & ((1 << k2) - 1)) == 0)
+            n, m = one["n"].to_numpy(float), two["n"].to_numpy(float)
+            first &= 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
+            first &= one["component"].to_numpy()[:, None] != two["component"].to_numpy()[None, :]
+            a, b = np.nonzero(first)
+            near = jaccard((x[a] == y[b]).sum(axis=1), n[a], m[b]) >= near_enough(percent / 100)
+            found = np.union1d(one["rep"].to_numpy()[a[near]], two["rep"].to_numpy()[b[near]])
+        return rows[rows["rep"].isin(found)][["rep", "component", "band", "block", "i", "j"]]
+
+    return run
+
+
 def _block_links(percent: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Links between the components of two blocks (or of one), as few as join what is linked."""
@@ -264,14 +309,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _settle(banded: DataFrame, found: DataFrame | None, classes: DataFrame, rows: DataFrame, percent: int, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compares the classes of every bucket (``rep, band``) with its least and greatest.
+    """Compares the classes of every bucket (``rep, band, k, k2``) with its least and greatest.
 
     Returns all links, their components (``node, component``) and, as
-    ``rep, band, size``, the buckets of three or more whose classes aren't all
+    ``rep, band, k, k2, size``, the buckets of three or more whose classes aren't all
     of one component after that.
     """
     hubs = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    shared = cut(banded.join(cut(hubs, "hubs"), "band"), "shared")
+    shared = cut(banded.join(hubs, "band"), "shared")
     star = shared.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(shared.select(F.col("rep").alias("a"), F.col("high").alias("b"))).where("a <> b").distinct()
     if found is not None:  # pairs that are of one component already say nothing new
         of = lambda c: found.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}"))
@@ -280,10 +325,10 @@ def _settle(banded: DataFrame, found: DataFrame | None, classes: DataFrame, rows
     links = _verified(cut(star, "pairs"), classes, rows, percent)
     links = links if before is None else cut(before.union(links), "links")
     found = components(links)
-    open_rows = shared.where("size > 2").select("rep", "band", "size").join(found, F.col("rep") == F.col("node"), "left").select("rep", "band", "size", F.coalesce("component", "rep").alias("component"))
+    open_rows = shared.where("size > 2").join(found, F.col("rep") == F.col("node"), "left").select("rep", "band", "k", "k2", "size", F.coalesce("component", "rep").alias("component"))
     open_rows = cut(open_rows, "open")
     unsettled = open_rows.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("band")
-    return links, found, cut(open_rows.join(cut(unsettled, "unsettled"), "band").select("rep", "band", "size"), "buckets")
+    return links, found, cut(open_rows.join(cut(unsettled, "unsettled"), "band").select("rep", "band", "k", "k2", "size"), "buckets")
 
 
 def _near(rows: DataFrame, percent: int) -> DataFrame:
@@ -297,17 +342,22 @@ def _near(rows: DataFrame, percent: int) -> DataFrame:
     classes = cut(classes.select("rep", "class", "n", "signature").dropDuplicates(["class"]), "classes")
     links, found, buckets = _settle(cut(_bands(classes), "bands"), None, classes, rows, percent)
     # hot buckets: every other band splits them
-    hot = buckets.where(F.col("size") > BLOCK).select("rep", "band")
-    if not hot.isEmpty():
-        split = cut(_bands(hot.join(classes, "rep"), within=True), "split")
+    hot = buckets.where(F.col("size") > BLOCK).select("rep", "band", "k")
+    masks = cut(hot.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("hot")), "masks")
+    if not masks.isEmpty():
+        split = cut(_bands(hot.join(masks, "rep").join(classes, "rep"), within=True), "split")
         links, found, smaller = _settle(split, found, classes, rows, percent, links)
         buckets = cut(buckets.where(F.col("size") <= BLOCK).unionByName(smaller), "buckets")
     if not buckets.isEmpty():
-        rest = buckets.join(found, F.col("rep") == F.col("node"), "left").select("rep", "band", F.coalesce("component", "rep").alias("component"))
+        rest = buckets.join(found, F.col("rep") == F.col("node"), "left").select("rep", "band", "k", "k2", F.coalesce("component", "rep").alias("component"))
         unsettled = rest.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("l <> h")
         rest = rest.join(cut(unsettled.select("band", "blocks"), "unsettled"), "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rest = rest.select("rep", "component", "band", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        rest = rest.select("rep", "component", "band", "k", "k2", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        known = classes.join(masks, "rep", "left").select("rep", "n", "signature", F.coalesce("hot", F.lit(0).cast("long")).alias("hot"))
+        rest = rest.join(known, "rep")
+        rest = rest.groupBy("band", "i", "j").applyInPandas(_block_candidates(percent), "rep bigint, component bigint, band bigint, block bigint, i bigint, j bigint")
+        rest = cut(rest, "candidates")
         full = _full_sets(rest.select(F.col("rep").alias("w")).distinct(), rows)
         rest = rest.join(full, F.col("rep") == F.col("id")).drop("id")
         more = cut(rest.groupBy("band", "i", "j").applyInPandas(_block_links(percent), "a bigint, b bigint").distinct(), "links")
