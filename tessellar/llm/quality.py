@@ -146,7 +146,10 @@ def fit(rows: list[tuple[int, np.ndarray]], least: int = 3, alpha: float = 1.0,
 def _calibrated(w: np.ndarray, ratio: np.ndarray, rows: list[tuple[int, np.ndarray]], y: np.ndarray, size: int) -> Model:
     weights = w[:size] * ratio
     margin = np.array([float(weights[f].sum()) for _, f in rows]) + w[size]
-    a, b = logistic(margin, y)
+    # in units of their spread: Newton steps from slope 1 go astray on margins of hundreds
+    scale = float(margin.std()) or 1.0
+    a, b = logistic(margin / scale, y)
+    a /= scale
     return Model(weights * a, float(w[size] * a + b))
 
 
