@@ -204,42 +204,85 @@ def shared_counts(one: list[np.ndarray], two: list[np.ndarray], columns: int = 4
     return total.astype(np.int64)
 
 
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """Of each row of registers a number for each band."""
+    weight = stream(34, ROWS) | np.uint64(1)
+    return mix((registers.reshape(len(registers), BANDS, ROWS) * weight).sum(axis=2, dtype=np.uint64))
+
+
 def common_bands(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """The bands (bits) that every row of registers shares with every one of another block."""
+    """The bands (bits) that every row of ``band_keys`` shares with every one of another block."""
     bands = np.zeros((len(one), len(two)), np.int32)
-    weight = stream(34, ROWS) | np.uint64(1)
-    keys = [mix((x.reshape(len(x), BANDS, ROWS) * weight).sum(axis=2, dtype=np.uint64)).T.copy() for x in (one, two)]
-    for k, (a, b) in enumerate(zip(*keys, strict=True)):
-        bands |= (a[:, None] == b[None, :]).astype(np.int32) << k
+    for k in range(BANDS):
+        bands |= (one[:, k, None] == two[None, :, k]).astype(np.int32) << k
     return bands
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches that end where a run of equal keys does, and the places between which their runs lie; the rows come sorted by the keys."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.concat_batches([*rest, batch]) if rest else batch
+        new = np.zeros(whole.num_rows - 1, bool)
+        for key in keys:
+            column = whole.column(key).to_numpy()
+            new |= column[1:] != column[:-1]
+        at = np.concatenate([[0], np.flatnonzero(new) + 1])
+        if at[-1]:
+            yield whole.slice(0, at[-1]), at
+        rest = [whole.slice(at[-1])]
+    if rest:
+        yield rest[0], np.array([0, rest[0].num_rows])
+
+
+_OPEN = ("rep", "component", "band", "block", "i", "j")
+_CANDIDATES = "rep bigint, component bigint, band bigint, block bigint, i bigint, j bigint"
+
+
 def _block_candidates(percent: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """The classes of two blocks (or of one) that have one of another component with near enough registers and size.
+    """Rows sorted by bucket and pair of blocks, as many pairs of blocks as a batch has."""
+
+    def near(c: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The rows of two blocks (or of one) that have one of another component with near enough registers and size.
 
         Two classes share several buckets; they count in the first of those
         that are hot and in the first of the others.
         """
-        rows = rows.drop_duplicates("rep")
-        one, two = rows[rows["block"] == key[1]], rows[rows["block"] == key[2]]
-        found = np.zeros(0, np.int64)
-        if len(one) and len(two):
-            k, k2 = int(rows["k"].iloc[0]), int(rows["k2"].iloc[0])
-            x, y = (np.frombuffer(b"".join(t["signature"]), "<u2").reshape(-1, REGISTERS) for t in (one, two))
-            bands = common_bands(x, y)
-            hot = one["hot"].to_numpy(np.int32)[:, None] & two["hot"].to_numpy(np.int32)[None, :]
-            if k2 < 0:
-                first = (bands & ~hot & ((1 << k) - 1)) == 0
-            else:
-                first = ((bands & hot & ((1 << k) - 1)) == 0) & ((bands & ~(1 << k) & ((1 << k2) - 1)) == 0)
-            n, m = one["n"].to_numpy(float), two["n"].to_numpy(float)
-            first &= 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
-            first &= one["component"].to_numpy()[:, None] != two["component"].to_numpy()[None, :]
-            a, b = np.nonzero(first)
-            near = jaccard((x[a] == y[b]).sum(axis=1), n[a], m[b]) >= near_enough(percent / 100)
-            found = np.union1d(one["rep"].to_numpy()[a[near]], two["rep"].to_numpy()[b[near]])
-        return rows[rows["rep"].isin(found)][["rep", "component", "band", "block", "i", "j"]]
+        n, m = c["n"][one], c["n"][two]
+        first = (c["component"][one][:, None] != c["component"][two][None, :]) & (100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :]))
+        if one is two:
+            first = np.triu(first, 1)
+        if not first.any():
+            return np.zeros(0, np.int64)
+        k, k2 = int(c["k"][one[0]]), int(c["k2"][one[0]])
+        bands = common_bands(c["bands"][one], c["bands"][two])
+        hot = c["hot"][one][:, None] & c["hot"][two][None, :]
+        if k2 < 0:
+            first &= (bands & ~hot & ((1 << k) - 1)) == 0
+        else:
+            first &= ((bands & hot & ((1 << k) - 1)) == 0) & ((bands & ~(1 << k) & ((1 << k2) - 1)) == 0)
+        a, b = np.nonzero(first)
+        a, b = one[a], two[b]
+        close = jaccard((c["registers"][a] == c["registers"][b]).sum(axis=1), c["n"][a].astype(float), c["n"][b].astype(float)) >= near_enough(percent / 100)
+        return np.union1d(a[close], b[close])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, at in _runs(batches, ("band", "i", "j")):
+            c = {name: batch.column(name).to_numpy() for name in (*_OPEN, "k", "k2", "n")}
+            c["hot"] = batch.column("hot").to_numpy().astype(np.int32)
+            c["registers"] = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, REGISTERS)
+            c["bands"] = band_keys(c["registers"])
+            found = [np.zeros(0, np.int64)]
+            for start, end in zip(at[:-1], at[1:], strict=True):
+                rows = np.unique(c["rep"][start:end], return_index=True)[1] + start
+                i, j = c["i"][start], c["j"][start]
+                one = rows[c["block"][rows] == i]
+                two = one if i == j else rows[c["block"][rows] == j]
+                if len(one) and len(two):
+                    found.append(near(c, one, two))
+            yield batch.select(_OPEN).take(pa.array(np.concatenate(found)))
 
     return run
 
@@ -356,7 +399,9 @@ def _near(rows: DataFrame, percent: int) -> DataFrame:
         rest = rest.select("rep", "component", "band", "k", "k2", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         known = classes.join(masks, "rep", "left").select("rep", "n", "signature", F.coalesce("hot", F.lit(0).cast("long")).alias("hot"))
         rest = rest.join(known, "rep")
-        rest = rest.groupBy("band", "i", "j").applyInPandas(_block_candidates(percent), "rep bigint, component bigint, band bigint, block bigint, i bigint, j bigint")
+        # many small buckets: what a bucket costs besides its pairs must be little
+        by = ("band", "i", "j")
+        rest = rest.repartition(*by).sortWithinPartitions(*by).mapInArrow(_block_candidates(percent), _CANDIDATES)
         rest = cut(rest, "candidates")
         full = _full_sets(rest.select(F.col("rep").alias("w")).distinct(), rows)
         rest = rest.join(full, F.col("rep") == F.col("id")).drop("id")
