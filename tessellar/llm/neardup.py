@@ -46,8 +46,12 @@ from .words import LOWER, Slice, hash_spans, mix, shingles, slices, stream, word
 ROWS, BANDS = 5, 25
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
-#: Classes of one bucket that are compared with each other at once.
+#: Classes of one bucket whose sets are compared with each other at once; a bucket of more is hot.
 BLOCK = 256
+#: The same for registers, which are 250 bytes a class whatever its text: a class goes out once for so many others.
+REGISTER_BLOCK = 4096
+#: Pairs whose registers a task holds at a time.
+PAIRS = 1 << 17
 
 #: Of each bucket the order in which it looks for another one's register, itself first.
 _ORDER = np.stack([np.append(k, [x for x in np.argsort(stream(40 + k, REGISTERS)) if x != k]) for k in range(REGISTERS)])
@@ -237,8 +241,8 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
         yield rest[0], np.array([0, rest[0].num_rows])
 
 
-_OPEN = ("rep", "component", "band", "block", "i", "j")
-_CANDIDATES = "rep bigint, component bigint, band bigint, block bigint, i bigint, j bigint"
+_OPEN = ("rep", "component", "band", "i", "j")
+_CANDIDATES = "rep bigint, component bigint, band bigint, i bigint, j bigint"
 
 
 def _block_candidates(percent: int):
@@ -250,27 +254,32 @@ def _block_candidates(percent: int):
         Two classes share several buckets; they count in the first of those
         that are hot and in the first of the others.
         """
-        n, m = c["n"][one], c["n"][two]
-        first = (c["component"][one][:, None] != c["component"][two][None, :]) & (100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :]))
-        if one is two:
-            first = np.triu(first, 1)
-        if not first.any():
-            return np.zeros(0, np.int64)
         k, k2 = int(c["k"][one[0]]), int(c["k2"][one[0]])
-        bands = common_bands(c["bands"][one], c["bands"][two])
-        hot = c["hot"][one][:, None] & c["hot"][two][None, :]
-        if k2 < 0:
-            first &= (bands & ~hot & ((1 << k) - 1)) == 0
-        else:
-            first &= ((bands & hot & ((1 << k) - 1)) == 0) & ((bands & ~(1 << k) & ((1 << k2) - 1)) == 0)
-        a, b = np.nonzero(first)
-        a, b = one[a], two[b]
-        close = jaccard((c["registers"][a] == c["registers"][b]).sum(axis=1), c["n"][a].astype(float), c["n"][b].astype(float)) >= near_enough(percent / 100)
-        return np.union1d(a[close], b[close])
+        step = max(1, PAIRS // len(two))
+        found = [np.zeros(0, np.int64)]
+        for at in range(0, len(one), step):
+            part = one[at : at + step]
+            n, m = c["n"][part][:, None], c["n"][two][None, :]
+            first = (c["component"][part][:, None] != c["component"][two][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            if one is two:
+                first = np.triu(first, at + 1)
+            if not first.any():
+                continue
+            bands = common_bands(c["bands"][part], c["bands"][two])
+            hot = c["hot"][part][:, None] & c["hot"][two][None, :]
+            if k2 < 0:
+                first &= (bands & ~hot & ((1 << k) - 1)) == 0
+            else:
+                first &= ((bands & hot & ((1 << k) - 1)) == 0) & ((bands & ~(1 << k) & ((1 << k2) - 1)) == 0)
+            a, b = np.nonzero(first)
+            a, b = part[a], two[b]
+            close = jaccard((c["registers"][a] == c["registers"][b]).sum(axis=1), c["n"][a].astype(float), c["n"][b].astype(float)) >= near_enough(percent / 100)
+            found += [a[close], b[close]]
+        return np.unique(np.concatenate(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at in _runs(batches, ("band", "i", "j")):
-            c = {name: batch.column(name).to_numpy() for name in (*_OPEN, "k", "k2", "n")}
+            c = {name: batch.column(name).to_numpy() for name in (*_OPEN, "block", "k", "k2", "n")}
             c["hot"] = batch.column("hot").to_numpy().astype(np.int32)
             c["registers"] = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, REGISTERS)
             c["bands"] = band_keys(c["registers"])
@@ -287,6 +296,13 @@ def _block_candidates(percent: int):
     return run
 
 
+def _block_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of buckets (``band``, of ``size`` rows) in blocks of about ``most``: each goes to every pair ``i, j`` of blocks with its own."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / most)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other", "size")
+
+
 def _block_links(percent: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Links between the components of two blocks (or of one), as few as join what is linked."""
@@ -393,10 +409,8 @@ def _near(rows: DataFrame, percent: int) -> DataFrame:
         buckets = cut(buckets.where(F.col("size") <= BLOCK).unionByName(smaller), "buckets")
     if not buckets.isEmpty():
         rest = buckets.join(found, F.col("rep") == F.col("node"), "left").select("rep", "band", "k", "k2", F.coalesce("component", "rep").alias("component"))
-        unsettled = rest.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("l <> h")
-        rest = rest.join(cut(unsettled.select("band", "blocks"), "unsettled"), "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rest = rest.select("rep", "component", "band", "k", "k2", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        unsettled = rest.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("size")).where("l <> h")
+        rest = _block_pairs(rest.join(cut(unsettled.select("band", "size"), "unsettled"), "band"), REGISTER_BLOCK)
         known = classes.join(masks, "rep", "left").select("rep", "n", "signature", F.coalesce("hot", F.lit(0).cast("long")).alias("hot"))
         rest = rest.join(known, "rep")
         # many small buckets: what a bucket costs besides its pairs must be little
@@ -404,6 +418,9 @@ def _near(rows: DataFrame, percent: int) -> DataFrame:
         rest = rest.repartition(*by).sortWithinPartitions(*by).mapInArrow(_block_candidates(percent), _CANDIDATES)
         rest = cut(rest, "candidates")
         full = _full_sets(rest.select(F.col("rep").alias("w")).distinct(), rows)
+        # what a pair of blocks leaves is a bucket of its own, in smaller blocks
+        rest = rest.select(F.xxhash64("band", "i", "j").alias("band"), "rep", "component")
+        rest = _block_pairs(rest.join(rest.groupBy("band").agg(F.count(F.lit(1)).alias("size")), "band"), BLOCK)
         rest = rest.join(full, F.col("rep") == F.col("id")).drop("id")
         more = cut(rest.groupBy("band", "i", "j").applyInPandas(_block_links(percent), "a bigint, b bigint").distinct(), "links")
         if not more.isEmpty():

@@ -24,6 +24,8 @@ def test_no_rows_no_runs():
 def test_blocks_over_small_batches(spark, monkeypatch):
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    monkeypatch.setattr(neardup, "REGISTER_BLOCK", 16)
+    monkeypatch.setattr(neardup, "PAIRS", 30)
     try:
         all_pairs(spark, monkeypatch)
     finally:
