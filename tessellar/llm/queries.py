@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_extract, licenses, media, mixing, quality, secrets, toxicity
+from . import centroids, html_extract, licenses, media, mixing, negatives, pieces, quality, secrets, toxicity
 from .exactdup import exact_duplicates
 from .mixing import mix
 from .neardup import near_duplicates
@@ -54,6 +55,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), decoded=True))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.usable(table(spark, sf_dir, "embeddings"))
+    return negatives.mine(rows.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +81,9 @@ QUERIES = {
         op8_secrets,
         op9_telephony,
         op10_licenses,
+        op11_sentencepiece,
+        op12_hard_negatives,
+        op13_centroids,
     )
 }
 
@@ -88,6 +105,30 @@ def _shingles(words: str) -> str:
 
 
 _TEMPLATES = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in sorted(licenses.TEMPLATES.items()))
+_FINITE = "embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
+
+
+def _clusters() -> str:
+    """Rounds of assigning and moving, one after another; distances over all components."""
+    k = f"range(1, {centroids.DIMS + 1})"
+    near = f"SELECT v.row, v.vec_id, v.x, c.k, list_sum([(v.x[p] - c.c[p]) * (v.x[p] - c.c[p]) FOR p IN {k}])::BIGINT AS d FROM v, {{c}} c QUALIFY row_number() OVER (PARTITION BY v.row ORDER BY d, c.k) = 1"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, [floor({centroids.SCALE} * x::DOUBLE)::BIGINT FOR x IN embedding] AS x FROM embeddings WHERE len(embedding) = {centroids.DIMS} AND {_FINITE})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), x) - 1 AS k, x AS c FROM v QUALIFY k < {centroids.CENTROIDS})",
+    ]
+    for n in range(centroids.ROUNDS):
+        parts += [
+            f"a{n} AS MATERIALIZED ({near.format(c=f'c{n}')})",
+            f"s{n} AS MATERIALIZED (SELECT k, p, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(x) AS x, generate_subscripts(x, 1) AS p FROM a{n}) GROUP BY k, p)",
+            f"c{n + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.c, c.c) AS c FROM c{n} c LEFT JOIN (SELECT k, list((s - (s % n + n) % n) // n ORDER BY p) AS c FROM s{n} GROUP BY k) m USING (k))",
+        ]
+    last = centroids.ROUNDS
+    return f"""
+        WITH {", ".join(parts)}, a AS MATERIALIZED ({near.format(c=f"c{last}")})
+        SELECT vec_id, a.k::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(c.c, ',')) AS centroid_sha256
+        FROM a JOIN c{last} c USING (k)
+    """
 
 
 ORACLES = {
@@ -152,4 +193,15 @@ ORACLES = {
         SELECT doc_id, license, shared, m AS shingles, first_word, end_word FROM best
         QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY shared DESC, start) = 1
     """,
+    "op12_hard_negatives": f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS x
+               FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+        s AS MATERIALIZED (SELECT a.row AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                     coalesce(list_sum([a.x[k] * b.x[k] FOR k IN range(1, least(len(a.x), len(b.x)) + 1)]), 0)::BIGINT AS score FROM v a JOIN v b ON a.row <> b.row WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS place FROM s WHERE same QUALIFY place <= {negatives.POSITIVES})
+        SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id NULLS LAST)::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 100 * s.score BETWEEN {negatives.LOW} * positive_score AND {negatives.HIGH} * positive_score
+        QUALIFY rank <= {negatives.NEGATIVES}
+    """,
+    "op13_centroids": _clusters(),
 }
