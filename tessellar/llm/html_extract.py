@@ -2,14 +2,17 @@
 
 The standard library's parser gives events; they give lines (the text between
 two block boundaries) with the number of tags met in each and the block element
-they stand in. The lines' text-to-tag ratios, links not counted, are smoothed
-with a Gaussian, weighed by what the markup says of their elements, and split in
-two clusters on a logarithmic scale: content and the rest. The lowest element
-that holds nearly all text of content lines is the article. In it what the
-markup marks as something else stays out unless the clusters find most of it to
-be content, and where the markup names no article so do the lines before and
-after the content. Marks are evidence, not a verdict: a word that most of a
-page's text stands under says nothing and is passed over.
+they stand in. What the markup marks for certain as something else (menus,
+sidebars, notices, adverts, forms, comments) is out. Of the rest the lines'
+text-to-tag ratios, links not counted, are smoothed with a Gaussian and split in
+two clusters on a logarithmic scale, content and the rest, or are one cluster
+where two would say little more.
+
+Where the markup names an article, it is the text, and the ratio only decides on
+blocks whose marks are in doubt. Elsewhere the text are the content lines, what
+lies between them, and what stands in the same element as they do. Marks that
+leave nothing are passed over, those over most text first; adverts and comments
+never.
 """
 
 from __future__ import annotations
@@ -53,10 +56,13 @@ SCOPES = frozenset("article aside body blockquote div dl footer form header main
 #: Blocks that an id marks; on others (sections, headings) it is an anchor's name.
 NAMED = frozenset("div dl ol table td ul".split())
 
-#: Weights of what is marked for certain, in part, and of a form; of an article. A line below LEAST is never content.
-CERTAIN, PARTLY, FORM, ARTICLE, LEAST = 0.05, 0.5, 0.4, 3.0, 0.2
-#: The share of content that the article's element holds, and that of a page under a mark from which on it says nothing.
-NEARLY, COMMON = 0.8, 0.6
+#: What an element's own name or role says; the factor of ratios under marks in doubt, and in an article.
+PLAIN, AROUND_IT, FORM = 0, 1, 2
+PARTLY, ARTICLE = 0.5, 3.0
+#: Elements whose lines belong to the text of the element around them.
+PROSE = frozenset("blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol pre section table tbody td th tr ul".split())
+#: Two clusters of ratios tell more than one if they explain this share of the variance and differ by this factor.
+EXPLAINED, APART = 0.8, 3.0
 
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _JOINTS = re.compile(r"[-_:]+")
@@ -93,8 +99,8 @@ class _Lines(HTMLParser):
         self.places: dict[str, list[int]] = {}  # of each open name its places in the stack
         self.scopes: list[int] = []
         self.blocks: list[int] = []
-        # parent, marks of whole names, of parts, element's own weight, article
-        self.nodes: list[tuple[int, int, int, float, bool]] = [(-1, 0, 0, 1.0, False)]
+        # parent, marks of whole names, of parts, what the element itself says, article, its name
+        self.nodes: list[tuple[int, int, int, int, bool, str]] = [(-1, 0, 0, PLAIN, False, "")]
         self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, node, linked, heading
         self.text: list[str] = []
         self.tags, self.linked, self.heading = 1, 0, False
@@ -163,9 +169,9 @@ class _Lines(HTMLParser):
                 main = tag in ARTICLES or role in ("main", "article")
                 if main:  # only comments and adverts undo that
                     whole, partly = whole & (_COMMENT | _ADVERT), 0
-                own = CERTAIN if tag in AROUND or role in ROLES else FORM if tag in ("form", "fieldset") else 1.0
+                own = AROUND_IT if tag in AROUND or role in ROLES else FORM if tag in ("form", "fieldset") else PLAIN
                 named = main or (article and tag in ("div", "section", "td"))
-                self.nodes.append((node, whole, partly, own, named and not whole and own == 1.0))
+                self.nodes.append((node, whole, partly, own, named and not whole and own == PLAIN, tag))
                 node = len(self.nodes) - 1
             else:
                 self.heading = True
@@ -190,8 +196,9 @@ class _Lines(HTMLParser):
             self.linked += len(data.strip())
 
     def parse_marked_section(self, i, report=1):
-        """Any ``<![...]>`` is passed over, whatever its keyword."""
-        end = self.rawdata.find(">", i)
+        """Any ``<![...]>`` is passed over, whatever its keyword; a CDATA section to its own end if it has one."""
+        end = self.rawdata.find("]]>", i) + 2 if self.rawdata.startswith("<![CDATA[", i) else 1
+        end = end if end > 1 else self.rawdata.find(">", i)
         return end + 1 if end >= 0 else -1
 
     def unknown_decl(self, data):
@@ -207,50 +214,81 @@ def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 
 def threshold(x: np.ndarray) -> float:
-    """The border between two clusters (two means, from the extremes)."""
+    """The border between two clusters (two means, from the extremes); below all of them where one cluster does as well."""
     low, high = float(x.min()), float(x.max())
     for _ in range(50):
-        border = (low + high) / 2
-        upper = x > border
+        upper = x > (low + high) / 2
         if not upper.any() or upper.all():
-            return border
+            return -np.inf
         new = float(x[~upper].mean()), float(x[upper].mean())
         if new == (low, high):
             break
         low, high = new
+    share = upper.mean()
+    between = share * (1 - share) * (high - low) ** 2
+    if high - low < np.log(APART) or between < EXPLAINED * x.var():
+        return -np.inf
     return (low + high) / 2
 
 
-def _weights(parser: _Lines) -> np.ndarray:
+class _Marks:
     """What the markup says of every node, with all above it."""
-    nodes = parser.nodes
-    whole, partly = [0] * len(nodes), [0] * len(nodes)
-    for k in range(1, len(nodes)):
-        up, a, b, _, _ = nodes[k]
-        whole[k], partly[k] = whole[up] | a, partly[up] | b
-    under: Counter = Counter()
-    for text, _, node, _, _ in parser.lines:
-        under[whole[node] | partly[node]] += len(text)
-    total = sum(under.values())
-    said = sum(bit for bit in _BIT.values() if bit & _COMMENT or sum(n for marks, n in under.items() if marks & bit) <= COMMON * total)
-    forms = Counter()
-    form = [False] * len(nodes)
-    for k in range(1, len(nodes)):
-        form[k] = form[nodes[k][0]] or nodes[k][3] == FORM
-    for text, _, node, _, _ in parser.lines:
-        forms[form[node]] += len(text)
-    weight = np.ones(len(nodes))
-    inside = [False] * len(nodes)
-    for k in range(1, len(nodes)):
-        up, a, b, own, article = nodes[k]
-        w = weight[up] * (1.0 if own == FORM and forms[True] > COMMON * total else own)
-        if a & said:
-            w *= CERTAIN
-        elif b & said:
-            w *= PARTLY
-        inside[k] = inside[up] or article
-        weight[k] = max(w * (ARTICLE if article and not inside[up] else 1.0), 1e-9)
-    return weight
+
+    def __init__(self, parser: _Lines):
+        self.nodes = parser.nodes
+        self.lines = parser.lines
+        n = len(self.nodes)
+        self.void, self.void_forms = 0, False
+        self.whole, self.partly, self.article = [0] * n, [0] * n, [False] * n
+        for k, (up, whole, partly, _, article, _) in enumerate(self.nodes):
+            above = k > 0
+            self.whole[k] = whole | (self.whole[up] if above else 0)
+            self.partly[k] = partly | (self.partly[up] if above else 0)
+            self.article[k] = article or (above and self.article[up])
+        self._mark()
+
+    def _mark(self) -> None:
+        said = ~self.void
+        self.out, self.doubt = [False] * len(self.nodes), [False] * len(self.nodes)
+        for k, (up, whole, partly, own, _, _) in enumerate(self.nodes):
+            certain = whole & said or (own == FORM and not self.void_forms) or own == AROUND_IT
+            self.out[k] = bool(certain) or (k > 0 and self.out[up])
+            self.doubt[k] = bool(partly & said)
+
+    def left(self) -> np.ndarray:
+        """Lines that aren't out and aren't mostly links."""
+        return np.array([not self.out[x[2]] and 2 * x[3] < len(x[0]) for x in self.lines])
+
+    def _covering(self, lines: list) -> int:
+        """The mark over most text of ``lines``, but for adverts and comments."""
+        under: Counter = Counter()
+        for text, _, node, _, _ in lines:
+            under[self.whole[node] & ~self.void & ~_COMMENT & ~_ADVERT] += len(text)
+        sums = {bit: sum(n for marks, n in under.items() if marks & bit) for bit in _BIT.values()}
+        best = max(sums, key=sums.get)
+        return best if sums[best] else 0
+
+    def settle(self) -> None:
+        """Pass over marks until something is left: those of forms, then names over most text. What elements say (aside, nav) stands."""
+        articles = [x for x in self.lines if self.article[x[2]]]
+        if articles and all(self.out[x[2]] for x in articles):
+            # classes over the only articles, which have more text than all that is unmarked
+            rest = sum(len(x[0]) for x, k in zip(self.lines, self.left(), strict=True) if k)
+            if sum(len(x[0]) for x in articles) > rest:
+                bits = 0
+                for x in articles:
+                    bits |= self.whole[x[2]]
+                self.void |= bits & ~_COMMENT & ~_ADVERT
+                self._mark()
+        while not self.left().any():
+            bit = self._covering(self.lines)
+            if not self.void_forms and any(own == FORM for _, _, _, own, _, _ in self.nodes):
+                self.void_forms = True
+            elif bit:
+                self.void |= bit
+            else:
+                return
+            self._mark()
 
 
 def _ended(html: str) -> str:
@@ -261,6 +299,14 @@ def _ended(html: str) -> str:
     return html[:tag] + html[tag:].replace("<", "&lt;")
 
 
+def _regions(marks: _Marks) -> list[bool] | None:
+    """Of every node whether it lies in a named article that isn't out; none if there is no such article with text."""
+    inside = [False] * len(marks.nodes)
+    for k, (up, _, _, _, article, _) in enumerate(marks.nodes):
+        inside[k] = not marks.out[k] and (article or (k > 0 and inside[up]))
+    return inside if any(inside[x[2]] for x in marks.lines) else None
+
+
 def main_text(html: str, scores=None) -> str:
     """The article's text; empty if the page has none. ``scores`` may stand in for the smoothed ratio of the lines."""
     parser = _Lines()
@@ -270,42 +316,56 @@ def main_text(html: str, scores=None) -> str:
     lines, nodes = parser.lines, parser.nodes
     if not lines:
         return ""
-    weight = _weights(parser)
+    marks = _Marks(parser)
+    marks.settle()
+    left = marks.left()
+    inside = _regions(marks)
+    if not left.any() and inside is None:
+        return ""
     at = np.array([x[2] for x in lines])
     sizes = np.array([len(x[0]) for x in lines], float)
     linked = np.array([x[3] for x in lines], float)
-    ratio = smooth((sizes - 0.9 * linked) / np.array([x[1] for x in lines], float)) if scores is None else scores(lines)
-    score = np.log1p(ratio * weight[at])
-    content = (score >= threshold(score)) & (weight[at] >= LEAST)
-    # text, and text of content lines, in every node with all below it
+    own = (sizes - 0.9 * linked) / np.array([x[1] for x in lines], float)
+    ratio = smooth(own) if scores is None else scores(lines)
+    own = own if scores is None else ratio
+    factor = np.array([(ARTICLE if marks.article[k] else 1.0) * (PARTLY if marks.doubt[k] else 1.0) for k in at])
+    score, alone = np.log1p(ratio * factor), np.log1p(own * factor)
+    border = threshold(score[left]) if left.any() else 0.0
+    # smoothing lifts what stands next to content, so a line's own ratio counts too
+    content = left & (score >= border) & (alone >= border)
+    # blocks whose marks are in doubt stay out unless most of their text is content
     every, votes = np.zeros(len(nodes)), np.zeros(len(nodes))
     np.add.at(every, at, sizes)
     np.add.at(votes, at, sizes * content)
     for k in range(len(nodes) - 1, 0, -1):
         every[nodes[k][0]] += every[k]
         votes[nodes[k][0]] += votes[k]
-    if not votes[0]:
-        return ""
-    # the lowest node with nearly all votes, but not below an article's
-    best = 0
+    doubtful = [False] * len(nodes)
     for k in range(1, len(nodes)):
-        if nodes[k][0] == best and votes[k] >= NEARLY * votes[0] and not nodes[best][4]:
-            best = k
-    low = [False] * len(nodes)  # below the best node
-    out = [False] * len(nodes)  # in a block that stays out
-    for k in range(len(nodes)):
-        up = nodes[k][0]
-        low[k] = k == best or (up >= 0 and low[up])
-        out[k] = k != best and up >= 0 and (out[up] or (low[k] and weight[k] < 0.9 * weight[up] and 2 * votes[k] < every[k]))
-    keep = np.array([low[k] and not out[k] for k in at])
-    if not nodes[best][4]:
-        # without a named article: from the first content line, with the headings right before it, to the last
-        held = np.flatnonzero(content & keep)
-        first, last = int(held[0]), int(held[-1])
-        while first and keep[first - 1] and lines[first - 1][4]:
+        doubtful[k] = doubtful[nodes[k][0]] or (marks.doubt[k] and 2 * votes[k] < every[k])
+    free = np.array([not marks.out[k] and not doubtful[k] for k in at])
+    if inside is not None:
+        keep = free & np.array([inside[k] for k in at])
+    else:
+        held = np.flatnonzero(content & free)
+        if not len(held):
+            return ""
+        homes = {int(at[k]) for k in held}
+        for k in list(homes):
+            while nodes[k][5] == "section":
+                k = nodes[k][0]
+                homes.add(k)
+        home = [False] * len(nodes)
+        for k in range(len(nodes)):
+            home[k] = k in homes or (k > 0 and nodes[k][5] in PROSE and home[nodes[k][0]])
+        between = np.zeros(len(lines), bool)
+        between[held[0] : held[-1] + 1] = True
+        keep = free & (content | (left & (between | np.array([home[k] for k in at]))))
+        # headings right before the text
+        first = int(np.flatnonzero(keep)[0])
+        while first and free[first - 1] and lines[first - 1][4]:
             first -= 1
-        keep[:first] = keep[last + 1 :] = False
-        keep &= content | (linked < 0.5 * sizes)
+            keep[first] = True
     return " ".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 

@@ -83,6 +83,45 @@ def test_the_ratio_chooses():
     assert turned != TEXT
 
 
+MANY = " ".join([ONE] * 9)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body>{BOTH}</body>", TEXT),
+        (f"<body><p>{ONE}</p><p>Short.</p><p>{MANY}</p><p>The end.</p></body>", f"{ONE} Short. {MANY} The end."),
+        (f"<body><h1>Title</h1><p>Short lead.</p>{f'<p>{MANY}</p>' * 3}</body>", f"Title Short lead. {MANY} {MANY} {MANY}"),
+        (f"<div><section>{f'<p>{ONE}</p>' * 9}</section><section><p>The last part.</p></section></div>", f"{MANY} The last part."),
+        (f"<div><p>{ONE}</p><ul><li>first<li>second</ul></div><div><a>Home</a></div>", f"{ONE} first second"),
+        (f"<article><p>{ONE}</p><div class=advert><p>{MANY}</p></div><p>{TWO}</p></article>", TEXT),
+        (f"<article><p>{ONE}</p><div class=sidebar><p>{MANY}</p></div><p>{TWO}</p></article>", TEXT),
+        (f"<body><p>Short one.</p><div class=notice><p>{MANY}</p></div><p>Short two.</p></body>", "Short one. Short two."),
+        (f"<article><p>{ONE}</p><form><p>{MANY}</p><input></form><p>{TWO}</p></article>", TEXT),
+        (f"<aside><article><p>{MANY}</p></article></aside><div><p>{ONE}</p></div>", ONE),
+        (f"<div class=modal><article>{BOTH}</article></div><div>one more line</div>", TEXT),
+        ("<article><p>x</p><![CDATA[ a > b ]]><p>y</p></article>", "x y"),
+    ],
+)
+def test_no_share_of_the_text_decides(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_scores_choose_on_pages_without_names(spark):
+    """The table's pages without their article and class names: the text changes with the scores, and holds the article with them as they are."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(60).collect()
+    changed = found = 0
+    for r in rows:
+        page = re.sub(r"</?(?:article|main|nav|header|footer|aside|form)\b", lambda m: m[0].replace(m[0].lstrip("</"), "div"), r.html)
+        page = re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+        shuffled = lambda lines: np.random.default_rng(3).permutation([len(x[0]) / x[1] for x in lines])
+        own = html_extract.main_text(page)
+        changed += own != html_extract.main_text(page, scores=shuffled)
+        longest = max(re.findall(r"<p>([^<]+)</p>", r.html.split("<article>")[1].split("</article>")[0]), key=len, default="")
+        found += " ".join(html.unescape(longest).split()) in own
+    assert changed > len(rows) // 3 and found > len(rows) * 0.9
+
+
 def test_odd_markup_takes_linear_time():
     n = 20000
     for page in ("<div>" * n + "</p>" * n, "</p>" * (n * 10), "<b>" * n + "<p>x" * n, "<span>" * n + "</div>" * n, "<!--" * n, "<a " * n, "</" * n):
