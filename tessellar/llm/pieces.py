@@ -12,7 +12,8 @@ The longest pieces come from an Aho-Corasick automaton of the reversed pieces,
 run over the reversed text: the longest match that ends at a place there begins
 at it here. Where no piece holds a space after another character, such places
 are borders of every encoding, and the runs between them ("units") are encoded
-one by one and kept in a memo.
+one by one and kept in a memo; those that aren't in it are cut again between
+characters that are neighbours in no piece.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -69,17 +71,20 @@ class Pieces:
         reachable = set(whole)
         self.text: list[str] = whole
         number = {piece: k for k, piece in enumerate(whole)}
-        #: Of each reachable piece its longest shorter beginning that is one too, -1 if there is none.
-        self.shorter = [next((number[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in reachable), -1) for piece in whole]
+        #: What to try after each reachable piece: its longest shorter beginning that is one too, else its first character; after that (NONE, ALONE as places from the end) nothing.
+        shorter = (next((number[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in reachable), ALONE if piece[0] not in self.ids else NONE) for piece in whole)
+        self.after = [*shorter, NONE, NONE]
         self.automaton = ahocorasick.Automaton()
         for piece, k in number.items():
             self.automaton.add_word(piece[::-1], k)
         self.automaton.make_automaton()
+        #: Characters that stand next to each other in some piece.
+        self.beside = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
         within = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
         #: A space after another character begins a unit, unless some piece spans such a place.
         self.units = None if within else re.compile(f"{SPACE}*+[^{SPACE}]+|{SPACE}+")
         self.border = None if within else re.compile(f"(?<=[^{SPACE}]){SPACE}")
-        self.memo: dict[str, array] = {}
+        self.memo: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -96,49 +101,50 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _agree(self, left: str, right: str) -> bool:
-        """Whether merging the two anew leaves the border between them."""
-        got = self.pairs.get((left, right))
-        if got is None:
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            got = self.pairs[left, right] = self.merged(left + right) == [left, right]
+        """Whether merging the two anew leaves the border between them; kept in a memo."""
+        if len(self.pairs) >= MEMO:
+            self.pairs.clear()
+        got = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return got
 
     def unit(self, text: str) -> list[str]:
         """The pieces of a text between two borders; a character that isn't a piece stands alone."""
         n = len(text)
-        longest = array("i", [-1]) * n
+        longest = array("i", [ALONE]) * n
         last = -1
         for end, k in self.automaton.iter(text[::-1]):
             if end != last:  # the longest comes first
                 longest[n - 1 - end] = k
                 last = end
         failed = bytearray(n // 8 + 1)
-        names, shorter, ids = self.text, self.shorter, self.ids
-        # of a place the numbers of pieces to try, falling in length, then ALONE if its character is none, then NONE
-        first = lambda at: longest[at] if longest[at] >= 0 else ALONE
-        after = lambda k, at: NONE if k == ALONE else shorter[k] if shorter[k] >= 0 else NONE if text[at] in ids else ALONE
+        names, after, pairs = self.text, self.after, self.pairs
         out: list[str] = []
         taken: list[int] = []
-        at, trying = 0, first(0) if n else NONE
+        at, before = 0, None
+        # of a place the numbers of pieces to try, falling in length, then ALONE if its character is none, then NONE
+        trying = longest[0] if n else NONE
         while at < n:
-            before = out[-1] if out else None
             while trying != NONE:
-                piece = text[at] if trying == ALONE else names[trying]
+                piece = names[trying] if trying >= 0 else text[at]
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (before is None or self._agree(before, piece)):
-                    break
-                trying = after(trying, at)
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    agree = before is None or pairs.get((before, piece))
+                    if agree is None:
+                        agree = self._agree(before, piece)
+                    if agree:
+                        break
+                trying = after[trying]
             if trying != NONE:
                 out.append(piece)
                 taken.append(trying)
-                at = end
-                trying = first(at) if at < n else NONE
+                at, before = end, piece
+                trying = longest[at] if at < n else NONE
                 continue
             failed[at >> 3] |= 1 << (at & 7)
-            # the piece before this place is given up for a shorter one; IndexError can't be: some sequence stands the test
+            # the piece before this place is given up for a shorter one; there is one to give up, as some sequence stands the test
             at -= len(out.pop())
-            trying = after(taken.pop(), at)
+            before = out[-1] if out else None
+            trying = after[taken.pop()]
         return out
 
     def _numbers(self, pieces: list[str]) -> array:
@@ -151,6 +157,25 @@ class Pieces:
                 out.extend(self.bytes[b] for b in piece.encode())
         return out
 
+    def _keep(self, unit: str, ids: bytes) -> None:
+        if len(unit) <= LONGEST:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[unit] = ids
+
+    def runs(self, unit: str) -> list[str]:
+        """A unit cut between neighbours that stand so in no piece: nothing is ever merged there."""
+        beside = self.beside
+        cuts = [k + 1 for k, pair in enumerate(map(add, unit, unit[1:])) if pair not in beside]
+        return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)] if cuts else [unit]
+
+    def _run(self, run: str) -> bytes:
+        got = self.memo.get(run)
+        if got is None:
+            got = self._numbers(self.unit(run)).tobytes()
+            self._keep(run, got)
+        return got
+
     def encode(self, text: str) -> array:
         """The ids of a text, without begin or end ids; none for an empty text."""
         out = array("i")
@@ -163,15 +188,15 @@ class Pieces:
         while begin < len(text):
             cut = self.border.search(text, begin + CHUNK) if len(text) - begin > CHUNK else None
             end = cut.start() if cut else len(text)
-            for unit in self.units.findall(text, begin, end):
-                ids = memo.get(unit)
-                if ids is None:
-                    ids = self._numbers(self.unit(unit))
-                    if len(unit) <= LONGEST:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        memo[unit] = ids
-                out.extend(ids)
+            units = self.units.findall(text, begin, end)
+            found = list(map(memo.get, units))
+            if None in found:
+                for k, got in enumerate(found):
+                    if got is None:
+                        unit = units[k]
+                        found[k] = got = memo.get(unit) or b"".join(map(self._run, self.runs(unit)))
+                        self._keep(unit, got)
+            out.frombytes(b"".join(found))
             begin = end
         return out
 

@@ -49,7 +49,8 @@ class _Small(pieces.Pieces):
         self.scores = {name: -k for k, name in enumerate(names)}
         self.text = [name for name in names if self.merged(name) == [name]]
         number = {name: k for k, name in enumerate(self.text)}
-        self.shorter = [next((number[name[:k]] for k in range(len(name) - 1, 0, -1) if name[:k] in number), -1) for name in self.text]
+        shorter = (next((number[name[:k]] for k in range(len(name) - 1, 0, -1) if name[:k] in number), pieces.NONE if name[0] in self.ids else pieces.ALONE) for name in self.text)
+        self.after = [*shorter, pieces.NONE, pieces.NONE]
         self.automaton = ahocorasick.Automaton()
         for name, k in number.items():
             self.automaton.add_word(name[::-1], k)
