@@ -206,3 +206,27 @@ def factor_cotangents(cells: DataFrame, left: bool = True) -> DataFrame:
     """``DA`` of each cell's matrix ``A`` from ``DQ`` and ``DR`` of its QR (``DL`` of its LQ) factors."""
     ship(cells.sparkSession)
     return cells.where(F.col("name").isin("A", "DQ", "DR", "DL")).groupBy("problem", "i", "j").applyInPandas(_factor_cotangents(left), SCHEMA)
+
+
+def reshaped(cells: DataFrame, shape: tuple[int, ...]) -> DataFrame:
+    """Packed cells with another shape of the same size."""
+    return cells.withColumn("shape", F.array(*(F.lit(n) for n in shape)))
+
+
+def _factors(left: bool):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        (a,) = read(rows).values()
+        problem, i, j = map(int, key)
+        if left:
+            q, r = dense.qr_positive(a)
+            return write(problem, {("Q", i, j): q, ("R", i, j): r})
+        q, r = dense.qr_positive(a.conj().T)
+        return write(problem, {("Q", i, j): q.conj().T, ("L", i, j): r.conj().T})
+
+    return run
+
+
+def factors(cells: DataFrame, left: bool = True) -> DataFrame:
+    """``Q`` and ``R`` of each cell's matrix ``A`` (for ``left=False`` ``L`` and ``Q``), diagonals positive."""
+    ship(cells.sparkSession)
+    return _only(cells, "A").groupBy("problem", "i", "j").applyInPandas(_factors(left), SCHEMA)
