@@ -10,7 +10,7 @@ from ..operators.tape import Tape, norm_cotangent
 from ..operators.tensor import Tensor
 from ..sources.tables import CELL, lineitem_tensor, lineitem_tensors, table
 from .networks import _lineitem
-from .oracles import chain, tensor_sql
+from .oracles import chain, cholesky, tensor_sql
 from .queries import query
 
 _SUPPLIER = """e AS (SELECT l_suppkey AS problem, (l_linenumber % 2)::INT AS a, (l_partkey % 2)::INT AS b, count(*)::DOUBLE AS re,
@@ -129,24 +129,7 @@ def lq_cotangent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _factor_gradient(spark, sf_dir, False)
 
 
-def _cholesky_sql(name: str, n: int) -> tuple[str, str]:
-    """CTEs up to ``q``: each row of a matrix with its columns orthonormalised one by one, and R's entries ``r<k><l>r, r<k><l>i`` beside them."""
-    rows = [k for k in "abc" if k != "c"]
-    keys = ", ".join(rows)
-    over = "OVER (PARTITION BY i, j)"
-    picks = ", ".join(f"sum(CASE WHEN c = {k} THEN {p} ELSE 0 END) AS x{k}{p[0]}" for k in range(n) for p in ("re", "im"))
-    ctes = [f"t AS ({tensor_sql(name)})", f"s0 AS (SELECT {keys}, i, j, {picks} FROM t GROUP BY {keys}, i, j)"]
-    for k in range(n):
-        ctes.append(f"d{k} AS (SELECT *, sqrt(sum(x{k}r * x{k}r + x{k}i * x{k}i) {over}) AS r{k}{k}r FROM s{k})")
-        ctes.append(f"e{k} AS (SELECT *, x{k}r / r{k}{k}r AS q{k}r, x{k}i / r{k}{k}r AS q{k}i FROM d{k})")
-        sums = "".join(f", sum(q{k}r * x{m}r + q{k}i * x{m}i) {over} AS r{k}{m}r, sum(q{k}r * x{m}i - q{k}i * x{m}r) {over} AS r{k}{m}i" for m in range(k + 1, n))
-        ctes.append(f"f{k} AS (SELECT *{sums} FROM e{k})")
-        less = ", ".join(f"x{m}r - (q{k}r * r{k}{m}r - q{k}i * r{k}{m}i) AS x{m}r, x{m}i - (q{k}r * r{k}{m}i + q{k}i * r{k}{m}r) AS x{m}i" for m in range(k + 1, n))
-        ctes.append(f"s{k + 1} AS (SELECT * REPLACE ({less}) FROM f{k})" if less else f"s{k + 1} AS (SELECT * FROM f{k})")
-    return "WITH " + ", ".join(ctes), f"s{n}"
-
-
-_STEPS, _LAST = _cholesky_sql("AU", 4)
+_STEPS, _LAST = cholesky("AU", "c")
 
 
 @query(f"{_STEPS} " + " UNION ALL ".join(f"SELECT a, b, {k} AS z, i, j, round(q{k}r, 8) AS re, round(q{k}i, 8) AS im FROM {_LAST}" for k in range(4)))

@@ -10,6 +10,7 @@ from ..operators import cells, environments, ising, maps, variational
 from ..operators.contract import contract
 from ..operators.tensor import Tensor
 from ..sources.tables import CELL, lineitem_tensors, table
+from .oracles import leading_value, product, tensor_sql
 from .queries import query
 
 #: Rows and columns of the Ising networks' unit cell, and their states' dimension.
@@ -28,23 +29,31 @@ def _lineitem(spark: SparkSession, sf_dir: str, *names: str) -> list[Tensor]:
 
 
 def _holds(kind: str, slot: str, mapped: Tensor, x: Tensor, found: DataFrame, value: str) -> DataFrame:
-    """Of each row or column whether ``mapped`` is ``value`` times ``x``, to 1e-8 of the value."""
+    """Of each row or column the value's logarithm and angle, and whether ``mapped`` is ``value`` times ``x``, to 1e-8 of the value."""
     values = found.where(F.col("name") == value).select("problem", slot, F.element_at("re", 1).alias("u"), F.element_at("im", 1).alias("v"))
     scaled = x.df.join(values, ["problem", slot])
     scaled = scaled.select(*x.keys, (F.col("im") * F.col("v") - F.col("re") * F.col("u")).alias("re"), (F.lit(0.0) - F.col("re") * F.col("v") - F.col("im") * F.col("u")).alias("im"))
     rest = mapped.rename(*x.index).add(x._with(scaled)).norms()
     size = values.select("problem", slot, F.hypot("u", "v").alias("size"))
     joined = rest.join(size, ["problem", slot])
-    return joined.groupBy(F.lit(kind).alias("kind"), F.col(slot).alias("slot")).agg((F.max(F.col("norm") / F.col("size")) < 1e-8).alias("holds"))
+    held = joined.groupBy(F.col(slot).alias("slot")).agg((F.max(F.col("norm") / F.col("size")) < 1e-8).alias("holds"))
+    numbers = values.select(F.col(slot).alias("slot"), F.round(F.log(F.hypot("u", "v")), 7).alias("size"), F.round(F.atan2("v", "u"), 7).alias("angle"))
+    return held.join(numbers, "slot").select(F.lit(kind).alias("kind"), "slot", "size", "angle", "holds")
 
 
-_SLOTS = "SELECT kind, slot, true AS holds FROM (SELECT unnest([{kinds}]) AS kind), (SELECT DISTINCT {slot} AS slot FROM lineitem)"
-_ROW, _COLUMN = f"(l_quantity::INT % {CELL})::INT", f"(month(l_shipdate) % {CELL})::INT"
+def _values_sql() -> str:
+    """Leading values of the rows' and columns' products of maps, from traces of their powers; left and right maps have the same."""
+    row, rows = leading_value("r", product([("AU", "abc"), ("M", "dgeb"), ("AD", "fgh", 1, 0)], "adf", "ceh"), "i", "j")
+    centre, centres = leading_value("c", product([("FL", "adf"), ("M", "dgeb"), ("FR", "ceh")], "abc", "fgh"), "j", "i")
+    bond, bonds = leading_value("b", product([("FL", "acd", 0, 1), ("FR", "bce")], "ab", "de"), "j", "i")
+    one = lambda kind, of: f"SELECT '{kind}' AS kind, s AS slot, round(ln(sqrt(re * re + im * im)) / {CELL}, 7) AS size, round(atan2(im, re) / {CELL}, 7) AS angle, true AS holds FROM {of}"
+    parts = [one("left", rows), one("right", rows), one("centre", centres), one("bond", bonds)]
+    return f"WITH {', '.join([*row, *centre, *bond])} {' UNION ALL '.join(parts)}"
 
 
-@query(_SLOTS.format(kinds="'left', 'right'", slot=_ROW) + " UNION ALL " + _SLOTS.format(kinds="'centre', 'bond'", slot=_COLUMN))
+@query(_values_sql())
 def env_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leading eigenvectors of all four maps, put back into their map as joins and sums."""
+    """Leading eigenvalues of all four maps around their cycle, and whether the vectors, put back into their map as joins and sums, belong to them."""
     au, ad, m, fl, fr, c = _lineitem(spark, sf_dir, "AU", "AD", "M", "FL", "FR", "C")
     pack = cells.pack
     bulk = pack(m, "M")
@@ -64,14 +73,22 @@ def env_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gauged(kind: str, one: Tensor, two: Tensor, found: DataFrame, factor: str) -> DataFrame:
-    """Of each cell whether ``factor`` times ``one`` is ``two``."""
+    """Of each cell the logarithm of ``factor``, and whether it times ``one`` is ``two``."""
     size = found.where(F.col("name") == factor).select(*cells.KEYS, F.element_at("re", 1).alias("u"))
     scaled = one.df.join(size, list(cells.KEYS)).select(*one.keys, (F.lit(0.0) - F.col("re") * F.col("u")).alias("re"), (F.lit(0.0) - F.col("im") * F.col("u")).alias("im"))
     rest = two.add(one._with(scaled)).norms()
-    return rest.join(size, list(cells.KEYS)).select(F.lit(kind).alias("kind"), "i", "j", (F.col("norm") < 1e-8 * F.col("u")).alias("holds"))
+    return rest.join(size, list(cells.KEYS)).select(F.lit(kind).alias("kind"), "i", "j", F.round(F.log("u"), 7).alias("size"), (F.col("norm") < 1e-8 * F.col("u")).alias("holds"))
 
 
-@query(f"SELECT kind, i, j, true AS holds FROM (SELECT unnest(['left', 'right']) AS kind), (SELECT DISTINCT {_ROW} AS i, {_COLUMN} AS j FROM lineitem)")
+def _gauge_sql() -> str:
+    """The factor is the root of the transfer map's leading value, which is real: traces of its powers, cell by cell."""
+    cell = f"SELECT i * {CELL} + j AS i, 0 AS j, x.a || ',' || y.a AS x, x.c || ',' || y.c AS y, sum(x.re * y.re + x.im * y.im) AS re, sum(x.im * y.re - x.re * y.im) AS im FROM t x JOIN t y USING (i, j, b) GROUP BY ALL"
+    steps, last = leading_value("g", f"WITH t AS ({tensor_sql('AU')}) {cell}", "i", "j", around=1)
+    one = lambda kind: f"SELECT '{kind}' AS kind, (s // {CELL})::INT AS i, (s % {CELL})::INT AS j, round(ln(sqrt(re * re + im * im)) / 2, 7) AS size, true AS holds FROM {last}"
+    return f"WITH {', '.join(steps)} {one('left')} UNION ALL {one('right')}"
+
+
+@query(_gauge_sql())
 def gauge_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isometries of each cell and the bond that carries the tensor into them."""
     (a,) = _lineitem(spark, sf_dir, "AU")

@@ -41,3 +41,52 @@ def chain(factors: list[tuple], out: str, i: int = 0, j: int = 0, minus_conj: bo
     sel = "".join(f"{c}, " for c in out)
     re, im = ("0 - re", "im") if minus_conj else ("re", "im")
     return f"WITH {', '.join(ctes)} SELECT {sel}((i + {i % CELL}) % {CELL})::INT AS i, ((j + {j % CELL}) % {CELL})::INT AS j, {re} AS re, {im} AS im FROM p{len(factors) - 1}"
+
+
+def cholesky(name: str, column: str, conj: bool = False) -> tuple[str, str]:
+    """A WITH clause and the name of its last part: every row of a matrix with its columns orthonormalised one by one (``q<k>r, q<k>i``) and R's entries (``r<k><l>r, r<k><l>i``)."""
+    rows = [k for k in LINEITEM[name] if k != column]
+    n = LINEITEM[name][column][1]
+    keys = ", ".join(rows)
+    over = "OVER (PARTITION BY i, j)"
+    sign = "0 - " if conj else ""
+    picks = ", ".join(f"{sign if p == 'im' else ''}sum(CASE WHEN {column} = {k} THEN {p} ELSE 0 END) AS x{k}{p[0]}" for k in range(n) for p in ("re", "im"))
+    ctes = [f"t AS ({tensor_sql(name)})", f"s0 AS (SELECT {keys}, i, j, {picks} FROM t GROUP BY {keys}, i, j)"]
+    for k in range(n):
+        ctes.append(f"d{k} AS (SELECT *, sqrt(sum(x{k}r * x{k}r + x{k}i * x{k}i) {over}) AS r{k}{k}r FROM s{k})")
+        ctes.append(f"e{k} AS (SELECT *, x{k}r / r{k}{k}r AS q{k}r, x{k}i / r{k}{k}r AS q{k}i FROM d{k})")
+        sums = "".join(f", sum(q{k}r * x{m}r + q{k}i * x{m}i) {over} AS r{k}{m}r, sum(q{k}r * x{m}i - q{k}i * x{m}r) {over} AS r{k}{m}i" for m in range(k + 1, n))
+        ctes.append(f"f{k} AS (SELECT *{sums} FROM e{k})")
+        less = ", ".join(f"x{m}r - (q{k}r * r{k}{m}r - q{k}i * r{k}{m}i) AS x{m}r, x{m}i - (q{k}r * r{k}{m}i + q{k}i * r{k}{m}r) AS x{m}i" for m in range(k + 1, n))
+        ctes.append(f"s{k + 1} AS (SELECT * REPLACE ({less}) FROM f{k})" if less else f"s{k + 1} AS (SELECT * FROM f{k})")
+    return "WITH " + ", ".join(ctes), f"s{n}"
+
+
+def product(factors: list[tuple], x: str, y: str) -> str:
+    """``i, j, x, y, re, im``: factors contracted as in ``chain``, as matrices from the indices ``x`` to the indices ``y``."""
+    number = lambda t, labels: " || ',' || ".join(f"{t}{k}" for k in labels)
+    return f"SELECT i, j, {number('', x)} AS x, {number('', y)} AS y, re, im FROM ({chain(factors, x + y)})"
+
+
+def leading_value(name: str, matrices: str, slot: str, order: str, squarings: int = 5, around: int = CELL) -> tuple[list[str], str]:
+    """CTEs and the last one's name: of each ``slot`` the leading eigenvalue (``re, im``) of the product of all matrices ``around`` ``order``.
+
+    From traces: tr(P^(n + 1)) / tr(P^n) for an n of 2 to the ``squarings``, each power over its norm.
+    """
+    times = lambda one, two, i, j: f"SELECT u.s, u.x, v.y, sum(u.re * v.re - u.im * v.im) AS re, sum(u.re * v.im + u.im * v.re) AS im FROM {one} u JOIN {two} v ON u.y = v.x AND u.s = v.s {i} {j} GROUP BY ALL"
+    scaled = lambda inner: f"SELECT s, x, y, re / sqrt(sum(re * re + im * im) OVER (PARTITION BY s)) AS re, im / sqrt(sum(re * re + im * im) OVER (PARTITION BY s)) AS im FROM ({inner})"
+    ctes = [f"{name}m AS MATERIALIZED ({matrices})"]
+    ctes += [f"{name}f{k} AS (SELECT {slot} AS s, x, y, re, im FROM {name}m WHERE {order} = {k})" for k in range(around)]
+    last = f"{name}f0"
+    for k in range(1, around):
+        ctes.append(f"{name}p{k} AS MATERIALIZED ({times(last, f'{name}f{k}', '', '')})")
+        last = f"{name}p{k}"
+    ctes.append(f"{name}q0 AS MATERIALIZED ({scaled(f'SELECT * FROM {last}')})")
+    for k in range(squarings):
+        ctes.append(f"{name}q{k + 1} AS MATERIALIZED ({scaled(times(f'{name}q{k}', f'{name}q{k}', '', ''))})")
+    q = f"{name}q{squarings}"
+    ctes.append(f"{name}n AS (SELECT u.s, sum(u.re * v.re - u.im * v.im) AS re, sum(u.re * v.im + u.im * v.re) AS im FROM {q} u JOIN {last} v ON u.y = v.x AND u.x = v.y AND u.s = v.s GROUP BY u.s)")
+    ctes.append(f"{name}d AS (SELECT s, sum(re) AS re, sum(im) AS im FROM {q} WHERE x = y GROUP BY s)")
+    size = "(d.re * d.re + d.im * d.im)"
+    ctes.append(f"{name}v AS (SELECT n.s, (n.re * d.re + n.im * d.im) / {size} AS re, (n.im * d.re - n.re * d.im) / {size} AS im FROM {name}n n JOIN {name}d d USING (s))")
+    return ctes, f"{name}v"

@@ -11,7 +11,7 @@ from ..operators.contract import contract
 from ..operators.factor import gram_r2, lqpos, qrpos
 from ..operators.tensor import Tensor, identity, random_like
 from ..sources.tables import CELL, lineitem_tensor, lineitem_tensors, table
-from .oracles import chain, over, tensor_sql
+from .oracles import chain, cholesky, over, tensor_sql
 
 QUERIES = {}
 ORACLES = {}
@@ -139,15 +139,22 @@ _contraction("lqpos_l", over("AU", "i, j, l11, l21_re, l21_im, sqrt(greatest(g22
     FROM t x JOIN t y ON x.a = y.a AND x.c = y.c AND x.i = y.i AND x.j = y.j AND x.b = 0 AND y.b = 1 GROUP BY x.i, x.j))"""), lambda AU: gram_r2(AU.conj(), "b").select("i", "j", F.col("r11").alias("l11"), F.col("r12_re").alias("l21_re"), (0 - F.col("r12_im")).alias("l21_im"), F.col("r22").alias("l22")))
 
 
-def _isometry(q: Tensor, column: str) -> DataFrame:
-    """Of each cell whether Q'Q is the identity."""
+def _isometry(q: Tensor, r: Tensor, column: str) -> DataFrame:
+    """Of each cell the logarithm of R's diagonal's product, and whether Q'Q is the identity."""
     g = contract((q.conj(), q.rename(*("y" if k == column else k for k in q.index))), (column, "y")).df
     off = F.abs(F.col("re") - F.when(F.col(column) == F.col("y"), 1.0).otherwise(0.0)) + F.abs("im")
-    return g.groupBy("i", "j").agg((F.max(off) < 1e-9).alias("isometric"))
+    x, y = r.index
+    volume = r.df.where(F.col(x) == F.col(y)).groupBy("i", "j").agg(F.round(F.sum(F.log("re")), 7).alias("volume"))
+    return g.groupBy("i", "j").agg((F.max(off) < 1e-9).alias("isometric")).join(volume, ["i", "j"])
 
 
-_contraction("qrpos_isometry", over("AU", "DISTINCT i, j, true AS isometric"), lambda AU: _isometry(qrpos(AU, "c")[0], "c"))
-_contraction("lqpos_isometry", over("AU", "DISTINCT i, j, true AS isometric"), lambda AU: _isometry(lqpos(AU, "a")[1].conj(), "a"))
+def _volume(column: str, conj: bool) -> str:
+    steps, last = cholesky("AU", column, conj)
+    return f"{steps} SELECT DISTINCT i, j, round({' + '.join(f'ln(r{k}{k}r)' for k in range(4))}, 7) AS volume, true AS isometric FROM {last}"
+
+
+_contraction("qrpos_isometry", _volume("c", False), lambda AU: _isometry(*qrpos(AU, "c"), "c"))
+_contraction("lqpos_isometry", _volume("a", True), lambda AU: _isometry(*(t.conj() for t in lqpos(AU, "a")[::-1]), "a"))
 
 
 @query("""
