@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import differences, scan, tall
+from ..functions.lineage import cut
+from ..operators import cells, differences, environments, krylov, maps, scan, tall
+from ..operators.contract import contract
 from ..operators.tape import Tape, norm_cotangent
-from ..operators.tensor import Tensor
+from ..operators.tensor import Tensor, random_like
 from ..sources.tables import CELL, lineitem_tensor, lineitem_tensors, table
 from .networks import _lineitem
-from .oracles import chain, cholesky, tensor_sql
-from .queries import query
+from .oracles import chain, cholesky, leading_value, product, tensor_sql
+from .queries import query, ratio
 
 _SUPPLIER = """e AS (SELECT l_suppkey AS problem, (l_linenumber % 2)::INT AS a, (l_partkey % 2)::INT AS b, count(*)::DOUBLE AS re,
     sum(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN -1 ELSE 0 END)::DOUBLE AS im FROM lineitem GROUP BY ALL)"""
@@ -174,3 +176,112 @@ def density_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, au = lineitem_tensors(spark, sf_dir, ("C", "AU"))
     out = scan.density_fold(c, au, CELL).normalized()
     return out.df.select("a", "b", "i", "j", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
+
+
+def _hashed(seed: int, index: dict[str, int], cells: str, batch: tuple[str, ...] = ("i", "j")) -> str:
+    """SQL of ``random_like`` for the cells of a table."""
+    unit = lambda part: f"('0x' || substr(md5(concat_ws(',', {seed}, '{part}', {', '.join((*index, *batch))})), 1, 8))::BIGINT::DOUBLE / 4294967296.0"
+    ranges = ", ".join(f"(SELECT unnest(range({n}))::INT AS {k})" for k, n in index.items())
+    return f"SELECT {', '.join((*index, *batch))}, {unit('re')} AS re, {unit('im')} AS im FROM (SELECT DISTINCT {', '.join(batch)} FROM ({cells})), {ranges}"
+
+
+_SIX = {"a": 4, "b": 2, "c": 4, "t": 4, "u": 2, "v": 4}
+
+
+@query(f"""WITH n AS ({chain([("AU", "abc"), ((_hashed(11, _SIX, tensor_sql("M")), tuple(_SIX)), "abctuv"), ("AU", "tuv")], "")}), m AS ({chain([("AU", "abc"), ("AU", "abc")], "")})
+    SELECT i, j, round((n.re * m.re + n.im * m.im) / (m.re * m.re + m.im * m.im), 9) AS re, round((n.im * m.re - n.re * m.im) / (m.re * m.re + m.im * m.im), 9) AS im FROM n JOIN m USING (i, j)""")
+def quadratic_form_six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x S x over x x of every cell, S an operator with six indices from hashed numbers."""
+    (au,) = lineitem_tensors(spark, sf_dir, ("AU",))
+    s = random_like(au.df, _SIX, 11)
+    return ratio(contract(((au, s), au.rename("t", "u", "v")), ()), contract((au, au), ()))
+
+
+def _error_sql() -> str:
+    x = tensor_sql("AU"), ("a", "b", "c")
+    for _ in range(CELL):
+        x = chain([("FL", "adf"), (x, "abc"), ("M", "dgeb"), ("FR", "ceh")], "fgh", i=1), ("f", "g", "h")
+    part = chain([(x, "apc"), ("AD", "dpc", 0, 0, True), ("AD", "dsb")], "asb")
+    return f"""WITH x AS ({x[0]}), p AS ({part}), r AS (SELECT x.i, x.j, x.re - p.re AS re, x.im - p.im AS im FROM x JOIN p ON x.f = p.a AND x.g = p.s AND x.h = p.b AND x.i = p.i AND x.j = p.j)
+        SELECT i, j, round(ln(sqrt(sum(re * re + im * im))), 9) AS error FROM r GROUP BY i, j"""
+
+
+@query(_error_sql())
+def state_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the centre, carried down through all rows, a right state doesn't span: the logarithm of its norm in each cell."""
+    au, fl, m, fr, ad = lineitem_tensors(spark, sf_dir, ("AU", "FL", "M", "FR", "AD"))
+    down = maps.power_of_centre_map(au, fl, m, fr, CELL)
+    down = down._with(cut(down.df))
+    inside = maps.project(down, ad)
+    rest = down.add(inside.rename(*down.index).scale(-1.0))
+    return rest.norms().select("i", "j", F.round(F.log("norm"), 9).alias("error"))
+
+
+def _substitution_sql() -> str:
+    steps, last = cholesky("AU", "c")
+    ctes = [f"r AS (SELECT DISTINCT i, j, {', '.join(f'r{k}{m}r, ' + ('0.0' if k == m else f'r{k}{m}i') + f' AS r{k}{m}i' for k in range(4) for m in range(k, 4))} FROM {last})"]
+    picks = ", ".join(f"sum(CASE WHEN a = {k} THEN {p} ELSE 0 END) AS b{k}{p[0]}" for k in range(4) for p in ("re", "im"))
+    ctes.append(f"y4 AS (SELECT b AS w, i, j, {picks} FROM ({tensor_sql('C')}) GROUP BY b, i, j)")
+    for k in range(3, -1, -1):
+        re = f"(b{k}r" + "".join(f" - (r{k}{m}r * x{m}r - r{k}{m}i * x{m}i)" for m in range(k + 1, 4)) + f") / r{k}{k}r"
+        im = f"(b{k}i" + "".join(f" - (r{k}{m}r * x{m}i + r{k}{m}i * x{m}r)" for m in range(k + 1, 4)) + f") / r{k}{k}r"
+        ctes.append(f"y{k} AS (SELECT *, {re} AS x{k}r, {im} AS x{k}i FROM " + (f"y{k + 1} JOIN r USING (i, j))" if k == 3 else f"y{k + 1})"))
+    return f"{steps}, {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT {k} AS c, w, i, j, round(x{k}r, 7) AS re, round(x{k}i, 7) AS im FROM y0" for k in range(4))
+
+
+@query(_substitution_sql())
+def triangular_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R x = b in every cell, R of the tall factors and b the bond tensor, two rows at a time."""
+    au, c = lineitem_tensors(spark, sf_dir, ("AU", "C"))
+    _, r = tall.tall_qr(au, "c")
+    x = tall.back_substituted(r, c.rename("z", "w"), 2)
+    return x.df.select("c", "w", "i", "j", F.round("re", 7).alias("re"), F.round("im", 7).alias("im"))
+
+
+_FL, _FR = {"a": 4, "d": 2, "f": 4}, {"c": 4, "e": 2, "h": 4}
+_CELLS = f"SELECT 0::BIGINT AS problem, i, j FROM ({tensor_sql('M')})"
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, {', '.join(f'{k} AS x{n}' for n, k in enumerate(index))}, i, j, re, im FROM ({_hashed(seed, index, _CELLS, ('problem', 'i', 'j'))})" for name, index, seed in (("FL", _FL, 100), ("FR", _FR, 101))))
+def random_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The environments' first guesses from hashed numbers, packed by cell and taken apart again."""
+    (m,) = _lineitem(spark, sf_dir, "M")
+    found = cut(environments.random_environments(m.df, _FL, _FR))
+    parts = [cells.unpack(found, name, tuple(index), tuple(index.values())).df.select(F.lit(name).alias("name"), *(F.col(k).alias(f"x{n}") for n, k in enumerate(index)), "i", "j", "re", "im") for name, index in (("FL", _FL), ("FR", _FR))]
+    return parts[0].unionByName(parts[1])
+
+
+def _around(fl: Tensor, fr: Tensor):
+    """The bond's map once down through all rows, from row 0 back to it."""
+
+    def apply(x: Tensor) -> Tensor:
+        for _ in range(CELL):
+            x = maps.bond_map(x, fl, fr, CELL, CELL).rename("a", "b")
+        return x
+
+    return apply
+
+
+def _bond_sql() -> str:
+    steps, last = leading_value("b", product([("FL", "acd", 0, 1), ("FR", "bce")], "ab", "de"), "j", "i")
+    return f"WITH {', '.join(steps)} SELECT s AS j, round(ln(sqrt(re * re + im * im)), 7) AS size, round(atan2(im, re), 7) AS angle FROM {last}"
+
+
+@query(_bond_sql())
+def krylov_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bond map's leading eigenvalue of every column, by Arnoldi with vectors as tables."""
+    c, fl, fr = lineitem_tensors(spark, sf_dir, ("C", "FL", "FR"))
+    fl, fr = (t._with(cut(t.df)) for t in (fl, fr))
+    values, _ = krylov.dominant(_around(fl, fr), c.fix("i", 0), ("j",), tol=1e-11, space=6)
+    return values.select("j", F.round(F.log(F.hypot("vr", "vi")), 7).alias("size"), F.round(F.atan2("vi", "vr"), 7).alias("angle"))
+
+
+@query(f"SELECT a, b, j, round(re, 5) AS re, round(im, 5) + 0.0 AS im FROM ({tensor_sql('C')}) WHERE i = 0")
+def krylov_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bond tensor, found again by GMRES on tables from what the bond's map less twice the identity makes of it."""
+    c, fl, fr = lineitem_tensors(spark, sf_dir, ("C", "FL", "FR"))
+    fl, fr = (t._with(cut(t.normalized().df)) for t in (fl, fr))
+    around = _around(fl, fr)
+    shifted = lambda x: around(x).add(x.scale(-2.0))
+    x, _ = krylov.solve(shifted, shifted(c.fix("i", 0)), ("j",), tol=1e-12, space=8)
+    return x.df.select("a", "b", "j", F.round("re", 5).alias("re"), (F.round("im", 5) + 0.0).alias("im"))

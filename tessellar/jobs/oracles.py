@@ -20,13 +20,15 @@ def chain(factors: list[tuple], out: str, i: int = 0, j: int = 0, minus_conj: bo
 
     The factor stands ``offset`` beyond the result's cell, before the result
     moves by ``i`` rows and ``j`` columns. ``mirror`` as row offset counts rows from the end.
+    For a tensor's name there may stand SQL and its indices.
     """
     ctes, known = [], ""
     for k, (name, labels, *rest) in enumerate(factors):
         di, dj, conj = (*rest, *(0, 0, False)[len(rest) :])
         row = f"{CELL - 1} - i" if di == "mirror" else f"(i + {-di % CELL}) % {CELL}"
-        cols = ", ".join(f"{own} AS {label}" for own, label in zip(LINEITEM[name], labels, strict=True))
-        ctes.append(f"f{k} AS (SELECT {cols}, ({row})::INT AS i, ((j + {-dj % CELL}) % {CELL})::INT AS j, re, {'0 - im' if conj else 'im'} AS im FROM ({tensor_sql(name)}))")
+        source, index = (tensor_sql(name), LINEITEM[name]) if isinstance(name, str) else name
+        cols = ", ".join(f"{own} AS {label}" for own, label in zip(index, labels, strict=True))
+        ctes.append(f"f{k} AS (SELECT {cols}, ({row})::INT AS i, ((j + {-dj % CELL}) % {CELL})::INT AS j, re, {'0 - im' if conj else 'im'} AS im FROM ({source}))")
         if not k:
             ctes.append("p0 AS (SELECT * FROM f0)")
             known = labels

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dense
 from ..functions.ship import ship
-from .cells import SCHEMA, moved, read, write
+from .cells import KEYS, SCHEMA, moved, pack, read, write
+from .tensor import random_like
 
 
 def _only(cells: DataFrame, *names: str) -> DataFrame:
@@ -64,6 +65,15 @@ def environments(upper: DataFrame, lower: DataFrame, guess: DataFrame | None = N
     return parts.groupBy("problem", "i").applyInPandas(_environments(left, right), SCHEMA)
 
 
+def random_environments(at: DataFrame, left: dict[str, int], right: dict[str, int], seed: int = 100) -> DataFrame:
+    """First guesses ``FL`` and ``FR`` of every cell (``problem, i, j``) in a table, from hashed numbers: the same in every run.
+
+    ``left`` and ``right`` are the indices and dimensions, upper, bulk and lower leg.
+    """
+    one, two = random_like(at, left, seed, KEYS), random_like(at, right, seed + 1, KEYS)
+    return pack(one, "FL").unionByName(pack(two, "FR"))
+
+
 def conjugated(cells: DataFrame) -> DataFrame:
     return cells.withColumn("im", F.transform("im", lambda x: F.lit(0.0) - x))
 
