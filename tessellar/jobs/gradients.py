@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import cells, differences, environments, krylov, maps, scan, tall
+from ..operators import adjoint, cells, differences, environments, krylov, maps, scan, tall
 from ..operators.contract import contract
 from ..operators.tape import Tape, norm_cotangent
 from ..operators.tensor import Tensor, random_like
@@ -285,3 +285,32 @@ def krylov_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = lambda x: around(x).add(x.scale(-2.0))
     x, _ = krylov.solve(shifted, shifted(c.fix("i", 0)), ("j",), tol=1e-12, space=8)
     return x.df.select("a", "b", "j", F.round("re", 5).alias("re"), (F.round("im", 5) + 0.0).alias("im"))
+
+
+def _root_sql() -> str:
+    """The root of a 2 x 2 matrix in closed form, (A + sqrt(det) 1) / sqrt(trace + 2 sqrt(det)), at both ends of a small step along another matrix."""
+    entry = lambda k: f"sum(CASE WHEN a = {k} THEN {{0}} ELSE 0 END)"
+    wide = ", ".join(f"{entry(k).format(c)} AS {n}{k}" for k in (0, 1) for c, n in (("re", "r"), ("im", "s")))
+    return f"""WITH {_SUPPLIER}, w AS (SELECT problem, b, {wide} FROM e GROUP BY problem, b),
+        -- 1 + X'X over the rows, and the change: the rows' second half only
+        g AS (SELECT problem, 1 + sum(r0 * r0 + s0 * s0) AS p, 1 + sum(r1 * r1 + s1 * s1) AS q, sum(r0 * r1 + s0 * s1) AS u, sum(r0 * s1 - s0 * r1) AS v,
+              sum(b * (r0 * r0 + s0 * s0)) AS dp, sum(b * (r1 * r1 + s1 * s1)) AS dq, sum(b * (r0 * r1 + s0 * s1)) AS du, sum(b * (r0 * s1 - s0 * r1)) AS dv FROM w GROUP BY problem),
+        m AS (SELECT problem, h, p + h * dp AS p, q + h * dq AS q, u + h * du AS u, v + h * dv AS v FROM g, (SELECT unnest([-1e-5::DOUBLE, 1e-5::DOUBLE]) AS h)),
+        d AS (SELECT *, sqrt(p * q - u * u - v * v) AS t FROM m),
+        s AS (SELECT problem, h, (p + t) / sqrt(p + q + 2 * t) AS p, (q + t) / sqrt(p + q + 2 * t) AS q, u / sqrt(p + q + 2 * t) AS u, v / sqrt(p + q + 2 * t) AS v FROM d)
+        SELECT problem, round(sum(sign(h) * p) / 2e-5, 3) + 0.0 AS ds00, round(sum(sign(h) * q) / 2e-5, 3) + 0.0 AS ds11, round(sum(sign(h) * u) / 2e-5, 3) + 0.0 AS ds01_re, round(sum(sign(h) * v) / 2e-5, 3) + 0.0 AS ds01_im FROM s GROUP BY problem"""
+
+
+@query(_root_sql())
+def root_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change of the root of each supplier's 1 + X'X along a matrix that doesn't commute with it, from Sylvester's equation."""
+    x = cut(_supplier_matrices(spark, sf_dir).withColumns({"i": F.lit(0), "j": F.lit(0)}))
+    dims = {"a": 2, "b": 2}
+    matrix = lambda df: Tensor(df.select("a", "b", *cells.KEYS, "re", "im"), ("a", "b"), dims, cells.KEYS)
+    square = lambda t: contract((t.conj().rename("x", "b"), t.rename("y", "b")), ("x", "y"))
+    eye = Tensor(x.select(*cells.KEYS).distinct().withColumn("x", F.explode(F.array(F.lit(0), F.lit(1)))).select("x", F.col("x").alias("y"), *cells.KEYS, F.lit(1.0).alias("re"), F.lit(0.0).alias("im")), ("x", "y"), {"x": 2, "y": 2}, cells.KEYS)
+    both = lambda t, name: cells.pack(Tensor(t.df, t.index, {"x": 2, "y": 2}, t.batch), name)
+    zero = eye.scale(0.0)
+    found = adjoint.matrix_roots(both(square(matrix(x)).add(eye), "A").unionByName(both(square(matrix(x.where("b = 1"))).add(zero), "DA")))
+    entry = lambda k, part, name: (F.round(F.element_at(part, k), 3) + 0.0).alias(name)
+    return found.where("name = 'DS'").select("problem", entry(1, "re", "ds00"), entry(4, "re", "ds11"), entry(2, "re", "ds01_re"), entry(2, "im", "ds01_im"))

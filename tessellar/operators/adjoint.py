@@ -230,3 +230,33 @@ def factors(cells: DataFrame, left: bool = True) -> DataFrame:
     """``Q`` and ``R`` of each cell's matrix ``A`` (for ``left=False`` ``L`` and ``Q``), diagonals positive."""
     ship(cells.sparkSession)
     return _only(cells, "A").groupBy("problem", "i", "j").applyInPandas(_factors(left), SCHEMA)
+
+
+def root_derivative(root: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """dS with dS S + S dS = ``change``, for a Hermitian positive root S: solved in S's eigenbasis, where it is a quotient of each entry."""
+    values, vectors = np.linalg.eigh((root + root.conj().T) / 2)
+    inner = vectors.conj().T @ change @ vectors
+    return vectors @ (inner / (values[:, None] + values[None, :])) @ vectors.conj().T
+
+
+def _roots(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    t = read(rows)
+    problem, i, j = map(int, key)
+    a = t["A", i, j]
+    values, vectors = np.linalg.eigh((a + a.conj().T) / 2)
+    root = (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.conj().T
+    out = {("S", i, j): root}
+    if ("DA", i, j) in t:
+        out["DS", i, j] = root_derivative(root, t["DA", i, j])
+    if ("GS", i, j) in t:  # the same equation gives the cotangent, as it is its own adjoint
+        out["GA", i, j] = root_derivative(root, t["GS", i, j])
+    return write(problem, out)
+
+
+def matrix_roots(cells: DataFrame) -> DataFrame:
+    """Of each cell's Hermitian positive matrix ``A`` the root ``S``; with a change ``DA`` the root's change ``DS``, with a cotangent ``GS`` of the root that of ``A``, ``GA``.
+
+    The changes needn't commute with the matrix.
+    """
+    ship(cells.sparkSession)
+    return _only(cells, "A", "DA", "GS").groupBy("problem", "i", "j").applyInPandas(_roots, SCHEMA)

@@ -89,16 +89,30 @@ def step(state: DataFrame, rows: int, columns: int) -> tuple[DataFrame, DataFram
 
 
 def solve(state: DataFrame, rows: int, columns: int, tol: float = 1e-10, maxiter: int = 10, miniter: int = 1, after: Callable | None = None) -> tuple[DataFrame, float]:
-    """Steps until the worst problem's error is ``tol``; ``after(state, errors)`` may replace a step's state."""
+    """Steps until every problem's error is ``tol``; ``after(state, errors)`` may replace a step's state.
 
-    def once(old: DataFrame) -> tuple[DataFrame, float]:
-        new, errors = step(old, rows, columns)
+    A problem whose error is small enough leaves the iteration with the state it
+    has then; steps after that move only the others' tensors.
+    """
+    stop, error = Stop(tol, maxiter, miniter), float("inf")
+    working, settled, least = state, [], 0.0
+    while not stop(error):
+        new, errors = step(working, rows, columns)
         if after is not None:
             new = after(new, errors) or new
-        worst = errors.agg(F.max("error").alias("error")).first().error
-        return new, 0.0 if worst is None else worst
-
-    return fixed_point(once, state, Stop(tol, maxiter, miniter))
+        errors = cut(errors)
+        found = errors.agg(F.max("error").alias("worst"), F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("error") <= tol, 1)).alias("done"), F.max(F.when(F.col("error") <= tol, F.col("error"))).alias("least")).first()
+        error = 0.0 if found.worst is None else found.worst
+        working = new
+        if stop.steps + 1 >= miniter and 0 < found.done < found.all:
+            done = errors.where(F.col("error") <= tol).select("problem")
+            new = cut(new)
+            settled.append(cut(new.join(done, "problem", "left_semi")))
+            working = cut(new.join(done, "problem", "left_anti"))
+            least = max(least, found.least)
+    for part in settled:
+        working = working.unionByName(part)
+    return working, max(error, least)
 
 
 def _dense_step(t: dict, rows: int, columns: int) -> tuple[dict, float]:
@@ -155,14 +169,38 @@ def solve_whole(state: DataFrame, rows: int, columns: int, tol: float = 1e-10, m
     return _take(out, *STATE), _take(out, "ERR").select("problem", F.element_at("re", 1).alias("error"))
 
 
-def save(state: DataFrame, path: str, direction: str, chi: int, d: int) -> None:
-    """Keep a state as a Parquet table of its direction and dimensions."""
-    state.write.mode("overwrite").parquet(f"{path}/direction={direction}/D={d}/chi={chi}")
+def _folder(path: str, direction: str, chi: int, d: int) -> str:
+    return f"{path}/direction={direction}/D={d}/chi={chi}"
+
+
+def _latest(spark: SparkSession, folder: str) -> int | None:
+    """The number of the last committed snapshot in a folder."""
+    try:
+        return spark.read.schema("version bigint").parquet(f"{folder}/commits").agg(F.max("version").alias("v")).first().v
+    except AnalysisException:
+        return None
+
+
+def save(state: DataFrame, path: str, direction: str, chi: int, d: int, keep: int = 2) -> None:
+    """Keep a state as a new snapshot of its direction and dimensions.
+
+    The snapshot is written beside the older ones and then committed by a row in
+    ``commits``; one that isn't committed, as its writer was lost, is never
+    read. All but the last ``keep`` snapshots are emptied after that.
+    """
+    spark, folder = state.sparkSession, _folder(path, direction, chi, d)
+    version = (_latest(spark, folder) or 0) + 1
+    state.write.mode("overwrite").parquet(f"{folder}/version-{version}")
+    spark.range(version, version + 1).select(F.col("id").alias("version")).coalesce(1).write.mode("append").parquet(f"{folder}/commits")
+    if version > keep:
+        state.limit(0).write.mode("overwrite").parquet(f"{folder}/version-{version - keep}")
 
 
 def load(spark: SparkSession, path: str, direction: str, chi: int, d: int) -> DataFrame:
-    """A kept state; an error if its tensors aren't of dimension ``chi``."""
-    state = spark.read.parquet(f"{path}/direction={direction}/D={d}/chi={chi}")
+    """The last committed snapshot of a state, or a plain table in its place; an error if its tensors aren't of dimension ``chi``."""
+    folder = _folder(path, direction, chi, d)
+    version = _latest(spark, folder)
+    state = spark.read.parquet(folder if version is None else f"{folder}/version-{version}")
     if not state.where("name = 'C' and shape[0] <> %d" % chi).isEmpty():
         raise ValueError(f"the state in {path} isn't of dimension {chi}")
     return state
