@@ -314,3 +314,83 @@ def root_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = adjoint.matrix_roots(both(square(matrix(x)).add(eye), "A").unionByName(both(square(matrix(x.where("b = 1"))).add(zero), "DA")))
     entry = lambda k, part, name: (F.round(F.element_at(part, k), 3) + 0.0).alias(name)
     return found.where("name = 'DS'").select("problem", entry(1, "re", "ds00"), entry(4, "re", "ds11"), entry(2, "re", "ds01_re"), entry(2, "im", "ds01_im"))
+
+
+_FORM = {"a": 4, "b": 4, "t": 4, "u": 4}
+
+
+def _bond_gradient_sql(step: float = 0.05) -> str:
+    """Central differences: for every moved entry its column's map around all rows, the leading vector from a power of it, and the loss."""
+    base = product([("FL", "acd", 0, 1), ("FR", "bce")], "ab", "de")
+    times = lambda u, v: f"SELECT u.p, u.x, v.y, sum(u.re * v.re - u.im * v.im) AS re, sum(u.re * v.im + u.im * v.re) AS im FROM {u} u JOIN {v} v ON u.p = v.p AND u.y = v.x GROUP BY ALL"
+    scaled = lambda inner: f"SELECT p, x, y, re / sqrt(sum(re * re + im * im) OVER (PARTITION BY p)) AS re, im / sqrt(sum(re * re + im * im) OVER (PARTITION BY p)) AS im FROM ({inner})"
+    ctes = [
+        f"e AS MATERIALIZED ({base})",
+        f"fl AS (SELECT a, d AS c, f AS d, i, (j + {CELL - 1}) % {CELL} AS j, re, im FROM ({tensor_sql('FL')}))",
+        f"""m AS MATERIALIZED (SELECT row_number() OVER () AS p, * FROM (SELECT c AS b, e AS c, h AS e, i, j FROM ({tensor_sql("FR")})),
+            (SELECT unnest([0, 1]) AS part), (SELECT unnest([-1, 1]) AS side))""",
+        f"""moved AS (SELECT m.p, m.i, fl.a || ',' || m.b AS x, fl.d || ',' || m.e AS y, {step / 2} * side * CASE WHEN part = 0 THEN fl.re ELSE 0 - fl.im END AS re, {step / 2} * side * CASE WHEN part = 0 THEN fl.im ELSE fl.re END AS im
+            FROM m JOIN fl ON fl.c = m.c AND fl.i = m.i AND fl.j = m.j)""",
+        "all_e AS MATERIALIZED (SELECT p, i, x, y, sum(re) AS re, sum(im) AS im FROM (SELECT m.p, e.i, x, y, re, im FROM m JOIN e USING (j) UNION ALL SELECT * FROM moved) GROUP BY ALL)",
+    ]
+    ctes += [f"k{k} AS (SELECT p, x, y, re, im FROM all_e WHERE i = {k})" for k in range(CELL)]
+    last = "k0"
+    for k in range(1, CELL):
+        ctes.append(f"w{k} AS MATERIALIZED ({times(last, f'k{k}')})")
+        last = f"w{k}"
+    ctes.append(f"q0 AS MATERIALIZED ({scaled(f'SELECT * FROM {last}')})")
+    ctes += [f"q{k + 1} AS MATERIALIZED ({scaled(times(f'q{k}', f'q{k}'))})" for k in range(4)]
+    ctes += [
+        "v AS MATERIALIZED (SELECT p, y AS x, sum(re) AS re, sum(im) AS im FROM q4 GROUP BY ALL)",
+        f"s AS (SELECT a || ',' || b AS x, t || ',' || u AS y, j, re, im FROM ({_hashed(12, _FORM, tensor_sql('M'))}) WHERE i = 0)",
+        "vs AS (SELECT v.p, m.j, s.y, sum(v.re * s.re - v.im * s.im) AS re, sum(v.re * s.im + v.im * s.re) AS im FROM v JOIN m USING (p) JOIN s ON s.x = v.x AND s.j = m.j GROUP BY ALL)",
+        "n AS (SELECT vs.p, sum(vs.re * v.re - vs.im * v.im) AS re, sum(vs.re * v.im + vs.im * v.re) AS im FROM vs JOIN v ON v.p = vs.p AND v.x = vs.y GROUP BY vs.p)",
+        "d AS (SELECT p, sum(re * re - im * im) AS re, sum(2 * re * im) AS im FROM v GROUP BY p)",
+        "l AS (SELECT p, sqrt((n.re * n.re + n.im * n.im) / (d.re * d.re + d.im * d.im)) AS loss FROM n JOIN d USING (p))",
+    ]
+    slope = lambda part: f"round(1000 * sum(CASE WHEN part = {part} THEN side * loss ELSE 0 END) / {step}, 4) + 0.0"
+    return f"WITH {', '.join(ctes)} SELECT b AS c, c AS e, e AS h, i, j, {slope(0)} AS re, {slope(1)} AS im FROM l JOIN m USING (p) GROUP BY ALL"
+
+
+@query(_bond_gradient_sql())
+def bond_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the bond's leading vectors (a linear solve a column): the gradient by the right environments of |c S c / c c| in row 0, in thousandths."""
+    fl, fr, m = _lineitem(spark, sf_dir, "FL", "FR", "M")
+    tape = Tape()
+    left, right = tape.leaf(fl), tape.leaf(fr)
+    guess = random_like(m.df, {"a": 4, "b": 4}, 1, cells.KEYS)
+    c = tape.fix(tape.bonds(guess, left, m, right, CELL, CELL), "i", 0)
+    s = tape.leaf(random_like(m.df.select("i", "j"), _FORM, 12).fix("i", 0))
+    top = tape.contract(((c, s), tape.rename(c, "t", "u")), ())
+    loss = tape.total(tape.modulus(tape.divide(top, tape.contract((c, c), ()))))
+    (g,) = tape.gradient(loss, [right])
+    out = lambda k: (F.round(F.col(k) * 1000, 4) + 0.0).alias(k)
+    return g.df.select("c", "e", "h", "i", "j", out("re"), out("im"))
+
+
+def _multiplet_sql() -> str:
+    steps, last = leading_value("b", product([("FL", "acd", 0, 1), ("FR", "bce")], "ab", "de"), "j", "i")
+    angle = f"(atan2(im, re) + 2 * pi() * k) / {CELL}"
+    return f"""WITH {', '.join(steps)}, r AS (SELECT s, exp(ln(sqrt(re * re + im * im)) / {CELL}) / 1e4 AS u, {angle} AS angle FROM {last}, (SELECT unnest(range({CELL})) AS k))
+        SELECT s AS j, (row_number() OVER (PARTITION BY s ORDER BY cos(angle) DESC, sin(angle) DESC) - 1)::INT AS k, round(u * cos(angle), 5) AS re, round(u * sin(angle), 5) AS im FROM r"""
+
+
+@query(_multiplet_sql())
+def degenerate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three eigenvalues of one modulus that the bond's map on all rows at once has in every column, by subspace iteration on tables."""
+    c, fl, fr = lineitem_tensors(spark, sf_dir, ("C", "FL", "FR"))
+    fl, fr = (t._with(cut(t.df)) for t in (fl, fr))
+    # the row belongs to the vector: its index, not a key
+    guesses = [_rowed(random_like(c.df, {"a": 4, "b": 4}, seed)) for seed in range(6)]
+
+    def apply(x: Tensor) -> Tensor:
+        y = Tensor(x.df, ("a", "b"), c.dims, ("i", *x.batch))
+        y = maps.bond_map(y, fl, fr, CELL, CELL)
+        return Tensor(y.df, ("d", "e", "i"), {}, tuple(k for k in y.batch if k != "i"))
+
+    values, _ = krylov.leading(apply, guesses, CELL, ("j",), tol=1e-8, inner=CELL)
+    return values.select("j", "k", F.round(F.col("vr") / 1e4, 5).alias("re"), F.round(F.col("vi") / 1e4, 5).alias("im"))
+
+
+def _rowed(x: Tensor) -> Tensor:
+    return Tensor(x.df, (*x.index, "i"), {**x.dims, "i": CELL}, tuple(k for k in x.batch if k != "i"))

@@ -245,7 +245,7 @@ def _block_combined(block: Tensor, weights: DataFrame) -> Tensor:
     return block._with(both.groupBy(*keys, "col").agg(re, im).withColumnRenamed("col", "k").select(*block.keys, "re", "im"))
 
 
-def leading(apply: Map, guesses: list[Tensor], count: int, by: tuple[str, ...] = ("problem",), tol: float = 1e-10, rounds: int = 60) -> tuple[DataFrame, Tensor]:
+def leading(apply: Map, guesses: list[Tensor], count: int, by: tuple[str, ...] = ("problem",), tol: float = 1e-10, rounds: int = 60, inner: int = 1) -> tuple[DataFrame, Tensor]:
     """The ``count`` eigenvalues of largest modulus as ``by, k, vr, vi``, and their vectors (``k`` among the batch), by subspace iteration.
 
     A block of as many vectors as there are guesses (some more than ``count``),
@@ -254,7 +254,8 @@ def leading(apply: Map, guesses: list[Tensor], count: int, by: tuple[str, ...] =
     on it. Several eigenvalues of one modulus, which leave a single vector turning
     for ever, are found together: number 0 is that of largest real part
     among them. Ends when no Ritz value moves by more than ``tol`` of the
-    largest. ``apply`` must take blocks, as contractions do.
+    largest. ``inner`` maps are done between two times of making the block
+    orthonormal. ``apply`` must take blocks, as contractions do.
     """
     ship(guesses[0].df.sparkSession)
     like = guesses[0]
@@ -300,6 +301,8 @@ def leading(apply: Map, guesses: list[Tensor], count: int, by: tuple[str, ...] =
             if moved.d is None or moved.d <= tol * moved.m:
                 break
         before, ended = values, block
+        for _ in range(inner - 1):
+            mapped = _kept(apply(mapped).rename(*block.index))
         block = orthonormal(mapped)
     else:
         block = ended  # the last Ritz vectors are of the block before

@@ -82,6 +82,10 @@ class Tape:
     def shift(self, x: Node, axis: str, by: int, size: int) -> Node:
         return self._add(x.value.shift(axis, by, size), (x,), lambda g: [g.shift(axis, -by, size)])
 
+    def fix(self, x: Node, axis: str, value: int) -> Node:
+        """A slice; entries outside it get no cotangent."""
+        return self._add(x.value.fix(axis, value), (x,), lambda g: [g])
+
     def conj(self, x: Node) -> Node:
         return self._add(x.value.conj(), (x,), lambda g: [g.conj()])
 
