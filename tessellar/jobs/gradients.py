@@ -319,21 +319,24 @@ def root_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FORM = {"a": 4, "b": 4, "t": 4, "u": 4}
 
 
-def _bond_gradient_sql(step: float = 0.05) -> str:
-    """Central differences: for every moved entry its column's map around all rows, the leading vector from a power of it, and the loss."""
-    base = product([("FL", "acd", 0, 1), ("FR", "bce")], "ab", "de")
+def _vector_gradient_sql(base: str, entries: str, keys: str, change: str, slot: str, order: str, form: dict[str, int], seed: int, step: float = 0.05) -> str:
+    """Central differences of |x S x / x x| for the leading vectors x of the slots' products of maps, seen at the first place around.
+
+    For every moved entry (``keys`` at ``i, j`` of ``entries``) its slot's maps
+    around ``order``, with ``change`` (``i, x, y, ur, ui`` for entries ``m``) as
+    what a unit of it adds; x from a power of their product; and the loss.
+    """
     times = lambda u, v: f"SELECT u.p, u.x, v.y, sum(u.re * v.re - u.im * v.im) AS re, sum(u.re * v.im + u.im * v.re) AS im FROM {u} u JOIN {v} v ON u.p = v.p AND u.y = v.x GROUP BY ALL"
     scaled = lambda inner: f"SELECT p, x, y, re / sqrt(sum(re * re + im * im) OVER (PARTITION BY p)) AS re, im / sqrt(sum(re * re + im * im) OVER (PARTITION BY p)) AS im FROM ({inner})"
+    half = len(form) // 2
+    one, two = (" || ',' || ".join(list(form)[k : k + half]) for k in (0, half))
     ctes = [
         f"e AS MATERIALIZED ({base})",
-        f"fl AS (SELECT a, d AS c, f AS d, i, (j + {CELL - 1}) % {CELL} AS j, re, im FROM ({tensor_sql('FL')}))",
-        f"""m AS MATERIALIZED (SELECT row_number() OVER () AS p, * FROM (SELECT c AS b, e AS c, h AS e, i, j FROM ({tensor_sql("FR")})),
-            (SELECT unnest([0, 1]) AS part), (SELECT unnest([-1, 1]) AS side))""",
-        f"""moved AS (SELECT m.p, m.i, fl.a || ',' || m.b AS x, fl.d || ',' || m.e AS y, {step / 2} * side * CASE WHEN part = 0 THEN fl.re ELSE 0 - fl.im END AS re, {step / 2} * side * CASE WHEN part = 0 THEN fl.im ELSE fl.re END AS im
-            FROM m JOIN fl ON fl.c = m.c AND fl.i = m.i AND fl.j = m.j)""",
-        "all_e AS MATERIALIZED (SELECT p, i, x, y, sum(re) AS re, sum(im) AS im FROM (SELECT m.p, e.i, x, y, re, im FROM m JOIN e USING (j) UNION ALL SELECT * FROM moved) GROUP BY ALL)",
+        f"m AS MATERIALIZED (SELECT row_number() OVER () AS p, * FROM ({entries}), (SELECT unnest([0, 1]) AS part), (SELECT unnest([-1, 1]) AS side))",
+        f"moved AS (SELECT p, place, x, y, {step / 2} * side * CASE WHEN part = 0 THEN ur ELSE 0 - ui END AS re, {step / 2} * side * CASE WHEN part = 0 THEN ui ELSE ur END AS im FROM ({change}))",
+        f"all_e AS MATERIALIZED (SELECT p, place, x, y, sum(re) AS re, sum(im) AS im FROM (SELECT m.p, e.{order} AS place, x, y, re, im FROM m JOIN e USING ({slot}) UNION ALL SELECT p, place, x, y, re, im FROM moved) GROUP BY ALL)",
     ]
-    ctes += [f"k{k} AS (SELECT p, x, y, re, im FROM all_e WHERE i = {k})" for k in range(CELL)]
+    ctes += [f"k{k} AS (SELECT p, x, y, re, im FROM all_e WHERE place = {k})" for k in range(CELL)]
     last = "k0"
     for k in range(1, CELL):
         ctes.append(f"w{k} AS MATERIALIZED ({times(last, f'k{k}')})")
@@ -342,30 +345,76 @@ def _bond_gradient_sql(step: float = 0.05) -> str:
     ctes += [f"q{k + 1} AS MATERIALIZED ({scaled(times(f'q{k}', f'q{k}'))})" for k in range(4)]
     ctes += [
         "v AS MATERIALIZED (SELECT p, y AS x, sum(re) AS re, sum(im) AS im FROM q4 GROUP BY ALL)",
-        f"s AS (SELECT a || ',' || b AS x, t || ',' || u AS y, j, re, im FROM ({_hashed(12, _FORM, tensor_sql('M'))}) WHERE i = 0)",
-        "vs AS (SELECT v.p, m.j, s.y, sum(v.re * s.re - v.im * s.im) AS re, sum(v.re * s.im + v.im * s.re) AS im FROM v JOIN m USING (p) JOIN s ON s.x = v.x AND s.j = m.j GROUP BY ALL)",
+        f"s AS (SELECT {one} AS x, {two} AS y, {slot}, re, im FROM ({_hashed(seed, form, tensor_sql('M'))}) WHERE {order} = 0)",
+        f"vs AS (SELECT v.p, s.y, sum(v.re * s.re - v.im * s.im) AS re, sum(v.re * s.im + v.im * s.re) AS im FROM v JOIN m USING (p) JOIN s ON s.x = v.x AND s.{slot} = m.{slot} GROUP BY ALL)",
         "n AS (SELECT vs.p, sum(vs.re * v.re - vs.im * v.im) AS re, sum(vs.re * v.im + vs.im * v.re) AS im FROM vs JOIN v ON v.p = vs.p AND v.x = vs.y GROUP BY vs.p)",
         "d AS (SELECT p, sum(re * re - im * im) AS re, sum(2 * re * im) AS im FROM v GROUP BY p)",
         "l AS (SELECT p, sqrt((n.re * n.re + n.im * n.im) / (d.re * d.re + d.im * d.im)) AS loss FROM n JOIN d USING (p))",
     ]
-    slope = lambda part: f"round(1000 * sum(CASE WHEN part = {part} THEN side * loss ELSE 0 END) / {step}, 4) + 0.0"
-    return f"WITH {', '.join(ctes)} SELECT b AS c, c AS e, e AS h, i, j, {slope(0)} AS re, {slope(1)} AS im FROM l JOIN m USING (p) GROUP BY ALL"
+    slope = lambda part: f"round(1e6::DOUBLE * sum(CASE WHEN part = {part} THEN side * loss ELSE 0 END) / {step}, 3) + 0.0"
+    return f"WITH {', '.join(ctes)} SELECT {', '.join(keys)}, i, j, {slope(0)} AS re, {slope(1)} AS im FROM l JOIN m USING (p) GROUP BY ALL"
+
+
+_UNIT = "x.re * y.re - x.im * y.im AS ur, x.re * y.im + x.im * y.re AS ui"
+_BULK = f"SELECT d, g, e, b, i, j FROM ({tensor_sql('M')})"
+
+
+def _gradient_by(g: Tensor) -> DataFrame:
+    out = lambda k: (F.round(F.col(k) * 1e6, 3) + 0.0).alias(k)
+    return g.df.select(*g.index, "i", "j", out("re"), out("im"))
+
+
+def _overlap(tape: Tape, x, form: dict[str, int], cells_of: DataFrame, seed: int, axis: str):
+    """The sum over slots of |x S x / x x| at the first place around, S from hashed numbers."""
+    x = tape.fix(x, axis, 0)
+    s = tape.leaf(random_like(cells_of.select("i", "j"), form, seed).fix(axis, 0))
+    top = tape.contract(((x, s), tape.rename(x, *list(form)[len(form) // 2 :])), ())
+    return tape.total(tape.modulus(tape.divide(top, tape.contract((x, x), ()))))
 
 
-@query(_bond_gradient_sql())
+@query(_vector_gradient_sql(
+    product([("FL", "acd", 0, 1), ("FR", "bce")], "ab", "de"), f"SELECT c, e, h, i, j FROM ({tensor_sql('FR')})", "ceh",
+    f"SELECT m.p, side, part, m.i AS place, x.a || ',' || m.c AS x, x.f || ',' || m.h AS y, x.re AS ur, x.im AS ui FROM m JOIN ({tensor_sql('FL')}) x ON x.d = m.e AND x.i = m.i AND x.j = (m.j + 1) % {CELL}",
+    "j", "i", _FORM, 12))
 def bond_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Through the bond's leading vectors (a linear solve a column): the gradient by the right environments of |c S c / c c| in row 0, in thousandths."""
+    """Through the bond's leading vectors (a linear solve a column): the gradient by the right environments of |c S c / c c| in row 0, in millionths."""
     fl, fr, m = _lineitem(spark, sf_dir, "FL", "FR", "M")
     tape = Tape()
     left, right = tape.leaf(fl), tape.leaf(fr)
-    guess = random_like(m.df, {"a": 4, "b": 4}, 1, cells.KEYS)
-    c = tape.fix(tape.bonds(guess, left, m, right, CELL, CELL), "i", 0)
-    s = tape.leaf(random_like(m.df.select("i", "j"), _FORM, 12).fix("i", 0))
-    top = tape.contract(((c, s), tape.rename(c, "t", "u")), ())
-    loss = tape.total(tape.modulus(tape.divide(top, tape.contract((c, c), ()))))
-    (g,) = tape.gradient(loss, [right])
-    out = lambda k: (F.round(F.col(k) * 1000, 4) + 0.0).alias(k)
-    return g.df.select("c", "e", "h", "i", "j", out("re"), out("im"))
+    c = tape.bonds(random_like(m.df, {"a": 4, "b": 4}, 1, cells.KEYS), left, m, right, CELL, CELL)
+    (g,) = tape.gradient(_overlap(tape, c, _FORM, m.df, 12, "i"), [right])
+    return _gradient_by(g)
+
+
+@query(_vector_gradient_sql(
+    product([("FL", "adf"), ("M", "dgeb"), ("FR", "ceh")], "abc", "fgh"), _BULK, "dgeb",
+    f"SELECT m.p, side, part, m.i AS place, x.a || ',' || m.b || ',' || y.c AS x, x.f || ',' || m.g || ',' || y.h AS y, {_UNIT} FROM m JOIN ({tensor_sql('FL')}) x ON x.d = m.d AND x.i = m.i AND x.j = m.j JOIN ({tensor_sql('FR')}) y ON y.e = m.e AND y.i = m.i AND y.j = m.j",
+    "j", "i", _SIX, 13))
+def centre_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the centre's leading vectors, by the bulk tensor."""
+    fl, fr, m, au = _lineitem(spark, sf_dir, "FL", "FR", "M", "AU")
+    tape = Tape()
+    bulk = tape.leaf(m)
+    ac = tape.centres(au, tape.leaf(fl), bulk, tape.leaf(fr), CELL, CELL)
+    (g,) = tape.gradient(_overlap(tape, ac, _SIX, m.df, 13, "i"), [bulk])
+    return _gradient_by(g)
+
+
+_LEFT_FORM = {"a": 4, "d": 2, "f": 4, "t": 4, "u": 2, "v": 4}
+
+
+@query(_vector_gradient_sql(
+    product([("AU", "abc"), ("M", "dgeb"), ("AD", "fgh", 1, 0)], "adf", "ceh"), _BULK, "dgeb",
+    f"SELECT m.p, side, part, m.j AS place, x.a || ',' || m.d || ',' || y.f AS x, x.c || ',' || m.e || ',' || y.h AS y, {_UNIT} FROM m JOIN ({tensor_sql('AU')}) x ON x.b = m.b AND x.i = m.i AND x.j = m.j JOIN ({tensor_sql('AD')}) y ON y.g = m.g AND y.i = (m.i + 1) % {CELL} AND y.j = m.j",
+    "i", "j", _LEFT_FORM, 14))
+def left_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the left environments of every row, by the bulk tensor."""
+    au, ad, m = _lineitem(spark, sf_dir, "AU", "AD", "M")
+    tape = Tape()
+    bulk = tape.leaf(m)
+    env = tape.environment(tape.leaf(au), bulk, tape.leaf(ad), CELL, CELL)
+    (g,) = tape.gradient(_overlap(tape, env, _LEFT_FORM, m.df, 14, "j"), [bulk])
+    return _gradient_by(g)
 
 
 def _multiplet_sql() -> str:
