@@ -135,7 +135,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Where no id is null or repeated, the ids of the rows that go decide, and
     texts don't move while these are few enough to be broadcast.
     """
-    found = exact_duplicates(docs, id_col, text_col)
+    # an index that is dropped at once needs no second batch
+    found = exact_duplicates(docs, id_col, text_col, batches=1)
     if found.where(F.col(id_col).isNull()).isEmpty() and not repeats(found, id_col):
         return by_ids(docs, id_col, cut(found.where("not kept").select(id_col), "gone"), "left_anti")
     stay = found.where("kept").groupBy(F.col(id_col).alias("__stay"), F.unhex("text_sha256").alias("__text")).agg(F.count(F.lit(1)).alias("__n"))

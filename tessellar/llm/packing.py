@@ -15,6 +15,7 @@ partition, so packing needs no shuffle at any input size.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -37,7 +38,7 @@ PIECE = 512
 #: Pieces that are packed together.
 BLOCK = 8192
 #: Words in the memo of a worker, which is begun anew after eight times as many misses.
-MEMO = 400_000
+MEMO = 150_000
 END = 1
 
 
@@ -130,13 +131,14 @@ class Ids:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            self.special = [x["content"] for x in json.load(file).get("added_tokens") or []]
         ranks = os.path.splitext(path)[0] + ".tiktoken"
         if os.path.exists(ranks):
             self.ordinary, self.piece = _ordinary(ranks)
         else:
-            self.ordinary = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+            self.ordinary = lambda x: _tokenizer(path).encode(x, add_special_tokens=False).ids
             self.piece = lambda x: self.ordinary(x.decode())
         self.memo: dict[str, bytes] = {}
         self.missed = 0
@@ -153,7 +155,8 @@ class Ids:
 
     def __call__(self, text: str) -> bytes:
         if any(x in text for x in self.special):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            # loaded only where a text needs it
+            return array("I", _tokenizer(self.path).encode(text, add_special_tokens=False).ids).tobytes()
         if _ODD.search(text):
             return array("I", self.ordinary(text)).tobytes()
         first, *rest = text.split(" ")

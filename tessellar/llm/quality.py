@@ -191,16 +191,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
 
-    @F.pandas_udf("double")
-    def quality(text):
+    @F.arrow_udf("double")
+    def quality(text: pa.Array) -> pa.Array:
         here = Model(*sent.value)
-        return _series(here, text)
+        return pa.array(np.concatenate([here.score(s) for s in slices(text)] or [np.zeros(0)]), pa.float64())
 
     return docs.where(quality(F.col(text_col)) >= cutoff)
-
-
-def _series(model: Model, text):
-    import pandas as pd
-
-    column = pa.array(text, pa.string(), from_pandas=True)
-    return pd.Series(np.concatenate([model.score(s) for s in slices(column)] or [np.zeros(0)]))

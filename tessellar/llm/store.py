@@ -37,6 +37,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch of documents; Spark's default is 64 MB.
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_BYTES, unless the session's user has chosen a size.
+
+    A batch of long texts is held several times over, in the JVM's direct
+    memory and in Python.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "67108864", "64m"):
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
