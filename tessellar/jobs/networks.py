@@ -206,3 +206,44 @@ def fixedpoint_sqrt(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "customer").select("c_custkey", F.abs("c_acctbal").alias("x"), F.greatest(F.abs("c_acctbal"), F.lit(1.0)).alias("y"))
     found, _ = variational.fixed_point(once, first, variational.Stop(1e-12, 60))
     return found.select("c_custkey", F.round("y", 6).alias("root"))
+
+
+#: A small network for each supplier: bulk, upper and lower tensor, their indices as remainders by two.
+_OWN = {
+    "M": {"d": "l_partkey", "g": "l_orderkey", "e": "l_linenumber", "b": "l_quantity"},
+    "AU": {"a": "l_partkey", "b": "l_quantity", "c": "l_orderkey"},
+    "AD": {"f": "l_linenumber", "g": "l_orderkey", "h": "l_partkey"},
+}
+
+
+def _own_sql() -> str:
+    """Of every supplier the left map as a matrix, and its leading value from traces of powers."""
+    flag = "sum(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN -1 ELSE 0 END)::DOUBLE"
+    tensor = lambda name: f"SELECT l_suppkey AS p, {', '.join(f'{c}::BIGINT % 2 AS {k}' for k, c in _OWN[name].items())}, count(*)::DOUBLE AS re, {flag} AS im FROM lineitem GROUP BY ALL"
+    half = f"SELECT u.p, a, c, d, g, e, sum(u.re * m.re - u.im * m.im) AS re, sum(u.re * m.im + u.im * m.re) AS im FROM ({tensor('AU')}) u JOIN ({tensor('M')}) m USING (p, b) GROUP BY ALL"
+    whole = f"SELECT x.p AS i, 0 AS j, a || ',' || d || ',' || f AS x, c || ',' || e || ',' || h AS y, sum(x.re * y.re - x.im * y.im) AS re, sum(x.re * y.im + x.im * y.re) AS im FROM ({half}) x JOIN ({tensor('AD')}) y USING (p, g) GROUP BY ALL"
+    steps, last = leading_value("w", whole, "i", "j", 6, around=1)
+    return f"WITH {', '.join(steps)} SELECT s AS problem, round(ln(sqrt(re * re + im * im)), 6) AS size, round(atan2(im, re), 6) AS angle FROM {last}"
+
+
+@query(_own_sql())
+def supplier_environments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left environment's eigenvalue of every supplier's network: a group for each, as many as there are suppliers."""
+    flag = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", -1).otherwise(0)
+    two = lambda c: F.pmod(F.col(c).cast("int"), F.lit(2)).alias(c)
+    names = sorted({c for index in _OWN.values() for c in index.values()})
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("problem"), *map(two, names), flag.alias("flag"))
+    # one scan, summed map-side to at most 16 sums a supplier, from which the three tensors follow
+    sums = cut(rows.groupBy("problem", *names).agg(F.count(F.lit(1)).alias("n"), F.sum("flag").alias("flag")))
+
+    def packed(name: str, *as_: str) -> DataFrame:
+        index = _OWN[name]
+        entries = sums.groupBy("problem", *(F.col(c).alias(k) for k, c in index.items())).agg(F.sum("n").cast("double").alias("re"), F.sum("flag").cast("double").alias("im"))
+        t = Tensor(entries.select(*index, "problem", F.lit(0).alias("i"), F.lit(0).alias("j"), "re", "im"), tuple(index), dict.fromkeys(index, 2), cells.KEYS)
+        once = cells.pack(t, as_[0])
+        return once if len(as_) == 1 else once.unionByName(once.withColumn("name", F.lit(as_[1])))
+
+    upper = packed("AU", "AL", "AR").unionByName(packed("M", "M"))
+    found = environments.environments(upper, packed("AD", "AL", "AR"), rows=1, right=False).where("name = 'VL'")
+    u, v = F.element_at("re", 1), F.element_at("im", 1)
+    return found.select("problem", F.round(F.log(F.hypot(u, v)), 6).alias("size"), F.round(F.atan2(v, u), 6).alias("angle"))

@@ -60,10 +60,10 @@ def test_subspace_iteration_of_one_modulus(spark):
     third = np.exp(2j * np.pi / 3)
     m = matrices([2 * third, 2, 2 * third.conj(), 0.2, 0.01], [-3.0, 3.0, 0.3, 0.02, 0.001], seed=4)
     guesses = [table(spark, some(20 + k, 5, 2), "a") for k in range(4)]  # one more than is asked for
-    values, vectors = krylov.leading(product(table(spark, m, "ab")), guesses, 3)
+    values, vectors = krylov.leading(product(table(spark, m, "ab")), guesses, 3, inner=3)
     found = {(r.problem, r.k): r.vr + 1j * r.vi for r in values.collect()}
     assert [found[0, k] for k in range(3)] == [pytest.approx(2, abs=1e-8), pytest.approx(2 * third, abs=1e-8), pytest.approx(2 * third.conj(), abs=1e-8)]
-    assert [found[1, k] for k in range(3)] == [pytest.approx(3, abs=1e-8), pytest.approx(-3, abs=1e-8), pytest.approx(0.3, abs=1e-6)]
+    assert [found[1, k] for k in range(3)] == [pytest.approx(3, abs=1e-8), pytest.approx(-3, abs=1e-8), pytest.approx(0.3, abs=1e-5)]
     x = array(vectors._with(vectors.df.where("k = 0")), (5, 2, 4))[..., 0]
     assert np.allclose(m[..., 0] @ x[:, 0], 2 * x[:, 0], atol=1e-7) and np.allclose(m[..., 1] @ x[:, 1], 3 * x[:, 1], atol=1e-7)
 
@@ -78,13 +78,13 @@ def test_gmres_on_tables(spark):
 
 def test_gmres_in_a_complement(spark):
     """A singular map: the goal's part that it can't reach goes, and so does the solution's along its null vector."""
-    m = matrices([0, 2, 3, 1j, -2])
+    m = matrices([0, 2, 3, 1j])
     right = np.linalg.svd(m[..., 0])[2][-1].conj()
     left = np.linalg.svd(m[..., 0].conj().T)[2][-1].conj()
     along, dual = table(spark, right[:, None], "a"), table(spark, left[:, None], "a")
-    b = some(7, 5, 1)
-    x, _ = krylov.solve(product(table(spark, m, "ab")), table(spark, b, "a"), along=along, dual=dual, space=5)
-    x = array(x, (5, 1))[:, 0]
+    b = some(7, 4, 1)
+    x, _ = krylov.solve(product(table(spark, m, "ab")), table(spark, b, "a"), along=along, dual=dual, space=3)
+    x = array(x, (4, 1))[:, 0]
     reach = b[:, 0] - right * (left.conj() @ b[:, 0]) / (left.conj() @ right)
     assert np.allclose(m[..., 0] @ x, reach, atol=1e-9) and abs(left.conj() @ x) < 1e-9
 
@@ -117,12 +117,12 @@ def test_tall_lq_and_fewer_rows_than_columns(spark):
     assert tall.tall_r(table(spark, np.zeros((0, 3, 1)), "ab"), "b").count() == 0
 
 
-@pytest.mark.parametrize("n", [2, 5])
+@pytest.mark.parametrize("n", [2, 4])
 def test_svd(spark, n):
     x = some(11, 3, 2, n, 2)
     x[..., 1] = x[..., 1] * np.geomspace(1, 1e-6, n)
-    if n == 5:
-        x[:, :, 4, 0] = x[:, :, 1, 0] * (1 + 1j)  # rank 4
+    if n == 4:
+        x[:, :, 3, 0] = x[:, :, 1, 0] * (1 + 1j)  # rank 3
     u, s, v = tall.svd(table(spark, x, "abc"), "c")
     got = sorted((r.problem, r.c, r.s) for r in s.collect())
     for p in range(2):
