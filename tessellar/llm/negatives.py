@@ -74,7 +74,8 @@ class Packed:
         """The inner product of every candidate with ``anchor``."""
         bias = min(0, *(int(x) for x in anchor)) if len(anchor) else 0
         parts = [int(x) - bias for x in anchor]
-        bits = sum(map(mul, self.most, parts)).bit_length()
+        # a field holds the sum, and each component, also one that is multiplied by 0
+        bits = max(sum(map(mul, self.most, parts)), *self.most, 0).bit_length()
         width = 4 if bits <= 32 else 8 if bits <= 63 else bits // 8 + 1
         total = sum(f * a for f, a in zip(self._fields(width), parts, strict=True) if a)
         raw = total.to_bytes(width * self.count, "little")
