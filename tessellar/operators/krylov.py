@@ -104,7 +104,10 @@ def _space(apply: Map, first: Tensor, by: tuple[str, ...], space: int) -> tuple[
         if col + 1 < space:
             # where nothing but rounding is left the key's space is closed: it has no more vectors
             open_ = left.join(size, list(by)).where(F.col("norm") > CLOSED * F.col("whole")).select(*by, "norm")
-            basis.append(_kept(_over(w, open_, by)))
+            following = _kept(_over(w, open_, by))
+            if following.df.isEmpty():
+                break
+            basis.append(following)
     return basis, cut(entries)
 
 
@@ -216,11 +219,11 @@ def _leading_block(count: int):
     def solve(h: np.ndarray) -> list[tuple]:
         values, vectors = np.linalg.eig(h)
         order = sorted(range(len(values)), key=lambda k: -abs(values[k]))
-        # of moduli that agree to rounding the largest real part is first
+        # of moduli that agree to rounding the largest real part is first, of those the largest imaginary one
         out: list[int] = []
         while order and len(out) < count:
             near = [k for k in order if abs(values[order[0]]) - abs(values[k]) <= 1e-9 * abs(values[order[0]])]
-            out += sorted(near, key=lambda k: (-values[k].real, -values[k].imag))
+            out += sorted(near, key=lambda k: (-round(values[k].real / max(abs(values[k]), 1e-300), 7), -values[k].imag))
             order = [k for k in order if k not in near]
         return [(place, k, vectors[k, c].real, vectors[k, c].imag, values[c].real, values[c].imag) for place, c in enumerate(out[:count]) for k in range(len(h))]
 
