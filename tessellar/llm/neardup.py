@@ -410,9 +410,12 @@ def _near(rows: DataFrame, percent: int) -> DataFrame:
     if not buckets.isEmpty():
         rest = buckets.join(found, F.col("rep") == F.col("node"), "left").select("rep", "band", "k", "k2", F.coalesce("component", "rep").alias("component"))
         unsettled = rest.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("size")).where("l <> h")
-        rest = _block_pairs(rest.join(cut(unsettled.select("band", "size"), "unsettled"), "band"), REGISTER_BLOCK)
+        rest = rest.join(cut(unsettled.select("band", "size"), "unsettled"), "band")
+        # a class takes its registers once for all of its buckets, of which it has at most BANDS * BANDS
+        rest = rest.groupBy("rep", "component").agg(F.collect_list(F.struct("band", "k", "k2", "size")).alias("buckets"))
         known = classes.join(masks, "rep", "left").select("rep", "n", "signature", F.coalesce("hot", F.lit(0).cast("long")).alias("hot"))
-        rest = rest.join(known, "rep")
+        rest = rest.join(known, "rep").select("rep", "component", "n", "signature", "hot", F.explode("buckets").alias("b"))
+        rest = _block_pairs(rest.select("rep", "component", "n", "signature", "hot", "b.*"), REGISTER_BLOCK)
         # many small buckets: what a bucket costs besides its pairs must be little
         by = ("band", "i", "j")
         rest = rest.repartition(*by).sortWithinPartitions(*by).mapInArrow(_block_candidates(percent), _CANDIDATES)
