@@ -13,18 +13,14 @@ full sets.
 
 Groups are never expanded into pairs: documents with equal sets are one class;
 in each band a class is compared with the least and the greatest of its bucket
-and what is verified is joined to components. A bucket of more than BLOCK
-classes that then still holds several components is hot (a passage that many
-share, say): it is split by every other band, in which a linked pair meets
-again, and these smaller buckets are treated alike. Buckets that are still
-open are compared in full, in blocks: first on registers, which names the
-classes that have a near enough one in another component, then these on their
-sets; a block gives no more rows than it has classes, and no more links than
-join its components.
+and what is verified is joined to components. Buckets that then still hold several
+components (a passage that many share, say) are compared in full, whatever
+their size, in blocks: first on registers, which names the classes that have a
+near enough one in another component, then these on their sets; a block gives
+no more rows than it has classes, and no more links than join its components.
 
 A link of similarity s is missed if all BANDS bands differ,
-(1 - s**ROWS)**BANDS: 4e-7 at 0.85, 5e-5 at 0.8; in a split bucket if the
-others do, 1e-6 and 7e-5.
+(1 - s**ROWS)**BANDS: 4e-7 at 0.85, 5e-5 at 0.8.
 """
 
 from __future__ import annotations
@@ -46,7 +42,7 @@ from .words import LOWER, Slice, hash_spans, mix, shingles, slices, stream, word
 ROWS, BANDS = 5, 25
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
-#: Classes of one bucket whose sets are compared with each other at once; a bucket of more is hot.
+#: Classes of one bucket whose sets are compared with each other at once.
 BLOCK = 256
 #: The same for registers, which are 250 bytes a class whatever its text: a class goes out once for so many others.
 REGISTER_BLOCK = 4096
@@ -156,18 +152,11 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([shared_elements(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def _bands(classes: DataFrame, within: bool = False) -> DataFrame:
-    """``rep, band, k, k2``: the hash of each band's registers and its number.
-
-    ``within`` those of an earlier band ``k`` they are split by every other
-    band ``k2``, but two hot ones (bits of ``hot``) only once.
-    """
+def _bands(classes: DataFrame) -> DataFrame:
+    """``rep, band, k``: the hash of each band's registers and its number."""
     piece = lambda k: F.substring("signature", 2 * ROWS * k + 1, 2 * ROWS)
     own = F.array(*(F.struct(F.lit(k).alias("no"), F.xxhash64(F.lit(k), piece(k)).alias("hash")) for k in range(BANDS)))
-    if not within:
-        return classes.select("rep", F.explode(own).alias("b")).select("rep", F.col("b.hash").alias("band"), F.col("b.no").alias("k"), F.lit(-1).alias("k2"))
-    others = F.filter(own, lambda x: (x["no"] > F.col("k")) | ((x["no"] < F.col("k")) & (F.getbit("hot", x["no"]) == 0)))
-    return classes.select("rep", "band", "k", F.explode(others).alias("b")).select("rep", F.xxhash64("band", "b.hash").alias("band"), "k", F.col("b.no").alias("k2"))
+    return classes.select("rep", F.explode(own).alias("b")).select("rep", F.col("b.hash").alias("band"), F.col("b.no").alias("k"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -214,12 +203,14 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return mix((registers.reshape(len(registers), BANDS, ROWS) * weight).sum(axis=2, dtype=np.uint64))
 
 
-def common_bands(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """The bands (bits) that every row of ``band_keys`` shares with every one of another block."""
-    bands = np.zeros((len(one), len(two)), np.int32)
-    for k in range(BANDS):
-        bands |= (one[:, k, None] == two[None, :, k]).astype(np.int32) << k
-    return bands
+def equal_registers(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many registers every row of one block has in common with every one of another."""
+    if len(one) * len(two) <= 1024:
+        return (one[:, None, :] == two[None, :, :]).sum(axis=2, dtype=np.uint8)
+    total = np.zeros((len(one), len(two)), np.uint8)
+    for x, y in zip(np.ascontiguousarray(one.T), np.ascontiguousarray(two.T), strict=True):
+        total += (x[:, None] == y[None, :]).view(np.uint8)
+    return total
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -251,10 +242,9 @@ def _block_candidates(percent: int):
     def near(c: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The rows of two blocks (or of one) that have one of another component with near enough registers and size.
 
-        Two classes share several buckets; they count in the first of those
-        that are hot and in the first of the others.
+        Two classes that share several buckets count in the first of them.
         """
-        k, k2 = int(c["k"][one[0]]), int(c["k2"][one[0]])
+        k = int(c["k"][one[0]])
         step = max(1, PAIRS // len(two))
         found = [np.zeros(0, np.int64)]
         for at in range(0, len(one), step):
@@ -265,22 +255,18 @@ def _block_candidates(percent: int):
                 first = np.triu(first, at + 1)
             if not first.any():
                 continue
-            bands = common_bands(c["bands"][part], c["bands"][two])
-            hot = c["hot"][part][:, None] & c["hot"][two][None, :]
-            if k2 < 0:
-                first &= (bands & ~hot & ((1 << k) - 1)) == 0
-            else:
-                first &= ((bands & hot & ((1 << k) - 1)) == 0) & ((bands & ~(1 << k) & ((1 << k2) - 1)) == 0)
-            a, b = np.nonzero(first)
-            a, b = part[a], two[b]
-            close = jaccard((c["registers"][a] == c["registers"][b]).sum(axis=1), c["n"][a].astype(float), c["n"][b].astype(float)) >= near_enough(percent / 100)
+            equal = equal_registers(c["registers"][part], c["registers"][two])
+            # the estimate is at most the share of equal registers
+            a, b = np.nonzero(first & (equal >= near_enough(percent / 100) * REGISTERS))
+            equal, a, b = equal[a, b].astype(float), part[a], two[b]
+            close = jaccard(equal, c["n"][a].astype(float), c["n"][b].astype(float)) >= near_enough(percent / 100)
+            close &= ~(c["bands"][a, :k] == c["bands"][b, :k]).any(axis=1)
             found += [a[close], b[close]]
         return np.unique(np.concatenate(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at in _runs(batches, ("band", "i", "j")):
-            c = {name: batch.column(name).to_numpy() for name in (*_OPEN, "block", "k", "k2", "n")}
-            c["hot"] = batch.column("hot").to_numpy().astype(np.int32)
+            c = {name: batch.column(name).to_numpy() for name in (*_OPEN, "block", "k", "n")}
             c["registers"] = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, REGISTERS)
             c["bands"] = band_keys(c["registers"])
             found = [np.zeros(0, np.int64)]
@@ -367,27 +353,22 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut(rows.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())), "keyed")
 
 
-def _settle(banded: DataFrame, found: DataFrame | None, classes: DataFrame, rows: DataFrame, percent: int, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compares the classes of every bucket (``rep, band, k, k2``) with its least and greatest.
+def _settle(banded: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compares the classes of every bucket (``rep, band, k``) with its least and greatest.
 
-    Returns all links, their components (``node, component``) and, as
-    ``rep, band, k, k2, size``, the buckets of three or more whose classes aren't all
-    of one component after that.
+    Returns the links, their components (``node, component``) and, as ``rep,
+    component, band, k, size``, the buckets of three or more whose classes
+    aren't all of one component after that.
     """
     hubs = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
     shared = cut(banded.join(hubs, "band"), "shared")
     star = shared.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(shared.select(F.col("rep").alias("a"), F.col("high").alias("b"))).where("a <> b").distinct()
-    if found is not None:  # pairs that are of one component already say nothing new
-        of = lambda c: found.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}"))
-        star = star.join(of("a"), F.col("a") == F.col("na"), "left").join(of("b"), F.col("b") == F.col("nb"), "left")
-        star = star.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     links = _verified(cut(star, "pairs"), classes, rows, percent)
-    links = links if before is None else cut(before.union(links), "links")
     found = components(links)
-    open_rows = shared.where("size > 2").join(found, F.col("rep") == F.col("node"), "left").select("rep", "band", "k", "k2", "size", F.coalesce("component", "rep").alias("component"))
+    open_rows = shared.where("size > 2").join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"), "band", "k", "size")
     open_rows = cut(open_rows, "open")
     unsettled = open_rows.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("band")
-    return links, found, cut(open_rows.join(cut(unsettled, "unsettled"), "band").select("rep", "band", "k", "k2", "size"), "buckets")
+    return links, found, cut(open_rows.join(cut(unsettled, "unsettled"), "band"), "buckets")
 
 
 def _near(rows: DataFrame, percent: int) -> DataFrame:
@@ -399,23 +380,12 @@ def _near(rows: DataFrame, percent: int) -> DataFrame:
     # one row a class: that of its least id
     classes = some.join(reps.withColumnRenamed("class", "c"), (F.col("class") == F.col("c")) & (F.col("id") == F.col("rep")))
     classes = cut(classes.select("rep", "class", "n", "signature").dropDuplicates(["class"]), "classes")
-    links, found, buckets = _settle(cut(_bands(classes), "bands"), None, classes, rows, percent)
-    # hot buckets: every other band splits them
-    hot = buckets.where(F.col("size") > BLOCK).select("rep", "band", "k")
-    masks = cut(hot.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("hot")), "masks")
-    if not masks.isEmpty():
-        split = cut(_bands(hot.join(masks, "rep").join(classes, "rep"), within=True), "split")
-        links, found, smaller = _settle(split, found, classes, rows, percent, links)
-        buckets = cut(buckets.where(F.col("size") <= BLOCK).unionByName(smaller), "buckets")
+    links, found, buckets = _settle(cut(_bands(classes), "bands"), classes, rows, percent)
     if not buckets.isEmpty():
-        rest = buckets.join(found, F.col("rep") == F.col("node"), "left").select("rep", "band", "k", "k2", F.coalesce("component", "rep").alias("component"))
-        unsettled = rest.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("size")).where("l <> h")
-        rest = rest.join(cut(unsettled.select("band", "size"), "unsettled"), "band")
-        # a class takes its registers once for all of its buckets, of which it has at most BANDS * BANDS
-        rest = rest.groupBy("rep", "component").agg(F.collect_list(F.struct("band", "k", "k2", "size")).alias("buckets"))
-        known = classes.join(masks, "rep", "left").select("rep", "n", "signature", F.coalesce("hot", F.lit(0).cast("long")).alias("hot"))
-        rest = rest.join(known, "rep").select("rep", "component", "n", "signature", "hot", F.explode("buckets").alias("b"))
-        rest = _block_pairs(rest.select("rep", "component", "n", "signature", "hot", "b.*"), REGISTER_BLOCK)
+        # a class takes its registers once for all of its buckets, of which it has at most BANDS
+        rest = buckets.groupBy("rep", "component").agg(F.collect_list(F.struct("band", "k", "size")).alias("buckets"))
+        rest = rest.join(classes.select("rep", "n", "signature"), "rep").select("rep", "component", "n", "signature", F.explode("buckets").alias("b"))
+        rest = _block_pairs(rest.select("rep", "component", "n", "signature", "b.*"), REGISTER_BLOCK)
         # many small buckets: what a bucket costs besides its pairs must be little
         by = ("band", "i", "j")
         rest = rest.repartition(*by).sortWithinPartitions(*by).mapInArrow(_block_candidates(percent), _CANDIDATES)
