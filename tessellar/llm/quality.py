@@ -70,7 +70,23 @@ def _per_row(column: pa.Array) -> Iterator[np.ndarray]:
         yield from np.split(feature, np.searchsorted(row, np.arange(1, s.rows)))
 
 
-def dual_descent(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: np.ndarray, rounds: int = 12, seed: int = 5) -> np.ndarray:
+class Rows:
+    """Positions and values of each row, of which only the positions that count are kept: the values are made when a row is read."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray):
+        self.ratio = ratio
+        self.at = [np.append(f[ratio[f] != 0], np.int32(len(ratio))) for f in rows]
+        self.norm = [max(float(np.sqrt(v @ v)), 1.0) for v in (ratio[at[:-1]] for at in self.at)]
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at = self.at[k]
+        return at, np.append(self.ratio[at[:-1]] / self.norm[k], 1.0)
+
+
+def dual_descent(x: Rows, y: np.ndarray, size: int, cost: np.ndarray, rounds: int = 12, seed: int = 5) -> np.ndarray:
     """Weights of the L2-regularised SVM with (linear) hinge loss. x: positions and values of each row; y: -1 or 1.
 
     Of the dual one coordinate at a time is minimised, between 0 and the row's cost.
@@ -126,18 +142,12 @@ def fit(rows: list[tuple[int, np.ndarray]], least: int = 3, alpha: float = 1.0,
     if not len(y) or abs(y.sum()) == len(y):
         return Model(np.zeros(1 << BITS), 0.0 if not len(y) else 4.0 * y[0])
     size = 1 << BITS
-    every = np.concatenate([f for _, f in rows])
-    weight = np.repeat(y > 0, [len(f) for _, f in rows])
-    p = np.bincount(every[weight], minlength=size)
-    q = np.bincount(every[~weight], minlength=size)
+    p, q = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for label, f in rows:  # a row's features are distinct
+        (p if label else q)[f] += 1
     ratio = np.log((p + alpha) / (p + alpha).sum()) - np.log((q + alpha) / (q + alpha).sum())
     ratio[p + q < least] = 0
-    x = []
-    for _, f in rows:
-        f = f[ratio[f] != 0]
-        v = ratio[f]
-        norm = float(np.sqrt(v @ v)) or 1.0
-        x.append((np.append(f, size), np.append(v / max(norm, 1.0), 1.0)))
+    x = Rows([f for _, f in rows], ratio)
     per = {c: len(y) / (2 * (y == c).sum()) for c in (-1, 1)}
     w = dual_descent(x, y, size + 1, np.array([cost * per[c] for c in y]))
     return _calibrated(w, ratio, rows, y, size)

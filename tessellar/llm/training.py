@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -57,5 +58,18 @@ def features(rows: DataFrame, run: Callable[[pa.Array], Iterator[np.ndarray]], m
     # the hash is the id's: rows of one id stay or go together
     fits = int(np.searchsorted(total, most, side="right"))
     last = sizes[fits][0] if fits < len(sizes) else None
-    got = (made if last is None else made.where(F.col("place") < last)).collect()
-    return [(r.label, np.frombuffer(r.features, "<i4")) for r in sorted(got, key=lambda r: (r.place, r.label, bytes(r.features)))]
+    got = (made if last is None else made.where(F.col("place") < last)).toArrow()
+    return in_order(got)
+
+
+def in_order(got: pa.Table) -> list[tuple[int, np.ndarray]]:
+    """Rows ``label, place, features`` by place, label and features; the arrays are views of the table's own buffers."""
+    label, place = got.column("label").to_pylist(), got.column("place").to_pylist()
+    # of a blob its buffer's address, no copy
+    rows = [np.frombuffer(x.as_buffer(), "<i4") for x in got.column("features")]
+    order = sorted(range(len(rows)), key=lambda k: (place[k], label[k]))
+    out = []
+    for _, same in groupby(order, key=lambda k: (place[k], label[k])):
+        ties = list(same)
+        out += sorted(ties, key=lambda k: rows[k].tobytes()) if len(ties) > 1 else ties
+    return [(label[k], rows[k]) for k in out]
