@@ -11,18 +11,21 @@ be the first across that border in the two pieces alone.
 The longest pieces come from an Aho-Corasick automaton of the reversed pieces,
 run over the reversed text: the longest match that ends at a place there begins
 at it here. Where no piece holds a space after another character, such places
-are borders of every encoding, and the runs between them ("units") are encoded
-one by one and kept in a memo; those that aren't in it are cut again between
-characters that are neighbours in no piece.
+are borders of every encoding, and so are those between characters that no chain
+of neighbours in pieces joins (letters and points, say). What lies between
+borders ("units") is kept in a memo. Units that aren't in it are searched many
+at a time, side by side in arrays; long ones, the last few, and those where a
+character that is no piece stands alone are searched one by one.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
-from operator import add
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,12 @@ from pyspark.sql import functions as F
 from ..functions.ship import ship
 
 SPACE = "▁"
-#: Units and pairs in a worker's memos, which are begun anew when full; longer units aren't kept.
+#: Units and pairs in a worker's memos, which are begun anew when full; longer units (62 at most, a bit each place) aren't kept.
 MEMO, LONGEST = 500_000, 48
-#: Code points of a text whose units are listed at a time, and ids and code points of texts that a result batch has (or one longer text).
-CHUNK, BATCH = 1 << 20, 1 << 21
+#: Code points whose units are listed at a time, and code points of texts that a result batch has (or one longer text).
+CHUNK, BATCH = 1 << 19, 1 << 19
+#: So few units are searched one by one.
+FEW = 32
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 NONE, ALONE = -1, -2
 
@@ -78,11 +83,27 @@ class Pieces:
         for piece, k in number.items():
             self.automaton.add_word(piece[::-1], k)
         self.automaton.make_automaton()
-        #: Characters that stand next to each other in some piece.
-        self.beside = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
+        #: The reachable pieces of one character by code point, and an automaton of the others.
+        self.single = np.full(sys.maxunicode + 1, ALONE, np.int32)
+        self.longer = ahocorasick.Automaton()
+        for piece, k in number.items():
+            if len(piece) == 1:
+                self.single[ord(piece)] = k
+            else:
+                self.longer.add_word(piece[::-1], k)
+        self.longer.make_automaton()
+        #: Of the reachable pieces, then of ALONE and NONE: their lengths, what to try after them, their ids.
+        self.lengths = np.array([*map(len, whole), 1, 0], np.int64)
+        self.shorter = np.array(self.after, np.int64)
+        self.numbers = np.array([*map(self.ids.get, whole), -1, -1], np.int32)
+        #: Pairs of pieces met side by side, as left * len(text) + right, rising, and whether they stand the test.
+        self.met, self.stand = np.zeros(0, np.int64), np.zeros(0, bool)
+        #: A character of no piece.
+        held = set(chain.from_iterable(self.ids))
+        self.gap = next(c for c in map(chr, range(len(held) + 1)) if c not in held)
         within = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
-        #: A space after another character begins a unit, unless some piece spans such a place.
-        self.units = None if within else re.compile(f"{SPACE}*+[^{SPACE}]+|{SPACE}+")
+        #: A space after another character begins a unit, unless some piece spans such a place; so does a character that isn't of the class of the one before.
+        self.units = None if within else _units(self.ids)
         self.border = None if within else re.compile(f"(?<=[^{SPACE}]){SPACE}")
         self.memo: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -157,53 +178,142 @@ class Pieces:
                 out.extend(self.bytes[b] for b in piece.encode())
         return out
 
-    def _keep(self, unit: str, ids: bytes) -> None:
-        if len(unit) <= LONGEST:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[unit] = ids
-
-    def runs(self, unit: str) -> list[str]:
-        """A unit cut between neighbours that stand so in no piece: nothing is ever merged there."""
-        beside = self.beside
-        cuts = [k + 1 for k, pair in enumerate(map(add, unit, unit[1:])) if pair not in beside]
-        return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)] if cuts else [unit]
-
-    def _run(self, run: str) -> bytes:
-        got = self.memo.get(run)
-        if got is None:
-            got = self._numbers(self.unit(run)).tobytes()
-            self._keep(run, got)
-        return got
-
-    def encode(self, text: str) -> array:
-        """The ids of a text, without begin or end ids; none for an empty text."""
-        out = array("i")
-        if not text:
-            return out
-        text = self.prefix + text.replace(" ", SPACE)
+    def _longest(self, text: str) -> np.ndarray:
+        """The longest reachable piece that begins at each place of a text, ALONE if none does."""
+        back = text[::-1]
+        longest = array("i", self.single[np.frombuffer(back.encode("utf-32-le", "surrogatepass"), np.uint32)].tobytes())
+        last = -1
+        for end, k in self.longer.iter(back):
+            if end != last:  # the longest comes first
+                longest[end] = k
+                last = end
+        return np.frombuffer(longest, np.int32)[::-1].astype(np.int64)
+
+    def _stand(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether pairs of pieces stand the test; new ones are kept."""
+        keys = left.astype(np.int64) * len(self.text) + right
+        at = np.searchsorted(self.met, keys)
+        new = np.ones(len(keys), bool)
+        within = at < len(self.met)
+        new[within] = self.met[at[within]] != keys[within]
+        if new.any():
+            more = np.unique(keys[new])
+            test = [self.merged(a + b) == [a, b] for a, b in ((self.text[x], self.text[y]) for x, y in zip(*(z.tolist() for z in np.divmod(more, len(self.text))), strict=True))]
+            if len(self.met) + len(more) > MEMO:
+                # those of this call stay, also if they were met before
+                at = np.unique(at[~new])
+                self.met, self.stand = self.met[at], self.stand[at]
+            where = np.searchsorted(self.met, more)
+            self.met, self.stand = np.insert(self.met, where, more), np.insert(self.stand, where, test)
+            at = np.searchsorted(self.met, keys)
+        return self.stand[at]
+
+    def _together(self, units: list[str]) -> list[bytes | None]:
+        """The ids of many short units, a step in all of them at a time; None where a character is no piece or few units are left."""
+        longest = self._longest(self.gap.join([*units, ""]))
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        taken = np.zeros((len(units), int(sizes.max())), np.int32)
+        counts, lost = np.zeros(len(units), np.int64), np.zeros(len(units), bool)
+        lane, at, count, trying = np.arange(len(units)), np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), longest[starts]
+        failed = np.zeros(len(units), np.int64)  # a bit for each place
+        while True:
+            # out of pieces to try: the place has failed, and the piece before it is given up for a shorter one
+            back = np.flatnonzero(trying == NONE)
+            failed[back] |= 1 << at[back]
+            count[back] -= 1
+            piece = taken[lane[back], count[back]]
+            at[back] -= self.lengths[piece]
+            trying[back] = self.shorter[piece]
+            done = at == sizes[lane]
+            none = ~done & (trying == ALONE)
+            if done.any() or none.any():
+                counts[lane[done]] = count[done]
+                lost[lane[none]] = True
+                lane, at, count, trying, failed = (x[~(done | none)] for x in (lane, at, count, trying, failed))
+            if len(lane) <= FEW:
+                lost[lane] = True
+                break
+            end = at + self.lengths[trying]
+            agree = failed >> end & 1 == 0
+            agree &= trying >= 0
+            test = np.flatnonzero(agree & (count > 0))
+            agree[test] = self._stand(taken[lane[test], count[test] - 1], trying[test])
+            go, stay = np.flatnonzero(agree), np.flatnonzero(~agree)
+            taken[lane[go], count[go]] = trying[go]
+            count[go] += 1
+            at[go] = end[go]
+            trying[go] = longest[starts[lane[go]] + end[go]]
+            trying[stay] = self.shorter[trying[stay]]
+        ids = self.numbers[taken[np.arange(taken.shape[1]) < counts[:, None]]].tobytes()
+        return [None if gone else ids[a:b] for (a, b), gone in zip(pairwise([0, *(4 * np.cumsum(counts)).tolist()]), lost.tolist(), strict=True)]
+
+    def _search(self, units: list[str]) -> list[bytes]:
+        """The ids of units."""
+        short = [unit for unit in units if len(unit) <= LONGEST]
+        found = dict(zip(short, self._together(short), strict=True)) if len(short) > FEW else {}
+        return [self._numbers(self.unit(unit)).tobytes() if (ids := found.get(unit)) is None else ids for unit in units]
+
+    def _parts(self, texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+        """Texts and their places, cut at borders and put together to some CHUNK code points."""
+        part, held = [], 0
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            text, begin = self.prefix + text.replace(" ", SPACE), 0
+            while begin < len(text):
+                cut = self.border.search(text, begin + CHUNK) if len(text) - begin > CHUNK else None
+                end = cut.start() if cut else len(text)
+                part.append((k, text[begin:end]))
+                held += end - begin
+                begin = end
+                if held >= CHUNK:
+                    yield part
+                    part, held = [], 0
+        yield part
+
+    def encode_all(self, texts: list[str]) -> list[array]:
+        """The ids of texts, without begin or end ids; none for an empty text."""
+        out = [array("i") for _ in texts]
         if self.units is None:
-            return self._numbers(self.unit(text))
-        memo, begin = self.memo, 0
-        while begin < len(text):
-            cut = self.border.search(text, begin + CHUNK) if len(text) - begin > CHUNK else None
-            end = cut.start() if cut else len(text)
-            units = self.units.findall(text, begin, end)
-            found = list(map(memo.get, units))
-            if None in found:
-                for k, got in enumerate(found):
-                    if got is None:
-                        unit = units[k]
-                        found[k] = got = memo.get(unit) or b"".join(map(self._run, self.runs(unit)))
-                        self._keep(unit, got)
-            out.frombytes(b"".join(found))
-            begin = end
+            return [self._numbers(self.unit(self.prefix + text.replace(" ", SPACE))) if text else ids for text, ids in zip(texts, out, strict=True)]
+        memo = self.memo
+        for part in self._parts(texts):
+            units = [self.units.findall(text) for _, text in part]
+            known = {unit: memo.get(unit) for unit in set().union(*units)}
+            new = [unit for unit, ids in known.items() if ids is None]
+            known.update(zip(new, self._search(new), strict=True))
+            if len(memo) + len(new) > MEMO:
+                memo.clear()
+            memo.update((unit, known[unit]) for unit in new if len(unit) <= LONGEST)
+            for (k, _), x in zip(part, units, strict=True):
+                out[k].frombytes(b"".join(map(known.__getitem__, x)))
         return out
 
+    def encode(self, text: str) -> array:
+        """The ids of one text."""
+        return self.encode_all([text])[0]
+
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
 
+def _units(names: Iterable[str]) -> re.Pattern:
+    """What stands between borders: spaces and after them characters of one class, or one character of none.
+
+    Classes are the smallest ones that neighbours in pieces, other than spaces, share.
+    """
+    classes: dict[str, set[str]] = {}
+    for a, b in {piece[k : k + 2] for piece in names for k in range(len(piece) - 1) if piece[k] != SPACE}:
+        one, other = sorted((classes.setdefault(a, {a}), classes.setdefault(b, {b})), key=len)
+        if one is not other:
+            other |= one
+            classes.update(dict.fromkeys(one, other))
+    distinct = sorted({id(x): x for x in classes.values()}.values(), key=lambda x: (-len(x), min(x)))
+    sets = ["".join(map(re.escape, sorted(x))) for x in distinct]
+    return re.compile(f"{SPACE}*+(?:{''.join(f'[{x}]++|' for x in sets)}[^{SPACE}{''.join(sets)}])|{SPACE}+")
+
+
 @cache
 def _pieces(path: str) -> Pieces:
     return Pieces(path)
@@ -220,28 +330,28 @@ def _path(model: str | None) -> str:
 def _encoder(model: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
-        rows, held = [], 0
+        keys, texts, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, ids, texts = zip(*rows, strict=True) if rows else ((), (), ())
+            ids = pieces.encode_all(texts)
             offsets = np.cumsum([0, *map(len, ids)])
             flat = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32) for x in ids)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             names, arrays = ["id", "ids"], [pa.array(keys, pa.int64()), lists]
             if decoded:
                 names.append("decoded")
-                arrays.append(pa.array(texts, pa.string()))
+                arrays.append(pa.array([pieces.decode(x.tolist()) for x in ids], pa.string()))
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                ids = pieces.encode(text)
-                rows.append((key.as_py(), ids, pieces.decode(ids.tolist()) if decoded else None))
-                held += len(text) + len(ids)
+                keys.append(key.as_py())
+                texts.append(text)
+                held += len(text) + 1
                 if held >= BATCH:
                     yield flush()
-                    rows, held = [], 0
+                    keys, texts, held = [], [], 0
         yield flush()
 
     return run
@@ -254,8 +364,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     the library makes of them. A null text counts as empty and has no ids;
     repeated rows and null ids are kept. Other columns aren't read; an empty
     table gives an empty result. In memory at a time are the texts and ids of
-    some two million places, or one longer text's: four bytes for each of its
-    ids and the same while one of its units is searched.
+    some half a million code points, or one longer text's: four bytes for each
+    of its ids and the same while one of its units is searched.
     """
     ship(docs.sparkSession)
     schema = "id bigint, ids array<int>" + (", decoded string" if decoded else "")

@@ -107,3 +107,43 @@ def test_other_models_are_refused(tmp_path):
     (tmp_path / "other.model").write_bytes(model.SerializeToString())
     with pytest.raises(ValueError):
         pieces.Pieces(str(tmp_path / "other.model"))
+
+
+def _syllables(seed, words, alphabet=("th", "er", "on", "ing", "ti", "Ae", "és", "ña", "gh", "sch", "0", "\n", ".", "&&", "漢", "д", "🙂")):
+    rng = random.Random(seed)
+    return [" " * rng.choice((0, 1, 1, 2)) + "".join(rng.choices(alphabet, k=rng.randint(1, 9))) for _ in range(words)]
+
+
+def test_new_words_are_searched_together(monkeypatch):
+    """Words that no memo has took a search of their own each."""
+    model, alone = pieces.Pieces(MODEL), []
+    search = model.unit
+    monkeypatch.setattr(model, "unit", lambda text: alone.append(text) or search(text))
+    text = "".join(_syllables(1, 5000))
+    assert model.encode(text).tolist() == model.library.encode(text)
+    assert len(model.memo) > 2000 and len(alone) < 200
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_texts_together(monkeypatch, few):
+    """Few units left, memos that are full at once, parts that begin anywhere; texts with characters of no piece, long units, none at all."""
+    model = pieces.Pieces(MODEL)
+    texts = ["".join(_syllables(k, 40)) for k in range(60)] + ["", "\x00 \x00a", "a" * 100, "", "▁▁ ▁x"] + ["".join(_syllables(k, 60, "aehinorst")) for k in range(20)]
+    want = [model.library.encode(text) for text in texts]
+    monkeypatch.setattr(pieces, "FEW", few)
+    assert [ids.tolist() for ids in model.encode_all(texts)] == want
+    monkeypatch.setattr(pieces, "MEMO", 50)
+    monkeypatch.setattr(pieces, "CHUNK", 300)
+    for _ in range(2):
+        assert [ids.tolist() for ids in model.encode_all(texts)] == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abc▁", min_size=1, max_size=4), max_size=12), st.text("abcd▁", max_size=30))
+def test_no_piece_spans_a_border(names, text):
+    if any("▁" in name.lstrip("▁") for name in names):
+        return
+    cut = pieces._units(names).findall(text)
+    assert "".join(cut) == text
+    spans = {name[k : k + 2] for name in names for k in range(len(name) - 1)}
+    assert not any(a[-1] + b[0] in spans for a, b in zip(cut, cut[1:], strict=False))
